@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import mixing, packing, quality
+from docledger.llm import langid, mixing, packing, quality
 from docledger.llm.common import n_words, stored
 from docledger.llm.oracles import SQL
 
@@ -16,6 +16,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(_read(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", langid.held_out(F.col("doc_id"), 5).alias("held_out"), "lang_pred", "score")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_read(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select(
@@ -40,7 +45,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op7_packing, op8_source_mix)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality_rules, op7_packing, op8_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
