@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import langid, mixing, packing, quality
+from docledger.llm import langid, mixing, packing, quality, sstable
 from docledger.llm.common import n_words, stored
 from docledger.llm.oracles import SQL
 
@@ -44,8 +44,12 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.read(spark, sstable.write(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality_rules, op7_packing, op8_source_mix)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality_rules, op7_packing, op8_source_mix, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
