@@ -57,4 +57,18 @@ SELECT doc_id, size, source_size, target,
   (size * least(whole + CASE WHEN pos < target - whole * source_size THEN 1 ELSE 0 END, {MAX_EPOCHS}))::BIGINT AS taken FROM placed
 """
 
-SQL = {"op3_quality_rules": QUALITY, "op8_source_mix": MIX}
+_ESCAPED = r"""regexp_replace({}, '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g')"""
+
+CHAT = f"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, role AS r, coalesce(text, '') AS text, text AS t FROM (
+  SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+joined AS (SELECT conv_id, count(*) AS n_turns,
+  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) AS turns,
+  coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST), '') AS loss,
+  sum(length('<|im_start|><|im_end|>') + 2 + length({_ESCAPED.format(r"replace(replace(role, '\\', '\\\\'), chr(10), '\\n')")}) + length({_ESCAPED.format('text')}))::BIGINT AS formatted_chars
+  FROM said GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM joined
+"""
+
+SQL = {"op9_chat_format": CHAT, "op3_quality_rules": QUALITY, "op8_source_mix": MIX}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import langid, mixing, packing, quality, sstable
+from docledger.llm import chat, langid, licenses, mixing, packing, quality, sstable
 from docledger.llm.common import n_words, stored
 from docledger.llm.oracles import SQL
 
@@ -28,6 +28,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_read(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths are a text's words and one end token."""
     docs = _read(spark, sf_dir, "documents")
@@ -44,12 +49,22 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adds conversation -7, whose texts are control strings."""
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(stored(chat.format_trees(chat.chains(rows)), "chats"))
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(spark, sstable.write(_read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality_rules, op7_packing, op8_source_mix, op10_token_shards)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality_rules, op6_license_scan, op7_packing, op8_source_mix, op9_chat_format, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
