@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import chat, jaccard, langid, licenses, mixing, packing, quality, sstable
+from docledger.llm import chat, jaccard, langid, licenses, mixing, packing, pivots, quality, sstable
 from docledger.llm.common import n_words, stored
 from docledger.llm.oracles import SQL
 
@@ -21,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id"), 5).alias("held_out"), "lang_pred", "score")
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_read(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select(
@@ -68,7 +72,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_jaccard_join, op6_license_scan, op7_packing, op8_source_mix, op9_chat_format, op10_token_shards)}
+    return {f.__name__: f for f in (op1_language_id, op2_near_vectors, op3_quality_rules, op4_jaccard_join, op6_license_scan, op7_packing, op8_source_mix, op9_chat_format, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
