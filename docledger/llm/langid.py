@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docledger.llm.common import batches_of, doc_crc, stored, word_codes
 
@@ -214,8 +215,7 @@ def predict(docs: DataFrame, carry: list[str], langs: list[str], probs: np.ndarr
     likelihood summed over the languages. A text that is null or has no letter is ``und`` with score 0; so is every
     text where no language was learned. Other columns of docs are dropped, repeated rows are scored alike.
     """
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in carry) + ", lang_pred string, score double"
+    schema = StructType([docs.schema[c] for c in carry]).add("lang_pred", "string").add("score", "double")
     names = np.array([*langs, UNDETERMINED], dtype=object)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

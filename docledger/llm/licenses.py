@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docledger.llm.common import batches_of
 
@@ -191,6 +192,19 @@ class Scanner:
         return resolve(found)
 
 
+#: What a scan adds to a document.
+FIELDS = (
+    ("n_words", "long"),
+    ("n_base", "long"),
+    ("first_word", "long"),
+    ("last_word", "long"),
+    ("base_labels", "string"),
+    ("labels", "string"),
+    ("score", "double"),
+    ("detections", "array<struct<label:string,rule:string,start:int,end:int,first_word:int,confidence:double>>"),
+)
+
+
 def scan(docs: DataFrame, carry: list[str]) -> DataFrame:
     """``carry``, the base phrases' places and the rules' detections of every whole text.
 
@@ -198,12 +212,9 @@ def scan(docs: DataFrame, carry: list[str]) -> DataFrame:
     words), first_word and confidence. score is the highest confidence, 0.5 for base phrases alone, 0 without any.
     Other columns are dropped, repeated rows are scanned alike; equal labels count once.
     """
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    found = "array<struct<label:string,rule:string,start:int,end:int,first_word:int,confidence:double>>"
-    schema = ", ".join(f"`{c}` {types[c]}" for c in carry) + (
-        ", n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections "
-        + found
-    )
+    schema = StructType([docs.schema[c] for c in carry])
+    for name, kind in FIELDS:
+        schema.add(name, kind)
     own = pa.schema(
         [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())]
         + [("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())]

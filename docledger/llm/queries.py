@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import chat, jaccard, langid, licenses, mixing, packing, pivots, quality, sstable
+from docledger.llm import chat, contextmix, jaccard, langid, licenses, mixing, packing, pivots, quality, sstable
 from docledger.llm.common import n_words, stored
 from docledger.llm.oracles import SQL
 
@@ -36,6 +36,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(_read(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextmix.score(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_read(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -72,7 +76,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_near_vectors, op3_quality_rules, op4_jaccard_join, op6_license_scan, op7_packing, op8_source_mix, op9_chat_format, op10_token_shards)}
+    return {f.__name__: f for f in (op1_language_id, op2_near_vectors, op3_quality_rules, op4_jaccard_join, op5_lm_score, op6_license_scan, op7_packing, op8_source_mix, op9_chat_format, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
