@@ -57,3 +57,100 @@ def line_validation_by_supplier(spark, sf_dir):
         .groupBy("s_name", "status")
         .agg(F.sum("n_lines").alias("n_lines"), F.floor(F.sum("total") + 0.5).cast("double").alias("total"))
     )
+
+
+@register(
+    "line_validation_status",
+    "P2 P3 P9 D9 X7 X8 B1 B2",
+    f"""WITH {LINES_SQL} SELECT l_linenumber, status,
+    CASE WHEN status = 'missing' THEN 'unit_price' WHEN status = 'failed' THEN 'line_total' END AS affected_field,
+    count(*) AS n, sum(CASE WHEN unit_price IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_without_price,
+    min(CASE WHEN status = 'ok' THEN 0.98 ELSE 0.62 END)::DOUBLE AS least_confidence
+    FROM checked GROUP BY ALL""",
+)
+def line_validation_status(spark, sf_dir):
+    status = F.col("status")
+    return (
+        checked_lines(spark, sf_dir)
+        .groupBy(
+            "l_linenumber",
+            "status",
+            F.when(status == "missing", "unit_price").when(status == "failed", "line_total").alias("affected_field"),
+        )
+        .agg(
+            F.count("*").alias("n"),
+            F.count_if(F.col("unit_price").isNull()).alias("n_without_price"),
+            F.min(F.when(status == "ok", 0.98).otherwise(0.62)).alias("least_confidence"),
+        )
+    )
+
+
+@register(
+    "loose_vs_strict_validation",
+    "P3 P4 P5",
+    f"""WITH {LINES_SQL} SELECT status, coalesce(line_total IS NULL OR line_total = 0 OR
+    abs(line_total - quantity * unit_price) <= greatest(0.2, abs(line_total) * 0.04), false) AS loose,
+    coalesce(abs(quantity * unit_price - line_total) <= 0.01, false) AS exact, count(*) AS n FROM checked GROUP BY ALL""",
+)
+def loose_vs_strict_validation(spark, sf_dir):
+    from docledger.functions.validate import loose_match
+
+    q, p, t = F.col("quantity"), F.col("unit_price"), F.col("line_total")
+    return (
+        checked_lines(spark, sf_dir)
+        .groupBy("status", loose_match(q, p, t).alias("loose"), F.coalesce(F.abs(q * p - t) <= 0.01, F.lit(False)).alias("exact"))
+        .agg(F.count("*").alias("n"))
+    )
+
+
+_IMPLIED = "floor(line_total / unit_price * 100 + 0.5) / 100"
+#: First reason that applies to a line for review; the shorter ladder stops at its first rung for every failed line.
+REASONS = f"""CASE WHEN status = 'missing' THEN 'missing_same_band_total'
+  WHEN abs(line_total - floor((floor(quantity * unit_price * 100 + 0.5) / 100 + vat) * 100 + 0.5) / 100)
+    <= greatest(0.05, abs(line_total) * 0.02) THEN 'gross_total_includes_vat'
+  WHEN {_IMPLIED} > 0 AND abs({_IMPLIED} - quantity) > 0.05 AND abs(floor({_IMPLIED} + 0.5) - {_IMPLIED}) <= 0.05
+    AND {_IMPLIED} <= greatest(quantity, 1) THEN 'ambiguous_quantity' ELSE 'neighboring_total_mismatch' END"""
+
+
+@register(
+    "review_reason",
+    "X9 F8 F9 A3 P24",
+    f"WITH {LINES_SQL} SELECT {REASONS} AS reason, 'missing_same_band_total' AS short_reason, count(*) AS n "
+    "FROM checked WHERE status <> 'ok' GROUP BY ALL",
+)
+def review_reason(spark, sf_dir):
+    return (
+        checked_lines(spark, sf_dir)
+        .filter("status <> 'ok'")
+        .groupBy(F.expr(REASONS).alias("reason"), F.lit("missing_same_band_total").alias("short_reason"))
+        .agg(F.count("*").alias("n"))
+    )
+
+
+@register(
+    "row_triage_score",
+    "X7 X10 X12 A1 A9 F6 B1 B2",
+    f"""WITH {LINES_SQL}, scored AS (SELECT *, 0.2 + 0.25 + 0.2 + CASE WHEN quantity IS NULL THEN 0 ELSE 0.15 END
+      + CASE WHEN unit_price IS NULL THEN 0 ELSE 0.15 END AS score FROM checked)
+    SELECT l_suppkey, count(*) AS n, sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END)::BIGINT AS validated,
+    sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END)::BIGINT AS review, sum(CASE WHEN status = 'missing' THEN 1 ELSE 0 END)::BIGINT AS discarded,
+    floor(avg(CASE WHEN status = 'ok' THEN score WHEN score > 0.62 THEN 0.62 ELSE score END) * 10000 + 0.5) / 10000 AS mean_confidence,
+    floor(sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END)::DOUBLE / count(*) * 10000 + 0.5) / 10000 AS pass_rate FROM scored GROUP BY l_suppkey""",
+)
+def row_triage_score(spark, sf_dir):
+    score = F.lit(0.65) + F.when(F.col("quantity").isNull(), 0).otherwise(0.15) + F.when(F.col("unit_price").isNull(), 0).otherwise(0.15)
+    status = F.col("status")
+    capped = F.when(status == "ok", F.col("score")).otherwise(F.least("score", F.lit(0.62)))
+    return (
+        checked_lines(spark, sf_dir)
+        .withColumn("score", score)
+        .groupBy("l_suppkey")
+        .agg(
+            F.count("*").alias("n"),
+            F.count_if(status == "ok").alias("validated"),
+            F.count_if(status == "failed").alias("review"),
+            F.count_if(status == "missing").alias("discarded"),
+            (F.floor(F.avg(capped) * 10000 + 0.5) / 10000).alias("mean_confidence"),
+            (F.floor(F.count_if(status == "ok") / F.count("*") * 10000 + 0.5) / 10000).alias("pass_rate"),
+        )
+    )

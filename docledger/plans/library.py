@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation",)
+MODULES = ("validation", "cells")
 
 
 def load() -> None:
