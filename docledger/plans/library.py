@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation", "cells")
+MODULES = ("validation", "cells", "joins")
 
 
 def load() -> None:
