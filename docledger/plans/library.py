@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation", "cells", "joins")
+MODULES = ("validation", "cells", "joins", "windows")
 
 
 def load() -> None:
