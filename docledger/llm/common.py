@@ -76,13 +76,16 @@ def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndar
 
 
 def batches_of(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` whose texts hold about ``limit`` bytes each, one row at least."""
+    """Parts of ``batch`` whose texts hold about ``limit`` bytes each, one row at least.
+
+    Parts are copies: some string kernels misread a slice that starts inside its buffers.
+    """
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     at, ends = 0, np.cumsum(sizes)
     while at < batch.num_rows:
         upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right"))
         upto = max(upto, at + 1)
-        yield batch.slice(at, upto - at)
+        yield batch if upto - at == batch.num_rows and not at else batch.take(pa.array(np.arange(at, upto)))
         at = upto
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation", "cells", "joins", "windows")
+MODULES = ("validation", "cells", "joins", "windows", "reports", "costing")
 
 
 def load() -> None:
