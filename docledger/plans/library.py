@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation", "cells", "joins", "windows", "reports", "costing")
+MODULES = ("validation", "cells", "joins", "windows", "reports", "costing", "resolve")
 
 
 def load() -> None:
