@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation", "cells", "joins", "windows", "reports", "costing", "resolve")
+MODULES = ("validation", "cells", "joins", "windows", "reports", "costing", "resolve", "documents")
 
 
 def load() -> None:
