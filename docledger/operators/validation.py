@@ -130,17 +130,17 @@ def review_reason(spark, sf_dir):
 @register(
     "row_triage_score",
     "X7 X10 X12 A1 A9 F6 B1 B2",
-    f"""WITH {LINES_SQL}, scored AS (SELECT *, 0.2 + 0.25 + 0.2 + CASE WHEN quantity IS NULL THEN 0 ELSE 0.15 END
-      + CASE WHEN unit_price IS NULL THEN 0 ELSE 0.15 END AS score FROM checked)
+    f"""WITH {LINES_SQL}, scored AS (SELECT *, 65 + CASE WHEN quantity IS NULL THEN 0 ELSE 15 END
+      + CASE WHEN unit_price IS NULL THEN 0 ELSE 15 END AS score FROM checked)
     SELECT l_suppkey, count(*) AS n, sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END)::BIGINT AS validated,
     sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END)::BIGINT AS review, sum(CASE WHEN status = 'missing' THEN 1 ELSE 0 END)::BIGINT AS discarded,
-    floor(avg(CASE WHEN status = 'ok' THEN score WHEN score > 0.62 THEN 0.62 ELSE score END) * 10000 + 0.5) / 10000 AS mean_confidence,
+    floor(sum(CASE WHEN status = 'ok' THEN score ELSE least(score, 62) END)::DOUBLE * 100 / count(*) + 0.5) / 10000 AS mean_confidence,
     floor(sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END)::DOUBLE / count(*) * 10000 + 0.5) / 10000 AS pass_rate FROM scored GROUP BY l_suppkey""",
 )
 def row_triage_score(spark, sf_dir):
-    score = F.lit(0.65) + F.when(F.col("quantity").isNull(), 0).otherwise(0.15) + F.when(F.col("unit_price").isNull(), 0).otherwise(0.15)
+    score = F.lit(65) + F.when(F.col("quantity").isNull(), 0).otherwise(15) + F.when(F.col("unit_price").isNull(), 0).otherwise(15)
     status = F.col("status")
-    capped = F.when(status == "ok", F.col("score")).otherwise(F.least("score", F.lit(0.62)))
+    capped = F.when(status == "ok", F.col("score")).otherwise(F.least("score", F.lit(62)))
     return (
         checked_lines(spark, sf_dir)
         .withColumn("score", score)
@@ -150,7 +150,7 @@ def row_triage_score(spark, sf_dir):
             F.count_if(status == "ok").alias("validated"),
             F.count_if(status == "failed").alias("review"),
             F.count_if(status == "missing").alias("discarded"),
-            (F.floor(F.avg(capped) * 10000 + 0.5) / 10000).alias("mean_confidence"),
+            (F.floor(F.sum(capped).cast("double") * 100 / F.count("*") + 0.5) / 10000).alias("mean_confidence"),
             (F.floor(F.count_if(status == "ok") / F.count("*") * 10000 + 0.5) / 10000).alias("pass_rate"),
         )
     )

@@ -21,8 +21,9 @@ def text_lines(spark, sf_dir) -> DataFrame:
 TEXT_LINES_SQL = r"""split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 text_lines AS (SELECT doc_id, unnest(range(len(l))) AS idx, trim(regexp_replace(unnest(l), '\s+', ' ', 'g')) AS line FROM split)"""
 
-_BY_LINE = Window.partitionBy("doc_id").orderBy("idx")
-_SO_FAR = _BY_LINE.rowsBetween(Window.unboundedPreceding, 0)
+def _by_line(first: int = Window.unboundedPreceding, last: int = 0):
+    """Rows of a document's lines around each, by default all up to it."""
+    return Window.partitionBy("doc_id").orderBy("idx").rowsBetween(first, last)
 
 
 @register(
@@ -37,8 +38,8 @@ def in_table_prefix(spark, sf_dir):
     low = F.lower("line")
     flagged = text_lines(spark, sf_dir).select(
         "*",
-        F.bool_or(low.rlike("^(the|die|les|los)")).over(_SO_FAR).alias("opened"),
-        F.bool_or(low.rlike("licen|gnu")).over(_SO_FAR).alias("closed"),
+        F.bool_or(low.rlike("^(the|die|les|los)")).over(_by_line()).alias("opened"),
+        F.bool_or(low.rlike("licen|gnu")).over(_by_line()).alias("closed"),
     )
     return flagged.filter("opened and not closed").groupBy("doc_id").agg(
         F.count("*").alias("n"), F.sum(F.length("line")).alias("chars")
@@ -57,7 +58,7 @@ _HEAD = "length(line) > 120"
 )
 def continuation_attach(spark, sf_dir):
     """Short lines continue the last long one; each costs confidence."""
-    grouped = text_lines(spark, sf_dir).filter("line <> ''").withColumn("grp", F.sum(F.expr(_HEAD).cast("int")).over(_SO_FAR))
+    grouped = text_lines(spark, sf_dir).filter("line <> ''").withColumn("grp", F.sum(F.expr(_HEAD).cast("int")).over(_by_line()))
     wraps = F.count("*") - 1
     return (
         grouped.filter("grp > 0")
@@ -221,7 +222,7 @@ def region_interval_merge(spark, sf_dir):
 def title_carry_forward(spark, sf_dir):
     """A line of one word titles the lines below it."""
     one = F.when((F.size(F.split("line", " ")) == 1) & (F.col("line") != ""), F.col("line"))
-    titled = text_lines(spark, sf_dir).withColumn("title", F.last(one, ignorenulls=True).over(_SO_FAR))
+    titled = text_lines(spark, sf_dir).withColumn("title", F.last(one, ignorenulls=True).over(_by_line()))
     return titled.filter("line <> ''").groupBy("doc_id", F.coalesce("title", F.lit("")).alias("title")).agg(F.count("*").alias("n"))
 
 
@@ -234,8 +235,8 @@ def title_carry_forward(spark, sf_dir):
 )
 def look_around(spark, sf_dir):
     """Nearest short line within three rows above, first long one within seven below."""
-    back = F.last(F.when(F.length("line") < 40, F.col("idx")), ignorenulls=True).over(_BY_LINE.rowsBetween(-3, -1))
-    ahead = F.first(F.when(F.length("line") > 200, F.col("idx")), ignorenulls=True).over(_BY_LINE.rowsBetween(1, 7))
+    back = F.last(F.when(F.length("line") < 40, F.col("idx")), ignorenulls=True).over(_by_line(-3, -1))
+    ahead = F.first(F.when(F.length("line") > 200, F.col("idx")), ignorenulls=True).over(_by_line(1, 7))
     seen = text_lines(spark, sf_dir).select("doc_id", "idx", back.alias("back"), ahead.alias("ahead"))
     return seen.groupBy("doc_id").agg(
         F.count("back").alias("with_title"), F.count("ahead").alias("with_body"), F.sum(F.col("idx") - F.coalesce("back", "idx")).alias("back_rows")
