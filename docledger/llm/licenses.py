@@ -194,14 +194,8 @@ class Scanner:
 
 #: What a scan adds to a document.
 FIELDS = (
-    ("n_words", "long"),
-    ("n_base", "long"),
-    ("first_word", "long"),
-    ("last_word", "long"),
-    ("base_labels", "string"),
-    ("labels", "string"),
-    ("score", "double"),
-    ("detections", "array<struct<label:string,rule:string,start:int,end:int,first_word:int,confidence:double>>"),
+    "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
+    "detections array<struct<label:string,rule:string,start:int,end:int,first_word:int,confidence:double>>"
 )
 
 
@@ -212,9 +206,7 @@ def scan(docs: DataFrame, carry: list[str]) -> DataFrame:
     words), first_word and confidence. score is the highest confidence, 0.5 for base phrases alone, 0 without any.
     Other columns are dropped, repeated rows are scanned alike; equal labels count once.
     """
-    schema = StructType([docs.schema[c] for c in carry])
-    for name, kind in FIELDS:
-        schema.add(name, kind)
+    schema = StructType([*(docs.schema[c] for c in carry), *StructType.fromDDL(FIELDS)])
     own = pa.schema(
         [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())]
         + [("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())]
