@@ -138,12 +138,18 @@ def brute_vectors(rows):
 
 
 def test_vectors_recall(spark):
-    sf = "/root/testdata/sf0.1"
-    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    """The table's vectors, with near copies of a third of them and many of one."""
+    rng = np.random.default_rng(4)
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    for k, (_, v, label) in enumerate(rows[:170] + [rows[0]] * 60):
+        v = np.array(v)
+        rows.append((10_000 + k, (v + rng.normal(size=len(v)) * 0.25 * np.linalg.norm(v) / len(v) ** 0.5).tolist(), label))
     want = brute_vectors(rows)
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op2_near_vectors(spark, sf).collect()}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivots.near_duplicates(df).collect()}
     found, true = sum(n for n, _ in got.values()), sum(n for n, _ in want.values())
     assert all(got[i][0] <= want[i][0] for i in want) and found >= 0.9 * true > 0
+    assert op2_near_vectors(spark, SF).count() == 500
 
 
 def test_vectors_near_the_threshold(spark):
