@@ -121,7 +121,7 @@ def inventory_variance(spark, sf_dir):
     "strict_gate",
     "B6 J23 K6 P27",
     """WITH issues AS (SELECT count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')),
-    u AS (SELECT c_mktsegment, floor(sum(o_totalprice) + 0.5) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment)
+    u AS (SELECT c_mktsegment, floor(sum(o_totalprice) * 100 + 0.5) / 100 AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment)
     SELECT c_mktsegment, CASE WHEN n > 100000 THEN NULL ELSE total END AS total, n AS issues FROM u, issues""",
 )
 def strict_gate(spark, sf_dir):
@@ -133,7 +133,7 @@ def strict_gate(spark, sf_dir):
         orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("t"))
         .join(customer.select("c_custkey", "c_mktsegment"), "c_custkey")
         .groupBy("c_mktsegment")
-        .agg(F.floor(F.sum("t") + 0.5).cast("double").alias("total"))
+        .agg((F.floor(F.sum("t") * 100 + 0.5) / 100).alias("total"))
     )
     n = F.col("issues")
     gated = totals.withColumn("_one", F.lit(1)).join(issues.withColumn("_one", F.lit(1)), "_one")

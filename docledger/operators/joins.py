@@ -139,7 +139,7 @@ def neighbour_offset_merge(spark, sf_dir):
     "positional_zip",
     "J9 F52",
     """WITH a AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS q, list(l_extendedprice ORDER BY l_extendedprice) AS p FROM lineitem GROUP BY l_orderkey),
-    z AS (SELECT l_orderkey, unnest(q) AS q, unnest(p) AS p FROM a) SELECT l_orderkey, floor(sum(q * p) + 0.5) AS crossed, count(*) AS n FROM z GROUP BY l_orderkey""",
+    z AS (SELECT l_orderkey, unnest(q) AS q, unnest(p) AS p FROM a) SELECT l_orderkey, floor(sum(q * p) * 100 + 0.5) / 100 AS crossed, count(*) AS n FROM z GROUP BY l_orderkey""",
 )
 def positional_zip(spark, sf_dir):
     """Columns read independently of each other, joined by position."""
@@ -150,7 +150,7 @@ def positional_zip(spark, sf_dir):
     crossed = F.aggregate(
         F.arrays_zip(F.col("rows.l_quantity").alias("q"), F.col("p").alias("p")), F.lit(0.0), lambda a, x: a + x["q"] * x["p"]
     )
-    return lists.select("l_orderkey", F.floor(crossed + 0.5).cast("double").alias("crossed"), F.size("p").cast("long").alias("n"))
+    return lists.select("l_orderkey", (F.floor(crossed * 100 + 0.5) / 100).alias("crossed"), F.size("p").cast("long").alias("n"))
 
 
 def _triples(spark, sf_dir, lenient: bool):
@@ -183,14 +183,14 @@ def _triples_sql(lenient: bool) -> str:
     cells AS (SELECT * FROM (SELECT id, unnest([1, 2, 3, 4]) AS k, unnest([quantity, unit_price, line_total, vat]) AS v FROM numbered) WHERE v > 0),
     t AS (SELECT a.id, {score} AS score, a.k AS q, b.k AS p, c.k AS t FROM cells a JOIN cells b ON a.id = b.id AND a.k <> b.k JOIN cells c ON a.id = c.id AND c.k <> a.k AND c.k <> b.k {'' if lenient else f'WHERE NOT ({bad})'}),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score, q, p, t) AS r FROM t)
-    SELECT coalesce(q, 0) AS q, coalesce(p, 0) AS p, coalesce(r.t, 0) AS t, count(*) AS n, floor(sum(coalesce(score, 0)) + 0.5) AS total_score
+    SELECT coalesce(q, 0) AS q, coalesce(p, 0) AS p, coalesce(r.t, 0) AS t, count(*) AS n, floor(sum(coalesce(score, 0)) * 100 + 0.5) / 100 AS total_score
     FROM numbered LEFT JOIN (SELECT * FROM r WHERE r = 1) r ON numbered.id = r.id GROUP BY ALL"""
 
 
 def _summed(triples):
     best = {k: F.coalesce(F.col(f"best.{k}"), F.lit(0)).alias(k) for k in "qpt"}
     return triples.groupBy(*best.values()).agg(
-        F.count("*").alias("n"), F.floor(F.sum(F.coalesce("best.score", F.lit(0.0))) + 0.5).cast("double").alias("total_score")
+        F.count("*").alias("n"), (F.floor(F.sum(F.coalesce("best.score", F.lit(0.0))) * 100 + 0.5) / 100).alias("total_score")
     )
 
 

@@ -45,7 +45,7 @@ def checked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     "line_validation_by_supplier",
     "P3 A1 A3",
     f"""WITH {LINES_SQL} SELECT s_name, status, count(*) AS n_lines,
-    floor(sum(line_total) + 0.5) AS total FROM checked JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name, status""",
+    floor(sum(line_total) * 100 + 0.5) / 100 AS total FROM checked JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name, status""",
 )
 def line_validation_by_supplier(spark, sf_dir):
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
@@ -55,7 +55,7 @@ def line_validation_by_supplier(spark, sf_dir):
     return (
         by_key.join(supplier, by_key.l_suppkey == supplier.s_suppkey)
         .groupBy("s_name", "status")
-        .agg(F.sum("n_lines").alias("n_lines"), F.floor(F.sum("total") + 0.5).cast("double").alias("total"))
+        .agg(F.sum("n_lines").alias("n_lines"), (F.floor(F.sum("total") * 100 + 0.5) / 100).alias("total"))
     )
 
 

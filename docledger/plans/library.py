@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation", "cells", "joins", "windows", "reports", "costing", "resolve", "documents")
+MODULES = ("validation", "cells", "joins", "windows", "reports", "costing", "resolve", "documents", "extraction")
 
 
 def load() -> None:
