@@ -158,3 +158,36 @@ def normalized_keys(spark, sf_dir):
         )
         .agg(F.count("*").alias("n"))
     )
+
+
+_NORM_SQL = "regexp_replace(lower(cell), '[^a-z0-9]+', '', 'g')"
+
+
+@register(
+    "header_candidate_scores",
+    "G18 G24 F48 A26",
+    f"""WITH h AS (SELECT s_suppkey, unnest(['Item Description', 'Qty', 'Unit Price', 'Total', 'Nett Total', s_name]) AS cell, unnest([10, 200, 320, 450, 460, 600]) + s_suppkey % 7 AS x, unnest([5, 5, 6, 7, 5, 300]) AS y FROM supplier),
+    k AS (SELECT *, {sql_header_key('cell')} AS field, count(*) OVER (PARTITION BY s_suppkey, {_NORM_SQL}) AS f FROM h),
+    c AS (SELECT *, floor((0.15 + 0.3 * CASE WHEN field IS NULL THEN 0.1 WHEN {_NORM_SQL} = field THEN 1 ELSE 0.8 END + 0.2 * greatest(0, 1 - y / 100.0) + 0.2 * least(1, f / 3.0)) * 1000 + 0.5) / 1000 AS score FROM k)
+    SELECT s_suppkey, count(*) AS candidates, count(CASE WHEN score >= 0.5 THEN 1 END) AS accepted, floor(max(score) * 1000 + 0.5) / 1000 AS best, count(DISTINCT CASE WHEN score >= 0.5 THEN field END) AS fields FROM c GROUP BY s_suppkey""",
+)
+def header_candidate_scores(spark, sf_dir):
+    """Header candidates by alignment (a constant), context, place on the page and frequency; from 0.5 on accepted."""
+    from pyspark.sql.window import Window
+
+    names = ("Item Description", "Qty", "Unit Price", "Total", "Nett Total")
+    cells = F.array(*(F.struct(F.lit(c).alias("cell"), F.lit(y).alias("y")) for c, y in zip(names, (5, 5, 6, 7, 5), strict=True)), F.struct(F.col("s_name").alias("cell"), F.lit(300).alias("y")))
+    h = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(cells).alias("c")).select("s_suppkey", "c.*")
+    norm = F.regexp_replace(F.lower("cell"), "[^a-z0-9]+", "")
+    keyed = h.select("*", norm.alias("norm"), header_key(F.col("cell")).alias("field"))
+    f = F.count("*").over(Window.partitionBy("s_suppkey", "norm"))
+    context = F.when(F.col("field").isNull(), 0.1).when(F.col("norm") == F.col("field"), 1.0).otherwise(0.8)
+    score = 0.15 + 0.3 * context + 0.2 * F.greatest(F.lit(0.0), 1 - F.col("y") / 100) + 0.2 * F.least(F.lit(1.0), f / 3)
+    scored = keyed.withColumn("score", F.floor(score * 1000 + 0.5) / 1000)
+    accepted = F.col("score") >= 0.5
+    return scored.groupBy("s_suppkey").agg(
+        F.count("*").alias("candidates"),
+        F.count_if(accepted).alias("accepted"),
+        F.max("score").alias("best"),
+        F.countDistinct(F.when(accepted, F.col("field"))).alias("fields"),
+    )
