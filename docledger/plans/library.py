@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation", "cells", "joins", "windows", "reports", "costing", "resolve", "documents", "extraction")
+MODULES = ("validation", "cells", "joins", "windows", "reports", "costing", "resolve", "documents", "extraction", "memory")
 
 
 def load() -> None:
