@@ -28,6 +28,8 @@ WORDS = 5
 BUCKET_BITS, CHUNK = 22, 4096
 #: Largest set that may list its subsets, and documents in a list whose pairs are compared one by one.
 MAX_SMALL, SHORT_LIST = 12, 24
+#: Sets in a block of a longer list.
+BLOCK_SETS = 256
 #: Bits of the table that tells which sets are needed, and postings that one task sorts, about.
 NEEDED_BITS, PART_POSTINGS = 24, 1 << 21
 
@@ -169,7 +171,8 @@ def _levels(profile: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def _index(docs: DataFrame, levels, small: int, parts: int) -> DataFrame:
-    """Postings, packed by part of the token range (part, tokens, classes, sizes), and subset keys (key, cls, n).
+    """Postings, packed by part of the token range (part, tokens, classes, sizes), and subset keys (key, cls, n, other): other is
+    the size of the sets that the subset stands for.
 
     A class is written once in a task. levels: broadcast of the bucket levels. A token is a shingle's hash with its
     level in front, so that tokens sort by frequency.
@@ -178,7 +181,7 @@ def _index(docs: DataFrame, levels, small: int, parts: int) -> DataFrame:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        names, seen = ["part", "tokens", "classes", "sizes", "key", "cls", "n"], set()
+        names, seen = ["part", "tokens", "classes", "sizes", "key", "cls", "n", "other"], set()
         level = levels.value
         for batch in batches:
             for b in batches_of(batch, "text"):
@@ -192,7 +195,7 @@ def _index(docs: DataFrame, levels, small: int, parts: int) -> DataFrame:
                         for low, high, size in subset_sizes(n, small):
                             for some in itertools.combinations(s.tolist(), size):
                                 key = xxhash.xxh3_64_intdigest(np.array([low, high, *some], dtype=np.uint64).tobytes())
-                                keys.append((key - (1 << 63), c, n))
+                                keys.append((key - (1 << 63), c, n, low + high - n))
                     if 5 * n >= 4 * (small + 1):
                         own = (level[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                         p = prefix_length(n)
@@ -210,7 +213,7 @@ def _index(docs: DataFrame, levels, small: int, parts: int) -> DataFrame:
                     spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
                     empty = pa.array([None] * len(spans), pa.int64())
                     packed = [pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (t, c, n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int32()), *packed, empty, empty, empty], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int32()), *packed, empty, empty, empty, empty], names=names)
                 if keys:
                     empty = [None] * len(keys)
                     yield pa.RecordBatch.from_arrays(
@@ -220,7 +223,7 @@ def _index(docs: DataFrame, levels, small: int, parts: int) -> DataFrame:
                     )
 
     return docs.select("text").mapInArrow(
-        index, "part int, tokens binary, classes binary, sizes binary, key long, cls long, n long"
+        index, "part int, tokens binary, classes binary, sizes binary, key long, cls long, n long, other long"
     )
 
 
@@ -279,12 +282,15 @@ def _unpacked(rows: list[tuple[bytes, bytes, bytes]]):
 
 
 def _subset_links(index: DataFrame) -> DataFrame:
-    """Links of small sets: in a group of equal subsets, sets of the one size link to the first of the other."""
-    keys = index.filter("key is not null").select("key", "cls", "n").distinct()
+    """Links of small sets: in a group of equal subsets, sets of the one size link to the first of the other.
+
+    The key holds both sizes. Where they differ, sets of one size alone share too little to link.
+    """
+    keys = index.filter("key is not null").select("key", "cls", "n", "other").distinct()
     firsts = keys.groupBy("key").agg(
         F.min(F.struct("n", "cls")).alias("low"), F.max(F.struct("n", "cls")).alias("high"), F.count("*").alias("k")
     )
-    pairs = keys.join(firsts.filter("k > 1"), "key")
+    pairs = keys.join(firsts.filter("k > 1"), "key").filter("n = other or low.n <> high.n")
     other = F.when(F.col("n") == F.col("low.n"), F.col("high.cls")).otherwise(F.col("low.cls"))
     return pairs.select(F.col("cls").alias("a"), other.alias("b"))
 
@@ -349,12 +355,64 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").mapInArrow(compare, "a long, b long")
 
 
-def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of documents (doc_id, n, cls) and links between classes (a, b) that join all similar ones.
+def _within_lists(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Connections (a, b) between the roots in lists (token, cls, root) that still hold several components.
+
+    A list is cut into blocks by hash; each pair of blocks is compared by one task, which keeps the pairs to itself and
+    returns one row a class at most.
+    """
+    several = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("k"))
+    blocks = several.filter("r0 <> r1").select("token", F.ceil(F.col("k") / BLOCK_SETS).cast("int").alias("blocks"))
+    dealt = (
+        placed.join(blocks, "token")
+        .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        .withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("token", F.least("block", "_x").alias("i"), F.greatest("block", "_x").alias("j"), "cls", "root")
+    )
+    return dealt.join(sets, "cls").groupBy("token", "i", "j").applyInArrow(compare_sets, "a long, b long")
+
+
+def compare_sets(t: pa.Table) -> pa.Table:
+    """Connects the roots of classes (cls, root, shingles) whose sets are similar; those of one root are connected.
 
-    Exact: two classes of similarity 0.8 or more end up connected, and every link is of that similarity. Lists of up
-    to SHORT_LIST classes are compared pair by pair; in a longer list all compare with one, then only those that are
-    not connected by then compare with each other.
+    Overlaps come from a product of the sets' membership in the shingles that several of them hold.
+    """
+    roots = t.column("root").to_numpy()
+    own = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in t.column("shingles")]
+    n = np.array([len(x) for x in own])
+    _, shingle, held = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(own)), n)
+    common = held[shingle] > 1
+    row, shingle = row[common], np.unique(shingle[common], return_inverse=True)[1]
+    order = np.argsort(shingle, kind="stable")
+    row, shingle = row[order], shingle[order]
+    overlap = np.zeros((len(own), len(own)), dtype=np.float32)
+    width = 8192
+    for first in range(0, int(shingle[-1]) + 1 if len(shingle) else 0, width):
+        some = slice(*np.searchsorted(shingle, (first, first + width)))
+        member = np.zeros((len(own), width), dtype=np.float32)
+        member[row[some], shingle[some] - first] = 1
+        overlap += member @ member.T
+    similar = 9 * overlap.astype(np.int64) >= 4 * (n[:, None] + n[None, :])
+    similar |= roots[:, None] == roots[None, :]
+    label = np.arange(len(own))
+    while True:
+        least = np.where(similar, label[None, :], len(own)).min(axis=1)
+        nxt = np.minimum(label, least)
+        nxt = nxt[nxt]
+        if (nxt == label).all():
+            break
+        label = nxt
+    some = roots != roots[label]
+    return pa.table({"a": pa.array(roots[some], pa.int64()), "b": pa.array(roots[label[some]], pa.int64())})
+
+
+def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of documents (doc_id, n, cls), and roots (node, root): of linked classes, then of linked roots.
+
+    Exact: two classes get one root if and only if a chain of similarities of 0.8 or more connects them. Lists of up to
+    SHORT_LIST classes are compared pair by pair; in a longer list all compare with the one that stands in most long
+    lists, then the lists that still hold several components are compared block by block.
     """
     sc = docs.sparkSession.sparkContext
     profile = stored(_profile(docs), "jaccard-profile")
@@ -367,42 +425,34 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     index = stored(_index(docs, sc.broadcast(levels), small, parts), "jaccard-index")
     lists = stored(_lists(index), "jaccard-lists").distinct()
     spans = stored(
-        lists.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("cls", "n")).alias("first")).filter("k > 1"),
+        lists.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1"),
         "jaccard-spans",
     )
     short = lists.join(spans.filter(f"k <= {SHORT_LIST}").select("token"), "token")
     left = short.select("token", F.col("cls").alias("a"), F.col("n").alias("n_a"))
     right = short.select("token", F.col("cls").alias("b"), F.col("n").alias("n_b"))
     in_short = left.join(right, "token").filter(f"a < b and {SIMILAR_SIZES}")
-    long = stored(lists.join(spans.filter(f"k > {SHORT_LIST}"), "token").select("token", "cls", "n", "first"), "jaccard-long")
-    in_long = long.filter("cls <> first.cls").selectExpr("first.cls as a", "first.n as n_a", "cls as b", "n as n_b").filter(SIMILAR_SIZES)
+    long = stored(lists.join(spans.filter(f"k > {SHORT_LIST}").select("token"), "token"), "jaccard-long")
+    long_tokens = stored(long.groupBy("cls").agg(F.count("*").alias("m")), "jaccard-long-tokens")
+    ranked = long.join(long_tokens, "cls")
+    first = ranked.groupBy("token").agg(F.max(F.struct("m", "cls", "n")).alias("first"))
+    in_long = long.join(first, "token").filter("cls <> first.cls").selectExpr("first.cls as a", "first.n as n_a", "cls as b", "n as n_b").filter(SIMILAR_SIZES)
     counted = (
         in_short.select("a", "n_a", "b", "n_b", F.lit(1).alias("k"))
         .unionByName(in_long.withColumn("k", F.lit(0)))
         .groupBy("a", "n_a", "b", "n_b")
         .agg(F.sum("k").alias("k"))
     )
-    long_tokens = stored(long.groupBy("cls").agg(F.count("*").alias("m")), "jaccard-long-tokens")
     pairs = stored(_candidates(counted, long_tokens), "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(long_tokens.select("cls"))
     sets = stored(_needed_sets(docs, wanted), "jaccard-sets")
     links = stored(_similar(pairs, sets).unionByName(_subset_links(index)), "jaccard-links")
-    if not long_tokens.isEmpty():
-        root = components(links).select(F.col("node").alias("cls"), "root")
-        placed = stored(long.join(root, "cls", "left").select("token", "cls", "n", F.coalesce("root", "cls").alias("root")), "jaccard-placed")
-        open_lists = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
-        still = placed.join(open_lists, "token")
-        x = still.selectExpr("token", "cls as a", "n as n_a", "root as r_a")
-        y = still.selectExpr("token", "cls as b", "n as n_b", "root as r_b")
-        apart = (
-            x.join(y, "token")
-            .filter(f"a < b and r_a <> r_b and {SIMILAR_SIZES}")
-            .groupBy("a", "n_a", "b", "n_b")
-            .agg(F.lit(0).alias("k"))
-        )
-        more = stored(_candidates(apart, long_tokens), "jaccard-apart")
-        links = stored(links.unionByName(_similar(more, sets)), "jaccard-links")
-    return classes, links
+    roots = components(links)
+    if long_tokens.isEmpty():
+        return classes, roots, roots.limit(0)
+    root = roots.select(F.col("node").alias("cls"), "root")
+    placed = stored(long.join(root, "cls", "left").select("token", "cls", F.coalesce("root", "cls").alias("root")), "jaccard-placed")
+    return classes, roots, components(_within_lists(placed, sets))
 
 
 def cluster(docs: DataFrame) -> DataFrame:
@@ -412,10 +462,12 @@ def cluster(docs: DataFrame) -> DataFrame:
     nothing. Repeated rows are documents like any other and share their class. A null doc_id links like any other but
     never names a component: where no document of a component has an id, component_id is null.
     """
-    classes, links = link(docs)
-    root = components(links).select(F.col("node").alias("cls"), "root")
+    classes, roots, top = link(docs)
+    root = roots.select(F.col("node").alias("cls"), F.col("root").alias("low"))
+    top = top.select(F.col("node").alias("low"), "root")
     own = classes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    rooted = own.join(root, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")
+    rooted = own.join(root, "cls", "left").select("cls", F.coalesce("low", "cls").alias("low"), "least")
+    rooted = rooted.join(top, "low", "left").select("cls", F.coalesce("root", "low").alias("root"), "least")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = rooted.join(named, "root").select("cls", "component_id")
     return classes.join(of_class, "cls", "left").select(
