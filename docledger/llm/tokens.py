@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import sys
 import types
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,13 @@ def in_worker(key: str, make):
     return kept[key]
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, put together in ``order``."""
+    n = lengths[order]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[order] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,29 +67,43 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=np.int64) for x in found]
 
-    def _words(self, words: list[str], mark: str, starts: np.ndarray, keep_mark: bool, into: dict) -> None:
-        """Ids of words of letters only: many are encoded as one text and parted at their marks."""
-        for k in range(0, len(words), _JOINED * 64):
-            part = words[k : k + _JOINED * 64]
+    def _words(self, words: list[str], mark: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters only, mark included, and how many each has: many are encoded as one text."""
+        flat, lengths = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for k in range(0, len(words), _JOINED * 16):
+            part = words[k : k + _JOINED * 16]
             ids = np.concatenate(self.whole([mark + mark.join(part[j : j + _JOINED]) for j in range(0, len(part), _JOINED)]))
             at = np.nonzero(starts[ids])[0]
             if len(at) != len(part):
                 raise ValueError("a word's ids do not begin with its mark")
-            own = np.split(ids, at[1:])
-            into.update(zip((mark + w if keep_mark else w for w in part), own if keep_mark else (x[1:] for x in own), strict=True))
-
-    def pieces(self, cuts: list[str]) -> list[np.ndarray]:
-        """Ids of cuts: pieces of text that begin at a pre-token and end before white space."""
-        ids: dict[str, np.ndarray] = {}
-        parts = [(c,) if c[:1] == " " and c[1:].isalpha() else tuple(self.pattern.findall(c)) for c in cuts]
-        pre = {p for ps in parts for p in ps}
-        spaced = [p[1:] for p in pre if p[:1] == " " and p[1:].isalpha()]
-        bare = [p for p in pre if p.isalpha()]
-        self._words(spaced, " ", self.spaced, True, ids)
-        self._words(bare, "\n", self.newline, False, ids)
-        rest = [p for p in pre if p not in ids]
-        ids.update(zip(rest, self.whole(rest), strict=True))
-        return [ids[p[0]] if len(p) == 1 else np.concatenate([ids[x] for x in p]) for p in parts]
+            flat.append(ids)
+            lengths.append(np.diff(np.append(at, len(ids))))
+        return np.concatenate(flat), np.concatenate(lengths)
+
+    def pieces(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of cuts - pieces of text that begin at a pre-token and end before white space - and how many each has."""
+        number: dict[str, int] = {}
+        at, count = array("q"), array("q")
+        for c in cuts:
+            parts = (c,) if c[:1] == " " and c[1:].isalpha() else self.pattern.findall(c)
+            count.append(len(parts))
+            for p in parts:
+                at.append(number.setdefault(p, len(number)))
+        pre = list(number)
+        spaced = [i for i, p in enumerate(pre) if p[:1] == " " and p[1:].isalpha()]
+        bare = [i for i, p in enumerate(pre) if p.isalpha()]
+        rest = sorted(set(range(len(pre))) - set(spaced) - set(bare))
+        ids_a, n_a = self._words([pre[i][1:] for i in spaced], " ", self.spaced)
+        ids_b, n_b = self._words([pre[i] for i in bare], "\n", self.newline)
+        found = self.whole([pre[i] for i in rest])
+        ids_c, n_c = np.concatenate([np.zeros(0, dtype=np.int64), *found]), np.array([len(x) for x in found], dtype=np.int64)
+        own = np.array([*spaced, *bare, *rest], dtype=np.int64)
+        lengths, starts = np.zeros(len(pre), dtype=np.int64), np.zeros(len(pre), dtype=np.int64)
+        lengths[own] = np.concatenate((n_a, n_b - 1, n_c))
+        starts[own] = np.cumsum(lengths[own]) - lengths[own]
+        flat = np.concatenate((ids_a, ids_b[~self.newline[ids_b]], ids_c))
+        at, count = np.frombuffer(at, dtype=np.int64), np.frombuffer(count, dtype=np.int64)
+        return gathered(flat, starts, lengths, at), np.add.reduceat(lengths[at], np.cumsum(count) - count)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Token ids of each text; a null text counts as empty."""
@@ -101,14 +123,9 @@ class Encoder:
             firsts, code = np.unique(codes[offsets[:-1]], return_inverse=True)
             codes[offsets[:-1]] = code + len(chunks)  # a text's first cut has no space before it
             cuts = [c if c[:1] == "\n" else " " + c for c in chunks] + [chunks[i] for i in firsts]
-            found = self.pieces(cuts)
-            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            starts = np.concatenate(([0], np.cumsum(lengths)))
-            flat = np.concatenate(found)
-            n = lengths[codes]
-            ends = np.cumsum(n)
-            ids = flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1])]
-            per_text = np.concatenate(([0], ends))[offsets]
+            flat, lengths = self.pieces(cuts)
+            ids = gathered(flat, np.cumsum(lengths) - lengths, lengths, codes)
+            per_text = np.concatenate(([0], np.cumsum(lengths[codes])))[offsets]
             for k, i in enumerate(plain):
                 out[i] = ids[per_text[k] : per_text[k + 1]]
         return out
