@@ -73,13 +73,14 @@ def row_role(x: Column) -> Column:
     """Role of a row of text: the first vocabulary that it meets, else a line item with three numbers and a word."""
     text = clean_cell(x)
     low = F.lower(text)
-    out = F.when((number_count(text) >= 3) & text.rlike("[A-Za-z]{2,}"), "line_item").otherwise("noise")
+    plain = F.when((number_count(text) >= 3) & text.rlike("[A-Za-z]{2,}"), "line_item").otherwise("noise")
+    out, any_term = plain, "|".join(terms for _, terms in ROLE_RULES)
     for role, terms in reversed(ROLE_RULES):
         hit = low.rlike(bounded(terms))
         if role == "vat":
             hit = hit & (F.regexp_count(text, F.lit("[0-9]")) <= 8)
         out = F.when(hit, "footer" if role == "contact" else role).otherwise(out)
-    return F.when(text == "", "empty").otherwise(out)
+    return F.when(text == "", "empty").when(~low.rlike(any_term), plain).otherwise(out)
 
 
 def sql_header_key(x: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -154,24 +156,21 @@ def positional_zip(spark, sf_dir):
 
 
 def _triples(spark, sf_dir, lenient: bool):
-    """Triples (quantity, price, total) of cells of one line, scored; the cells of a line are an array of four at most."""
-    line = checked_lines(spark, sf_dir)
-    cells = F.filter(
-        F.array(*(F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in enumerate(("quantity", "unit_price", "line_total", "vat"), 1))),
-        lambda c: c["v"] > 0,
-    )
-
-    def scored(q, p, t):
-        off = F.abs(F.floor((t["v"] - F.floor(q["v"] * p["v"] * 100 + 0.5) / 100) * 100 + 0.5) / 100)
-        bad = off > F.greatest(F.lit(0.05), t["v"] * 0.02)
-        crossed = 2.0 * ((q["k"] > p["k"]).cast("int") + (p["k"] > t["k"]).cast("int"))
-        score = (F.when(bad, 1000.0).otherwise(0.0) + off + crossed) if lenient else off + crossed
-        ok = (q["k"] != p["k"]) & (p["k"] != t["k"]) & (q["k"] != t["k"])
-        entry = F.struct(score.alias("score"), q["k"].alias("q"), p["k"].alias("p"), t["k"].alias("t"))
-        return F.when(ok if lenient else ok & ~bad, entry)
-
-    every = F.flatten(F.flatten(F.transform("cells", lambda q: F.transform("cells", lambda p: F.transform("cells", lambda t: scored(q, p, t))))))
-    return line.withColumn("cells", cells).select(F.array_min(F.filter(every, lambda x: x.isNotNull())).alias("best"))
+    """Best triple (quantity, price, total) of the cells of each line: four cells, so 24 triples, as plain expressions."""
+    fields = ("quantity", "unit_price", "line_total", "vat")
+    cell = {k: F.col(c) for k, c in enumerate(fields, 1)}
+    cents = lambda x: F.floor(x * 100 + 0.5) / 100
+
+    def scored(q: int, p: int, t: int):
+        present = (cell[q] > 0) & (cell[p] > 0) & (cell[t] > 0)
+        off = F.abs(cents(cell[t] - cents(cell[q] * cell[p])))
+        bad = off > F.greatest(F.lit(0.05), cell[t] * 0.02)
+        score = off + 2.0 * ((q > p) + (p > t)) + (F.when(bad, 1000.0).otherwise(0.0) if lenient else F.lit(0.0))
+        entry = F.struct(score.alias("score"), F.lit(q).alias("q"), F.lit(p).alias("p"), F.lit(t).alias("t"))
+        return F.when(present if lenient else present & ~bad, entry)
+
+    every = F.array(*(scored(*some) for some in permutations(cell, 3)))
+    return checked_lines(spark, sf_dir).select(F.array_min(every).alias("best"))
 
 
 def _triples_sql(lenient: bool) -> str:
