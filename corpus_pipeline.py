@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
-A stage takes (spark, docs, sf_dir). All but the last return the columns of docs; a document travels as one struct, so
-further columns stay as they are, whatever their names.
+A stage takes (spark, docs, sf_dir). All but the last return the columns of docs; a document travels as one struct, or
+under numbered names, so further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +22,12 @@ def _wrapped(docs: DataFrame, *needed: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no text, no letter, or no language clearly likelier than the others."""
-    found = langid.identify(_wrapped(docs, "doc_id", "text", "lang"), ["_doc"])
-    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("_doc.*")
+    path = langid.vocabulary_path()
+    train = docs.filter(~langid.held_out(F.col("doc_id"), 5)).select("doc_id", "text", "lang")
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    found = langid.predict(numbered, numbered.columns, *langid.fit(train, path), path, f"c{docs.columns.index('text')}")
+    kept = found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return kept.select(*numbered.columns).toDF(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,8 +208,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def predict(docs: DataFrame, carry: list[str], langs: list[str], probs: np.ndarray, path: str) -> DataFrame:
-    """``carry`` (columns of docs), lang_pred and score for every whole text.
+def predict(docs: DataFrame, carry: list[str], langs: list[str], probs: np.ndarray, path: str, text: str = "text") -> DataFrame:
+    """``carry`` (columns of docs), lang_pred and score for every whole text, which is in the column ``text``.
 
     lang_pred is the language under which the text is likeliest (the first by name on a tie), score its share of the
     likelihood summed over the languages. A text that is null or has no letter is ``und`` with score 0; so is every
@@ -217,11 +217,12 @@ def predict(docs: DataFrame, carry: list[str], langs: list[str], probs: np.ndarr
     """
     schema = StructType([docs.schema[c] for c in carry]).add("lang_pred", "string").add("score", "double")
     names = np.array([*langs, UNDETERMINED], dtype=object)
+    column = text if text in carry else "_text"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in batches_of(batch, "_text"):
-                texts = b.column("_text")
+            for b in batches_of(batch, column, 8 << 20):
+                texts = b.column(column)
                 lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 best, share = np.full(b.num_rows, len(langs)), np.zeros(b.num_rows)
                 if langs:
@@ -237,7 +238,8 @@ def predict(docs: DataFrame, carry: list[str], langs: list[str], probs: np.ndarr
                     names=[*carry, "lang_pred", "score"],
                 )
 
-    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(score, schema)
+    more = [] if text in carry else [F.col(text).alias(column)]
+    return docs.select(*carry, *more).mapInArrow(score, schema)
 
 
 def held_out(doc_id: Column, folds: int) -> Column:
