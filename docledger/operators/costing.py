@@ -29,10 +29,11 @@ def explode_recipes(parts: DataFrame, roots: DataFrame, max_depth: int = MAX_DEP
         level = level.join(parts, level.node == parts.parent).select(
             "root",
             F.col("child").alias("node"),
-            (F.col("scale") * line).alias("scale"),
-            F.when(F.array_contains("path", F.col("child")), F.raise_error(F.lit("Circular batch recipe detected.")))
-            .otherwise(F.concat("path", F.array("child")))
-            .alias("path"),
+            # the check stands in a column that is always used, so that pruning cannot drop it
+            F.when(F.array_contains("path", F.col("child")), F.raise_error(F.lit("Circular batch recipe detected.")).cast("double"))
+            .otherwise(F.col("scale") * line)
+            .alias("scale"),
+            F.concat("path", F.array("child")).alias("path"),
         )
         found = level if found is None else found.unionByName(level)
     return found.select("root", F.col("node").alias("part"), F.col("scale").alias("quantity"))

@@ -25,7 +25,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 def stream(spark: SparkSession, folder: str, schema, late: str = "1 hour") -> DataFrame:
     """Files as they arrive; events later than the watermark are left out, and repeats of an event within it."""
-    read = spark.readStream.schema(schema).parquet(folder)
+    read = spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
     return read.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 

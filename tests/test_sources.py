@@ -56,8 +56,17 @@ def test_recipes(spark):
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.repartition(2).write.parquet(str(tmp_path / "in"))
-    stream = metrics.hourly(metrics.stream(spark, str(tmp_path / "in"), events.schema, late="400 days"))
+    stream = metrics.hourly(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
     query = stream.writeStream.format("memory").queryName("hourly").outputMode("complete").trigger(availableNow=True)
     query.option("checkpointLocation", str(tmp_path / "at")).start().awaitTermination()
     assert sorted(map(tuple, spark.table("hourly").collect())) == sorted(map(tuple, metrics.hourly(events).collect()))
     assert spark.table("hourly").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_stream_drops_repeats(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.unionByName(events).write.parquet(str(tmp_path / "in"))
+    stream = metrics.stream(spark, str(tmp_path / "in"), events.schema, late="400 days")
+    query = stream.writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True)
+    query.option("checkpointLocation", str(tmp_path / "at")).start().awaitTermination()
+    assert spark.table("once").count() == events.count()
