@@ -50,8 +50,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it, up to three times; those not taken go."""
     weights = mixing.quality_weight(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = _wrapped(docs, "doc_id", "source", n_words(F.col("text")).alias("size")).join(weights, "doc_id", "left")
-    mixed = mixing.mix(rows).select("_doc", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_copy"), "times")
-    return mixed.filter("_copy <= times").select("_doc.*")
+    mixed = mixing.mix(rows).select("_doc", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
+    return mixed.select("_doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

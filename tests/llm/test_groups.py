@@ -314,3 +314,15 @@ def test_pipeline_against_brute_force(spark):
     named = {g for _, g in groups.values()}
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()}
     assert got and got <= named
+
+
+def test_pipeline_mix_copies_each_document_as_often_as_the_mix_takes_it(spark):
+    """Source a outweighs its target, so some of its documents go; b and c are repeated."""
+    rows = [(i, f"{i} " * (5 + i % 7), "a" if i < 60 else "b" if i < 66 else "c") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(r["doc_id"] for r in corpus_pipeline.source_mix(spark, docs, SF).collect())
+    weights = mixing.quality_weight(spark.read.parquet(f"{SF}/labels.parquet"))
+    sized = docs.selectExpr("doc_id", "source", "cast(size(split(trim(text), ' ')) as long) as size").join(weights, "doc_id", "left")
+    times = {r["doc_id"]: r["times"] for r in mixing.mix(sized).collect()}
+    assert set(times.values()) >= {0, 1, 3}
+    assert all(got[i] == n for i, n in times.items())
