@@ -154,16 +154,38 @@ def ratio_udf(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@register("fuzzy_ratio_best", "J14 F45 F46 F47 B7")
-def fuzzy_ratio_best(spark, sf_dir):
-    """Best menu name for each sold name: an equal name first, else the best ratio among names that share a word.
+def _letters_bound(a, b):
+    """No ratio of two texts is above this: twice the letters they share, over all their letters, times 100."""
+    of = lambda text, x: F.length(text) - F.length(F.replace(text, x, F.lit("")))
+    letters = F.array_distinct(F.filter(F.split(a, ""), lambda x: x != ""))
+    shared = F.aggregate(letters, F.lit(0), lambda n, x: n + F.least(of(a, x), of(b, x)))
+    return shared * 200.0 / F.greatest(F.length(a) + F.length(b), F.lit(1))
+
+
+def best_ratios(sold: DataFrame, menu: DataFrame) -> DataFrame:
+    """sold, m (score, menu): the best ratio among all names of the menu, null where the menu is empty.
 
-    Sold names differ from the menu's in letters of one word, so a shared word finds every pair near the threshold.
+    sold: sold; menu: menu; both distinct. The best among names that share a word is a floor; all other names whose
+    lengths and letters allow a ratio that high are compared too. Pairs meet by their lengths.
     """
+    slack = 1e-6
+    worded = sold.withColumn("word", F.explode(F.split("sold", " "))).join(menu.withColumn("word", F.explode(F.split("menu", " "))), "word")
+    scored = worded.select("sold", "menu").distinct().withColumn("score", ratio_udf("sold", "menu"))
+    floors = scored.groupBy("sold").agg(F.max("score").alias("floor"))
+    a = sold.join(floors, "sold", "left").select("sold", F.coalesce("floor", F.lit(0.0)).alias("floor"), F.length(F.lower("sold")).alias("n_a"))
+    b = menu.withColumn("n_b", F.length(F.lower("menu")))
+    reach = F.least("n_a", "n_b") * 200.0 / F.greatest(F.col("n_a") + F.col("n_b"), F.lit(1)) >= F.col("floor") - slack
+    near = a.join(b.select("n_b").distinct(), (F.col("n_a") + F.col("n_b") == 0) | reach).join(b, "n_b")
+    near = near.filter((F.col("n_a") + F.col("n_b") == 0) | (_letters_bound(F.lower("sold"), F.lower("menu")) >= F.col("floor") - slack))
+    best = near.withColumn("score", ratio_udf("sold", "menu")).groupBy("sold").agg(F.max(F.struct("score", "menu")).alias("m"))
+    return sold.join(best, "sold", "left")
+
+
+@register("fuzzy_ratio_best", "J14 F45 F46 F47 B7")
+def fuzzy_ratio_best(spark, sf_dir):
+    """Best menu name for each sold name, by ratio among all of them."""
     part = table(spark, sf_dir, "part")
-    menu = part.select(F.col("p_name").alias("menu")).distinct().withColumn("word", F.explode(F.split("menu", " ")))
+    menu = part.select(F.col("p_name").alias("menu")).distinct()
     sold = part.select(F.concat(F.substring("p_name", 1, 3), F.lit("x"), F.expr("substring(p_name, 4)")).alias("sold")).distinct()
-    pairs = sold.withColumn("word", F.explode(F.split("sold", " "))).join(menu, "word").select("sold", "menu").distinct()
-    scored = pairs.withColumn("score", ratio_udf("sold", "menu"))
-    best = scored.groupBy("sold").agg(F.max(F.struct("score", "menu")).alias("m"))
+    best = best_ratios(sold, menu)
     return best.select("sold", "m.menu", "m.score", F.when(F.col("m.score") >= 95, "auto").otherwise("needs_review").alias("status"))

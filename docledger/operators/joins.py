@@ -268,7 +268,7 @@ def token_overlap_top1(spark, sf_dir):
 )
 def stock_price_substring(spark, sf_dir):
     """Exact name, else the first stock item whose noun the name contains; nouns are an equi-join, not a scan of all pairs."""
-    part = table(spark, sf_dir, "part").withColumn("noun", F.split("p_name", " ")[1])
+    part = table(spark, sf_dir, "part").withColumn("noun", F.split_part("p_name", F.lit(" "), F.lit(2)))
     exact = part.filter("p_partkey % 3 = 0").groupBy("p_name").agg(F.min("p_retailprice").alias("e"))
     first = part.groupBy("noun").agg(F.min_by("p_retailprice", "p_partkey").alias("g"))
     names = part.select("p_name", "noun").distinct()
