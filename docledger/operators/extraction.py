@@ -70,16 +70,17 @@ def grid_extraction(spark, sf_dir):
         return F.when(swap, F.array(b, a, d, c)).otherwise(F.array(a, b, c, d))
 
     body = lines.select(F.col("l_orderkey").alias("doc_id"), (n + 1).alias("row_idx"), ordered(row).alias("cells"))
-    orders = lines.select("l_orderkey").distinct()
+    orders = lines.groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+    below = lambda k: F.col("lines") + k
     extra = orders.select(
         F.col("l_orderkey").alias("doc_id"),
         F.explode(
             F.array(
-                F.struct(F.lit(0).alias("row_idx"), F.array(F.lit("Order")).alias("cells")),
-                F.struct(F.lit(1).alias("row_idx"), ordered(head).alias("cells")),
-                F.struct(F.lit(1000).alias("row_idx"), F.array(F.lit(" "), F.lit("")).alias("cells")),
-                F.struct(F.lit(1001).alias("row_idx"), F.array(F.lit("Subtotal"), F.lit("1.00")).alias("cells")),
-                F.struct(F.lit(1002).alias("row_idx"), ordered(["after", "1", "1", "1"]).alias("cells")),
+                F.struct(F.lit(0).cast("long").alias("row_idx"), F.array(F.lit("Order")).alias("cells")),
+                F.struct(F.lit(1).cast("long").alias("row_idx"), ordered(head).alias("cells")),
+                F.struct(below(2).alias("row_idx"), F.array(F.lit(" "), F.lit("")).alias("cells")),
+                F.struct(below(3).alias("row_idx"), F.array(F.lit("Subtotal"), F.lit("1.00")).alias("cells")),
+                F.struct(below(4).alias("row_idx"), ordered(["after", "1", "1", "1"]).alias("cells")),
             )
         ).alias("r"),
     ).select("doc_id", "r.row_idx", "r.cells")

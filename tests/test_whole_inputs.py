@@ -44,3 +44,11 @@ def test_best_ratio_of_all_names(spark, names):
     assert set(got) == {f"{m[:3]}x{m[3:]}" for m in menu}
     for sold, r in got.items():
         assert (r["score"], r["menu"]) == max((costing.ratio(sold, m), m) for m in menu)
+
+
+def test_grid_of_a_long_order(spark, tmp_path):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    long = lines.withColumn("l_orderkey", F.when(F.col("l_orderkey") % 3 == 0, F.lit(3).cast("long")).otherwise(F.col("l_orderkey")))
+    assert long.filter("l_orderkey = 3").count() > 1500
+    long.write.parquet(f"{tmp_path}/lineitem.parquet")
+    against_sql(spark, "grid_extraction", str(tmp_path), "lineitem")
