@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +19,20 @@ from pyspark.sql.window import Window
 SEPARATORS = " \t\n\x0b\x0c\r"
 
 _own_dirs: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where it is unset (a local session, as in tests) a temporary folder takes its place.
+    Only where it is unset and the session is local (as in tests) a temporary folder takes its place; on a cluster
+    executors would write to disks of their own, so an unset folder raises.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -34,11 +40,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read back: cuts the lineage."""
+    """``df`` written once as a table in the shared folder and read back: cuts the lineage.
+
+    Spark knows the table's size, so joins with it are broadcast only where that is small.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``stored``, once all that was derived from them is itself stored."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path:
+            jvm = table.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def doc_crc(doc_id: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import stored
+from docledger.llm.common import discard, stored
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,8 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
-        seen = mark
+        seen, before = mark, now
         now = stored(_stars(_stars(now, large=True), large=False), "edges")
+        discard(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import batches_of, stored, word_codes
+from docledger.llm.common import batches_of, discard, stored, word_codes
 from docledger.llm.graph import components
 
 #: Words of a shingle. The similarity is 0.8, that is an overlap of 4/9 of the two sizes' sum.
@@ -28,10 +28,10 @@ WORDS = 5
 BUCKET_BITS, CHUNK = 22, 4096
 #: Largest set that may list its subsets, and documents in a list whose pairs are compared one by one.
 MAX_SMALL, SHORT_LIST = 12, 24
-#: Sets in a block of a longer list.
-BLOCK_SETS = 256
-#: Bits of the table that tells which sets are needed, and postings that one task sorts, about.
-NEEDED_BITS, PART_POSTINGS = 24, 1 << 21
+#: Sets in a block of a longer list, and their shingles together, about.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 21
+#: The table that tells which sets are needed has at most 2 ** NEEDED_BITS bits; postings that one task sorts, about.
+NEEDED_BITS, PART_POSTINGS = 27, 1 << 21
 
 _FACTORS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64
@@ -227,34 +227,75 @@ def _index(docs: DataFrame, levels, small: int, parts: int) -> DataFrame:
     )
 
 
-def repeated_postings(chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of postings (token, class, size) that stream in, those whose token stands in two classes at least.
+def repeated_postings(
+    chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], short: int
+) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of postings (token, class, size) that stream in, those of repeated tokens, each with its kind.
 
-    Only the first posting of each token is remembered, however long the token's list; a posting that several tasks
-    wrote may come out more than once.
+    (True, ...): postings of tokens that stand in more than ``short`` classes, as they come; a posting that several
+    tasks wrote may come out more than once. (False, ...), last: the postings, sorted and distinct, of the tokens that
+    stand in 2 to ``short`` classes. No more than ``short`` postings of a token are remembered, however long its list.
     """
     t0, c0, n0 = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
-    out0 = np.zeros(0, dtype=bool)
+    long = np.zeros(0, dtype=np.uint64)
     for t, c, n in chunks:
-        old = np.concatenate((np.ones(len(t0), dtype=bool), np.zeros(len(t), dtype=bool)))
-        out = np.concatenate((out0, np.zeros(len(t), dtype=bool)))
+        if len(long):
+            known = long[np.minimum(np.searchsorted(long, t), len(long) - 1)] == t
+            yield True, t[known], c[known], n[known]
+            t, c, n = t[~known], c[~known], n[~known]
         t, c, n = np.concatenate((t0, t)), np.concatenate((c0, c)), np.concatenate((n0, n))
-        order = np.lexsort((~old, t))
-        t, c, n, old, out = t[order], c[order], n[order], old[order], out[order]
-        if not len(t):
-            continue
-        starts = np.concatenate(([0], np.nonzero(t[1:] != t[:-1])[0] + 1))
-        counts = np.diff(np.append(starts, len(t)))
-        several = (np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)) | out[starts]
-        emit = np.repeat(several, counts) & ~out
-        yield t[emit], c[emit], n[emit]
-        t0, c0, n0, out0 = t[starts], c[starts], n[starts], several
-
-
-def _lists(index: DataFrame) -> DataFrame:
-    """token, cls, n of every token that stands in two classes at least."""
+        order = np.lexsort((c, t))
+        t, c, n = t[order], c[order], n[order]
+        fresh = np.ones(len(t), dtype=bool)
+        fresh[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+        t, c, n = t[fresh], c[fresh], n[fresh]
+        starts, counts = _spans(t)
+        over = counts > short
+        out = np.repeat(over, counts)
+        yield True, t[out], c[out], n[out]
+        long = np.union1d(long, t[starts[over]])
+        t0, c0, n0 = t[~out], c[~out], n[~out]
+    counts = _spans(t0)[1]
+    some = np.repeat(counts > 1, counts)
+    yield False, t0[some], c0[some], n0[some]
+
+
+def _spans(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value of a sorted array starts, and how often it stands there."""
+    starts = np.nonzero(np.concatenate((np.ones(min(len(t), 1), dtype=bool), t[1:] != t[:-1])))[0]
+    return starts, np.diff(np.append(starts, len(t)))
+
+
+def list_pairs(t: np.ndarray, c: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs a < b of classes of similar size that share a token, their sizes, and how many tokens they share.
+
+    Postings are sorted by token and class. PART_POSTINGS pairs are formed at a time, about; a pair may come out of
+    several of these steps, each with its own number.
+    """
+    starts, counts = _spans(t)
+    for m in np.unique(counts).tolist():
+        i, j = np.triu_indices(m, 1)
+        own = starts[counts == m]
+        for part in np.array_split(own, max(1, len(own) * len(i) // PART_POSTINGS)):
+            at = part[:, None] + np.arange(m)
+            x, y = at[:, i].ravel(), at[:, j].ravel()
+            alike = 5 * np.minimum(n[x], n[y]).astype(np.int64) >= 4 * np.maximum(n[x], n[y])
+            x, y = x[alike], y[alike]
+            order = np.lexsort((c[y], c[x]))
+            x, y = x[order], y[order]
+            first = np.ones(len(x), dtype=bool)
+            first[1:] = (c[x][1:] != c[x][:-1]) | (c[y][1:] != c[y][:-1])
+            at = np.nonzero(first)[0]
+            yield c[x[at]], c[y[at]], n[x[at]], n[y[at]], np.diff(np.append(at, len(x)))
+
+
+def _lists(index: DataFrame, parts: int) -> DataFrame:
+    """Of the short lists, pairs of classes (a, b, n_a, n_b, k: lists they share); of the others, the postings
+    (token, a: class, n_a: its size)."""
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "a", "b", "n_a", "n_b", "k"]
+
         def chunks():
             held, size = [], 0
             for b in batches:
@@ -267,13 +308,18 @@ def _lists(index: DataFrame) -> DataFrame:
             if held:
                 yield tuple(np.concatenate(x) for x in _unpacked(held))
 
-        for t, c, n in repeated_postings(chunks()):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(t.view(np.int64)), pa.array(c), pa.array(n.astype(np.int64))], names=["token", "cls", "n"]
-            )
+        for long, t, c, n in repeated_postings(chunks(), SHORT_LIST):
+            if long:
+                none = pa.nulls(len(t), pa.int64())
+                columns = [pa.array(t.view(np.int64)), pa.array(c), none, pa.array(n.astype(np.int64)), none, none]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                continue
+            for found in list_pairs(t, c, n):
+                token = pa.nulls(len(found[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays([token, *(pa.array(x.astype(np.int64)) for x in found)], names=names)
 
-    packed = index.filter("part is not null").repartition("part").select("tokens", "classes", "sizes")
-    return packed.mapInArrow(repeats, "token long, cls long, n long")
+    packed = index.filter("part is not null").repartition(parts, "part").select("tokens", "classes", "sizes")
+    return packed.mapInArrow(repeats, "token long, a long, b long, n_a long, n_b long, k long")
 
 
 def _unpacked(rows: list[tuple[bytes, bytes, bytes]]):
@@ -312,10 +358,15 @@ def _candidates(pairs: DataFrame, long_tokens: DataFrame) -> DataFrame:
 
 
 def _needed_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """cls, shingles (packed) of the given classes, and of a few others: a table of 2 ** NEEDED_BITS bits chooses."""
-    spot = f"pmod(cls, {1 << NEEDED_BITS})"
+    """cls, shingles (packed) of the given classes, and of a few others: a table of bits chooses.
+
+    The table has 16 bits a class, up to 2 ** NEEDED_BITS. Beyond that it lets more and more of the other sets pass,
+    which the join that follows drops.
+    """
+    size = 1 << min(max((16 * classes.distinct().count()).bit_length(), 16), NEEDED_BITS)
+    spot = f"pmod(cls, {size})"
     words = classes.selectExpr(f"{spot} div 64 as w", f"shiftleft(1L, cast({spot} % 64 as int)) as bit").groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    table = np.zeros((1 << NEEDED_BITS) // 64, dtype=np.int64)
+    table = np.zeros(size // 64, dtype=np.int64)
     got = words.toPandas()
     table[got["w"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
     needed = docs.sparkSession.sparkContext.broadcast(table)
@@ -327,7 +378,7 @@ def _needed_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 found = {}
                 for s in shingle_sets(b.column("text")):
                     c = class_of(s)
-                    at = c % (1 << NEEDED_BITS)
+                    at = c % size
                     if c not in seen and int(bits[at // 64]) >> (at % 64) & 1:
                         seen.add(c)
                         found[c] = s.tobytes()
@@ -356,13 +407,16 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _within_lists(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Connections (a, b) between the roots in lists (token, cls, root) that still hold several components.
+    """Connections (a, b) between the roots in lists (token, cls, n, root) that still hold several components.
 
     A list is cut into blocks by hash; each pair of blocks is compared by one task, which keeps the pairs to itself and
     returns one row a class at most.
     """
-    several = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("k"))
-    blocks = several.filter("r0 <> r1").select("token", F.ceil(F.col("k") / BLOCK_SETS).cast("int").alias("blocks"))
+    several = placed.groupBy("token").agg(
+        F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("k"), F.sum("n").alias("shingles")
+    )
+    size = F.ceil(F.greatest(F.col("k") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES))
+    blocks = several.filter("r0 <> r1").select("token", size.cast("int").alias("blocks"))
     dealt = (
         placed.join(blocks, "token")
         .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
@@ -416,43 +470,41 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     sc = docs.sparkSession.sparkContext
     profile = stored(_profile(docs), "jaccard-profile")
-    classes = profile.filter("chunk is null").select("doc_id", "n", "cls")
+    classes = stored(profile.filter("chunk is null").select("doc_id", "n", "cls"), "jaccard-classes")
     levels, list_length = _levels(profile)
+    discard(profile)
     sizes = classes.filter(f"n between 1 and {MAX_SMALL}").groupBy("n").count().collect()
     small = boundary({r["n"]: r["count"] for r in sizes}, list_length)
     postings = classes.agg(F.sum(F.expr("n - (4 * n + 4) div 5 + 1"))).first()[0] or 0
-    parts = max(64, -(-int(postings) // PART_POSTINGS) * 4)
+    parts = max(32, -(-int(postings) // PART_POSTINGS) * 4)
     index = stored(_index(docs, sc.broadcast(levels), small, parts), "jaccard-index")
-    lists = stored(_lists(index), "jaccard-lists").distinct()
-    spans = stored(
-        lists.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1"),
-        "jaccard-spans",
-    )
-    short = lists.join(spans.filter(f"k <= {SHORT_LIST}").select("token"), "token")
-    left = short.select("token", F.col("cls").alias("a"), F.col("n").alias("n_a"))
-    right = short.select("token", F.col("cls").alias("b"), F.col("n").alias("n_b"))
-    in_short = left.join(right, "token").filter(f"a < b and {SIMILAR_SIZES}")
-    long = stored(lists.join(spans.filter(f"k > {SHORT_LIST}").select("token"), "token"), "jaccard-long")
+    lists = stored(_lists(index, parts), "jaccard-lists")
+    of_subsets = stored(_subset_links(index), "jaccard-subset-links")
+    discard(index)
+    long = stored(lists.filter("token is not null").selectExpr("token", "a as cls", "n_a as n").distinct(), "jaccard-long")
     long_tokens = stored(long.groupBy("cls").agg(F.count("*").alias("m")), "jaccard-long-tokens")
     ranked = long.join(long_tokens, "cls")
     first = ranked.groupBy("token").agg(F.max(F.struct("m", "cls", "n")).alias("first"))
     in_long = long.join(first, "token").filter("cls <> first.cls").selectExpr("first.cls as a", "first.n as n_a", "cls as b", "n as n_b").filter(SIMILAR_SIZES)
     counted = (
-        in_short.select("a", "n_a", "b", "n_b", F.lit(1).alias("k"))
+        lists.filter("token is null").select("a", "n_a", "b", "n_b", "k")
         .unionByName(in_long.withColumn("k", F.lit(0)))
         .groupBy("a", "n_a", "b", "n_b")
         .agg(F.sum("k").alias("k"))
     )
     pairs = stored(_candidates(counted, long_tokens), "jaccard-pairs")
+    discard(lists)
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(long_tokens.select("cls"))
     sets = stored(_needed_sets(docs, wanted), "jaccard-sets")
-    links = stored(_similar(pairs, sets).unionByName(_subset_links(index)), "jaccard-links")
+    links = stored(_similar(pairs, sets).unionByName(of_subsets), "jaccard-links")
     roots = components(links)
-    if long_tokens.isEmpty():
-        return classes, roots, roots.limit(0)
+    discard(pairs, links, of_subsets)
     root = roots.select(F.col("node").alias("cls"), "root")
-    placed = stored(long.join(root, "cls", "left").select("token", "cls", F.coalesce("root", "cls").alias("root")), "jaccard-placed")
-    return classes, roots, components(_within_lists(placed, sets))
+    placed = stored(long.join(root, "cls", "left").select("token", "cls", "n", F.coalesce("root", "cls").alias("root")), "jaccard-placed")
+    discard(long, long_tokens)
+    top = components(_within_lists(placed, sets))
+    discard(placed, sets)
+    return classes, roots, top
 
 
 def cluster(docs: DataFrame) -> DataFrame:

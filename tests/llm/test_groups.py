@@ -108,15 +108,35 @@ def test_prefixes_and_sizes(a, b):
         assert a > jaccard.MAX_SMALL or b > jaccard.MAX_SMALL or (min(a, b), max(a, b), need) in jaccard.subset_sizes(a)
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 4)), max_size=8), max_size=5))
-def test_repeated_postings(chunks):
-    arrays = [(np.array([t for t, _ in c], dtype=np.uint64), np.array([x for _, x in c], dtype=np.int64), np.ones(len(c), dtype=np.int32)) for c in chunks]
-    got = {(int(t), int(c)) for ts, cs, _ in jaccard.repeated_postings(iter(arrays)) for t, c in zip(ts, cs, strict=True)}
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 4)), max_size=8), max_size=5), st.integers(2, 4))
+def test_repeated_postings(chunks, short):
+    size = {0: 10, 1: 11, 2: 12, 3: 15, 4: 30}
+    arrays = [
+        (np.array([t for t, _ in c], dtype=np.uint64), np.array([x for _, x in c], dtype=np.int64), np.array([size[x] for _, x in c], dtype=np.int32))
+        for c in chunks
+    ]
     held = defaultdict(set)
     for t, c in itertools.chain(*chunks):
         held[t].add(c)
-    assert got == {(t, c) for t, cs in held.items() if len(cs) > 1 for c in cs}
+    long, pairs = set(), Counter()
+    for kind, *postings in jaccard.repeated_postings(iter(arrays), short):
+        if kind:
+            long |= set(zip(postings[0].tolist(), postings[1].tolist(), strict=True))
+        else:
+            for a, b, n_a, n_b, k in jaccard.list_pairs(*postings):
+                for x in zip(a.tolist(), b.tolist(), n_a.tolist(), n_b.tolist(), k.tolist(), strict=True):
+                    assert x[2:4] == (size[x[0]], size[x[1]])
+                    pairs[x[:2]] += x[4]
+    assert long == {(t, c) for t, cs in held.items() if len(cs) > short for c in cs}
+    assert pairs == Counter(
+        (a, b)
+        for cs in held.values()
+        if 1 < len(cs) <= short
+        for a, b in itertools.combinations(sorted(cs), 2)
+        if 5 * min(size[a], size[b]) >= 4 * max(size[a], size[b])
+    )
+
 
 
 def brute_vectors(rows):
