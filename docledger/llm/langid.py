@@ -19,11 +19,13 @@ from pyspark.sql.types import StructType
 
 from docledger.llm.common import batches_of, doc_crc, stored, word_codes
 
-#: Piece vocabulary, longest piece used (in characters), and the characters to which a long word is cut: no
-#: segmentation spans such a cut.
-VOCABULARY, MAX_PIECE, MAX_UNIT = "piece_bpe_32k.model", 8, 32
-#: The classifier is fitted on about so many labelled documents of each language, chosen by a hash of their id.
-FIT_DOCS, ROUNDS, SMOOTHING = 4000, 3, 0.1
+#: Piece vocabulary; all its pieces count.
+VOCABULARY = "piece_bpe_32k.model"
+#: The classifier is fitted on about so many labelled documents of each language, chosen by a hash of their id, and on
+#: their words of up to FIT_CHARS characters. Prediction takes words of any length.
+FIT_DOCS, FIT_CHARS, ROUNDS, SMOOTHING = 4000, 64, 3, 0.1
+#: Characters of a word that are looked up at a time, and places after which the forward table is scaled anew.
+SPAN, RESCALE = 2048, 8
 UNDETERMINED = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,9 +53,9 @@ class Pieces:
         texts = [
             t
             for i in range(model.get_piece_size())
-            if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))
-            and len(t := model.id_to_piece(i)) <= MAX_PIECE
+            if (t := model.id_to_piece(i)) and not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))
         ]
+        self.longest = max(map(len, texts))
         hashes = np.array([_hash(_codes([t], len(t)))[0] for t in texts], dtype=np.uint64)
         order = np.argsort(hashes)
         self.size = len(texts) + 2
@@ -73,7 +75,7 @@ class Pieces:
     def matches(self, codes: np.ndarray) -> list[np.ndarray]:
         """For each length from 1, the piece (or 0) that starts at each place of equally long words."""
         found, h = [], np.zeros((codes.shape[0], codes.shape[1] + 1), dtype=np.uint64)
-        for n in range(1, min(MAX_PIECE, codes.shape[1]) + 1):
+        for n in range(1, min(self.longest, codes.shape[1]) + 1):
             h = h[:, :-1] * _BASE + codes[:, n - 1 :]
             found.append(self.find(h))
         found[0][found[0] == 0] = 1
@@ -89,45 +91,59 @@ def _codes(words: list[str], n: int) -> np.ndarray:
     return np.array(words, dtype=f"<U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64)
 
 
-def _units(words: list[str], langs: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words with their start mark, cut to units and grouped by length: places in ``words``, and code points.
+def _alike(words: list[str], cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words with their start mark, grouped by length: places in ``words``, and code points.
 
-    The more languages, the fewer units at a time, so that the forward table stays small.
+    A group has about ``cells`` characters, so that the forward table stays small; one word at least.
     """
-    at_once = max(100, 80_000 // max(langs, 1))
-    owner, units = [], []
-    for i, w in enumerate(words):
-        w = "▁" + w.replace("\0", "�")  # numpy drops null characters at the end
-        for k in range(0, len(w), MAX_UNIT):
-            owner.append(i)
-            units.append(w[k : k + MAX_UNIT])
-    lengths = np.fromiter(map(len, units), dtype=np.int32, count=len(units))
-    owner, order = np.array(owner), np.argsort(lengths, kind="stable")
+    marked = ["▁" + w.replace("\0", "�") for w in words]  # numpy drops null characters at the end
+    lengths = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    order = np.argsort(lengths, kind="stable")
     for group in np.split(order, np.nonzero(np.diff(lengths[order]))[0] + 1):
-        for part in np.array_split(group, -(-len(group) // at_once)):
-            if len(part):
-                yield owner[part], _codes([units[i] for i in part], int(lengths[part[0]]))
+        if len(group):
+            m = int(lengths[group[0]])
+            for part in np.array_split(group, -(-len(group) // max(1, cells // m))):
+                yield part, _codes([marked[i] for i in part], m)
 
 
 def word_scores(words: list[str], table: Pieces, probs: np.ndarray) -> np.ndarray:
-    """Natural log of each word's probability under each language. probs: piece x language."""
+    """Natural log of each word's probability under each language. probs: piece x language.
+
+    The forward table keeps as many places as the longest piece has characters, scaled word by word and language by
+    language, so that no word is too long for it.
+    """
     out = np.zeros((len(words), probs.shape[1]))
-    for owner, codes in _units(words, probs.shape[1]):
-        found = table.matches(codes)
-        alpha = np.zeros((codes.shape[1] + 1, codes.shape[0], probs.shape[1]))
-        alpha[0] = 1
-        for end in range(1, codes.shape[1] + 1):
-            for n in range(1, min(len(found), end) + 1):
-                alpha[end] += alpha[end - n] * probs[found[n - 1][:, end - n]]
-        np.add.at(out, owner, np.log(alpha[-1]))
+    for owner, codes in _alike(words, max(2000, 800_000 // max(probs.shape[1], 1))):
+        m, langs = codes.shape[1], probs.shape[1]
+        alpha: dict[int, np.ndarray] = {0: np.ones((len(owner), langs))}
+        scale = np.zeros((len(owner), langs))
+        for first in range(0, m, SPAN):
+            low = max(0, first - table.longest + 1)
+            found = table.matches(codes[:, low : first + SPAN])
+            for end in range(first + 1, min(first + SPAN, m) + 1):
+                now = alpha[end - 1] * probs[found[0][:, end - 1 - low]]
+                for n in range(2, min(len(found), end - low) + 1):
+                    piece = found[n - 1][:, end - n - low]
+                    some = np.nonzero(piece)[0]
+                    if len(some):
+                        now[some] += alpha[end - n][some] * probs[piece[some]]
+                alpha[end] = now
+                alpha.pop(end - table.longest, None)
+                if end % RESCALE == 0:
+                    scale += np.log(now)
+                    for k in alpha:
+                        if k != end:
+                            alpha[k] = alpha[k] / now
+                    alpha[end] = np.ones_like(now)
+        out[owner] = np.log(alpha[m]) + scale
     return out
 
 
 def expected_pieces(words: list[str], lang: np.ndarray, weight: np.ndarray, table: Pieces, probs: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece by each language over all segmentations of its words."""
+    """Expected uses of each piece by each language over all segmentations of its words (of FIT_CHARS at most)."""
     flat, langs = probs.ravel(), probs.shape[1]
     out = np.zeros(probs.size)
-    for owner, codes in _units(words, 4):
+    for owner, codes in _alike(words, 200_000):
         found, of = table.matches(codes), lang[owner]
         m = codes.shape[1]
         cell = [f.astype(np.int64) * langs + of[:, None] for f in found]
@@ -166,7 +182,8 @@ def fit(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
         chosen.select("text", "lang")
         .mapInArrow(_count_words, "lang string, word string, n long")
         .groupBy("lang", "word")
-        .agg(F.sum("n").alias("n")),
+        .agg(F.sum("n").alias("n"))
+        .filter(F.length("word") <= FIT_CHARS),
         "langid-words",
     )
     number = {k: i for i, k in enumerate(langs)}
@@ -209,13 +226,15 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def predict(docs: DataFrame, carry: list[str], langs: list[str], probs: np.ndarray, path: str, text: str = "text") -> DataFrame:
-    """``carry`` (columns of docs), lang_pred and score for every whole text, which is in the column ``text``.
+    """``carry`` (columns of docs), lang_pred, score and margin for every whole text, which is in the column ``text``.
 
     lang_pred is the language under which the text is likeliest (the first by name on a tie), score its share of the
-    likelihood summed over the languages. A text that is null or has no letter is ``und`` with score 0; so is every
-    text where no language was learned. Other columns of docs are dropped, repeated rows are scored alike.
+    likelihood summed over the languages; margin, in nats a word, says how much likelier it makes the text than the
+    next language does, whatever the text's length (null with a single language). A text that is null or has no letter
+    is ``und`` with score and margin 0; so is every text where no language was learned. Other columns of docs are
+    dropped, repeated rows are scored alike, an empty table gives no rows.
     """
-    schema = StructType([docs.schema[c] for c in carry]).add("lang_pred", "string").add("score", "double")
+    schema = StructType([docs.schema[c] for c in carry]).add("lang_pred", "string").add("score", "double").add("margin", "double")
     names = np.array([*langs, UNDETERMINED], dtype=object)
     column = text if text in carry else "_text"
 
@@ -224,7 +243,7 @@ def predict(docs: DataFrame, carry: list[str], langs: list[str], probs: np.ndarr
             for b in batches_of(batch, column, 8 << 20):
                 texts = b.column(column)
                 lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                best, share = np.full(b.num_rows, len(langs)), np.zeros(b.num_rows)
+                best, share, margin = np.full(b.num_rows, len(langs)), np.zeros(b.num_rows), np.zeros(b.num_rows)
                 if langs:
                     codes, per_text, words = word_codes(pc.utf8_lower(texts), lower=False)
                     logs = word_scores(words.to_pylist(), pieces(path), probs)
@@ -233,9 +252,12 @@ def predict(docs: DataFrame, carry: list[str], langs: list[str], probs: np.ndarr
                     total -= total.max(axis=1, keepdims=True)
                     best = np.where(lettered, total.argmax(axis=1), len(langs))
                     share = np.where(lettered, 1 / np.exp(total).sum(axis=1), 0.0)
+                    if len(langs) > 1:
+                        margin = np.where(lettered, -np.sort(total, axis=1)[:, -2] / np.maximum(per_text, 1), 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c) for c in carry), pa.array(names[best], pa.string()), pa.array(share)],
-                    names=[*carry, "lang_pred", "score"],
+                    [*(b.column(c) for c in carry), pa.array(names[best], pa.string()), pa.array(share)]
+                    + [pa.array(margin, mask=lettered & (len(langs) == 1))],
+                    names=[*carry, "lang_pred", "score", "margin"],
                 )
 
     more = [] if text in carry else [F.col(text).alias(column)]

@@ -4,8 +4,36 @@ from docledger.llm.mixing import MAX_EPOCHS, SEED
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-#: Bucket of a non-negative integer: its six leading bits, the rest cleared.
-_BUCKET = "(value >> greatest(length(bin(value)) - 6, 0)) << greatest(length(bin(value)) - 6, 0)"
+#: Bucket of a non-negative integer: its eight leading bits, the rest cleared.
+_BUCKET = "(value >> greatest(length(bin(value)) - 8, 0)) << greatest(length(bin(value)) - 8, 0)"
+
+
+def _fences(name: str, group: str) -> str:
+    """Fences of each group by its sketch: quantile and so many times its distance to the median."""
+    by = f"{group}, metric" if group else "metric"
+
+    def rank(q: int) -> str:
+        return f"min(CASE WHEN 100 * below >= {q} * total THEN bucket END) AS q{q}"
+
+    def step(q: int) -> str:
+        return f"greatest(abs(q{q} - q50), q{q} // 128, 1)"
+
+    return f"""
+{name}_running AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {by}) AS total
+  FROM (SELECT {by}, bucket, sum(n)::BIGINT AS n FROM sketch GROUP BY ALL)),
+{name}_quantiles AS (SELECT {by}, max(total)::BIGINT AS total, {rank(10)}, {rank(50)}, {rank(90)}, {rank(99)} FROM {name}_running GROUP BY {by}),
+{name} AS (SELECT {group + "," if group else ""} max(total) AS n,
+  max(CASE WHEN metric = 'symbol_rate' THEN q90 + 3 * {step(90)} END) AS f1,
+  max(CASE WHEN metric = 'dup_line_rate' THEN q99 + {step(99)} END) AS f2,
+  max(CASE WHEN metric = 'repeat_rate' THEN q99 + {step(99)} END) AS f3,
+  max(CASE WHEN metric = 'word_length' THEN q90 + 3 * {step(90)} END) AS f4,
+  max(CASE WHEN metric = 'word_length' THEN greatest(q10 - 3 * {step(10)}, 0) END) AS f5
+  FROM {name}_quantiles {"GROUP BY " + group if group else ""})"""
+
+
+_DRAWN = ", ".join(
+    f"(o.n * o.f{i} + 100 * ((w.n * w.f{i} + 100 * a.f{i}) // (w.n + 100))) // (o.n + 100) AS f{i}" for i in range(1, 6)
+)
 
 QUALITY = rf"""
 WITH split AS (SELECT doc_id, lang, source, text, {WORDS} AS w,
@@ -23,18 +51,10 @@ based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_
   n_repeat_words * 1000 // greatest(n_words, 1) AS repeat_rate, word_chars * 1000 // greatest(n_words, 1) AS word_length FROM counted),
 metrics AS (UNPIVOT (SELECT lang, source, symbol_rate, dup_line_rate, repeat_rate, word_length FROM based WHERE NOT base_failed)
   ON symbol_rate, dup_line_rate, repeat_rate, word_length INTO NAME metric VALUE value),
-sketch AS (SELECT lang, source, metric, {_BUCKET} AS bucket, count(*) AS n FROM metrics GROUP BY ALL),
-running AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS below,
-  sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM sketch),
-quartiles AS (SELECT lang, source, metric, min(CASE WHEN 4 * below >= total THEN bucket END) AS q1,
-  min(CASE WHEN 4 * below >= 3 * total THEN bucket END) AS q3 FROM running GROUP BY ALL),
-fences AS (SELECT lang, source,
-  max(CASE WHEN metric = 'symbol_rate' THEN greatest(q3 + 3 * (q3 - q1), 100) END) AS f1,
-  max(CASE WHEN metric = 'dup_line_rate' THEN greatest(q3 + 3 * (q3 - q1), 300) END) AS f2,
-  max(CASE WHEN metric = 'repeat_rate' THEN greatest(q3 + 3 * (q3 - q1), 150) END) AS f3,
-  max(CASE WHEN metric = 'word_length' THEN greatest(q3 + 3 * (q3 - q1), 12000) END) AS f4 FROM quartiles GROUP BY ALL)
+sketch AS (SELECT lang, source, metric, {_BUCKET} AS bucket, count(*) AS n FROM metrics GROUP BY ALL),{_fences("own", "lang, source")},{_fences("whole", "lang")},{_fences("every", "")},
+fences AS (SELECT o.lang, o.source, {_DRAWN} FROM own o JOIN whole w ON o.lang IS NOT DISTINCT FROM w.lang CROSS JOIN every a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed
-  AND coalesce(symbol_rate <= f1 AND dup_line_rate <= f2 AND repeat_rate <= f3 AND word_length <= f4, true) AS kept
+  AND coalesce(symbol_rate <= f1 AND dup_line_rate <= f2 AND repeat_rate <= f3 AND word_length <= f4 AND word_length >= f5, true) AS kept
 FROM based b LEFT JOIN fences f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
 """
 

@@ -1,4 +1,7 @@
-"""Operator 3: quality rules with thresholds from mergeable quantile sketches per language and source."""
+"""Operator 3: quality rules with thresholds from mergeable quantile sketches per language and source.
+
+No cutoff is fixed: every fence follows from quantiles of the documents' own group, language and of all documents.
+"""
 
 from __future__ import annotations
 
@@ -9,18 +12,26 @@ from docledger.llm.common import stored, words
 
 #: Fewest words, and the largest share (in %) of words in repeated 5-word windows.
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 10, 20, 5
-#: Buckets of the sketch are this many bits wide: a relative error of at most 1/32.
-SKETCH_BITS = 6
-#: Metrics (all in thousandths): expression over the counts, and the level below which the threshold never falls,
-#: so that groups without any spread do not reject the first document that differs.
+#: Buckets of the sketch keep this many leading bits: a relative error of at most 1/128.
+SKETCH_BITS = 8
+#: Metrics, all in thousandths, over the counts.
 METRICS = {
-    "symbol_rate": ("n_symbols * 1000 div greatest(word_chars, 1)", 100),
-    "dup_line_rate": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 300),
-    "repeat_rate": ("n_repeat_words * 1000 div greatest(n_words, 1)", 150),
-    "word_length": ("word_chars * 1000 div greatest(n_words, 1)", 12000),
+    "symbol_rate": "n_symbols * 1000 div greatest(word_chars, 1)",
+    "dup_line_rate": "n_dup_lines * 1000 div greatest(n_lines, 1)",
+    "repeat_rate": "n_repeat_words * 1000 div greatest(n_words, 1)",
+    "word_length": "word_chars * 1000 div greatest(n_words, 1)",
+}
+#: Fences: metric, quantile (in %), and how many times its distance to the median the fence lies beyond it; below the
+#: median for a quantile under 50. A distance is one bucket of the sketch at least.
+FENCES = {
+    "max_symbol_rate": ("symbol_rate", 90, 3),
+    "max_dup_line_rate": ("dup_line_rate", 99, 1),
+    "max_repeat_rate": ("repeat_rate", 99, 1),
+    "max_word_length": ("word_length", 90, 3),
+    "min_word_length": ("word_length", 10, 3),
 }
-#: A threshold is the upper quartile and this many times the spread between the quartiles.
-FENCE = 3
+#: A group's fence counts with its number of documents, the fence of what it belongs to with this many.
+EVIDENCE = 100
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -89,9 +100,9 @@ def _bucket(value: str) -> str:
 def sketch(counted: DataFrame) -> DataFrame:
     """Quantile sketch of every metric per (lang, source): bucket -> number of documents.
 
-    Sketches of parts of the data merge by adding the counts; they hold a few hundred buckets at most.
+    Sketches of parts of the data merge by adding the counts; they hold some two thousand buckets at most.
     """
-    stack = ", ".join(f"'{name}', cast({expr} as bigint)" for name, (expr, _) in METRICS.items())
+    stack = ", ".join(f"'{name}', cast({expr} as bigint)" for name, expr in METRICS.items())
     return (
         counted.filter("not base_failed")
         .selectExpr("lang", "source", f"stack({len(METRICS)}, {stack}) as (metric, value)")
@@ -101,43 +112,65 @@ def sketch(counted: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(sketched: DataFrame) -> DataFrame:
-    """One row per (lang, source): the upper fence of every metric, read off the sketch."""
-    below = "sum(n) over (partition by lang, source, metric order by bucket)"
-    total = "sum(n) over (partition by lang, source, metric)"
-    quartiles = (
-        sketched.selectExpr("*", f"{below} as below", f"{total} as total")
-        .groupBy("lang", "source", "metric")
-        .agg(
-            F.min(F.expr("case when 4 * below >= total then bucket end")).alias("q1"),
-            F.min(F.expr("case when 4 * below >= 3 * total then bucket end")).alias("q3"),
-        )
+def _fences(sketched: DataFrame, group: list[str], prefix: str) -> DataFrame:
+    """``group``, ``prefix``_n (documents) and the group's own fences, read off its sketch."""
+    by = ", ".join([*group, "metric"])
+    running = (
+        sketched.groupBy(*group, "metric", "bucket")
+        .agg(F.sum("n").alias("n"))
+        .selectExpr("*", f"sum(n) over (partition by {by} order by bucket) as below", f"sum(n) over (partition by {by}) as total")
     )
-    fence = f"q3 + {FENCE} * (q3 - q1)"
-    return quartiles.groupBy("lang", "source").agg(
-        *(
-            F.max(F.expr(f"case when metric = '{name}' then greatest({fence}, {floor}) end")).alias(f"max_{name}")
-            for name, (_, floor) in METRICS.items()
-        )
+    levels = sorted({50, *(level for _, level, _ in FENCES.values())})
+    quantiles = running.groupBy(*group, "metric").agg(
+        F.max("total").alias("total"),
+        *(F.min(F.expr(f"case when 100 * below >= {q} * total then bucket end")).alias(f"q{q}") for q in levels),
+    )
+
+    def fence(metric: str, q: int, times: int) -> str:
+        step = f"greatest(abs(q{q} - q50), q{q} div {1 << (SKETCH_BITS - 1)}, 1)"
+        return f"case when metric = '{metric}' then greatest(q{q} {'+' if q > 50 else '-'} {times} * {step}, 0) end"
+
+    return quantiles.groupBy(*group).agg(
+        F.max("total").alias(f"{prefix}_n"),
+        *(F.max(F.expr(fence(*rule))).alias(f"{prefix}_{name}") for name, rule in FENCES.items()),
     )
 
 
+def thresholds(sketched: DataFrame) -> DataFrame:
+    """One row per (lang, source): every fence.
+
+    The sketches of a language's sources merge into the language's, and these into one of all documents. A group's
+    fence is drawn towards its language's, and that towards the fence of all, the more so the fewer documents it has.
+    """
+    own = _fences(sketched, ["lang", "source"], "own")
+    whole = _fences(sketched, ["lang"], "lang").withColumnRenamed("lang", "_lang")
+    every = _fences(sketched, [], "all")
+    joined = own.join(whole, F.expr("lang <=> _lang")).join(every)
+
+    def drawn(name: str) -> str:
+        of_lang = f"((lang_n * lang_{name} + {EVIDENCE} * all_{name}) div (lang_n + {EVIDENCE}))"
+        return f"(own_n * own_{name} + {EVIDENCE} * {of_lang}) div (own_n + {EVIDENCE}) as {name}"
+
+    return joined.selectExpr("lang", "source", *map(drawn, FENCES))
+
+
 def judge(docs: DataFrame, carry: list[str]) -> DataFrame:
     """Quality verdict of every document: ``carry``, the counts, base_failed and kept.
 
     docs needs text, lang and source; null languages and sources form groups of their own. A document
     fails the base rules with fewer than 10 words or over 20 % of its words in repeated windows; of the
-    others, those stay whose metrics all lie within the fences of their language and source. A group of
-    one document keeps it. Counts come from one pass over the texts, written to the shared folder.
+    others, those stay whose metrics all lie within the fences of their language and source. An empty table
+    gives no rows. Counts come from one pass over the texts, written to the shared folder.
     Columns of docs that are not in ``carry`` are dropped; repeated rows are judged alike.
     """
     base = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words")
     counted = stored(counts(docs, list(dict.fromkeys([*carry, "lang", "source"]))).withColumn("base_failed", base), "quality")
-    fences = thresholds(sketch(counted)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    within = " and ".join(f"cast({expr} as bigint) <= max_{name}" for name, (expr, _) in METRICS.items())
-    joined = counted.join(
-        fences, F.expr("lang <=> _lang and source <=> _source"), "left"
+    fences = thresholds(stored(sketch(counted), "quality-sketch"))
+    fences = stored(fences.withColumnsRenamed({"lang": "_lang", "source": "_source"}), "quality-fences")
+    within = " and ".join(
+        f"cast({METRICS[metric]} as bigint) {'<=' if q > 50 else '>='} {name}" for name, (metric, q, _) in FENCES.items()
     )
+    joined = counted.join(fences, F.expr("lang <=> _lang and source <=> _source"), "left")
     return joined.select(
         *carry, *COUNTS, "base_failed", F.expr(f"not base_failed and coalesce({within}, true)").alias("kept")
     )

@@ -228,8 +228,11 @@ def test_bucket_limits_are_optimal(pairs, buckets):
 def test_packing(spark, none):
     rng = np.random.default_rng(2)
     rows = [(int(i), int(n)) for i, n in enumerate(rng.integers(1, 900, 3000))] + [(1, 5), (1, 5), (None, None), (9, 90000)]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, length long, batch string").drop("batch").withColumn("extra", F.lit("x"))
-    got = packing.pack(df, buckets=6, budget=4000).collect()
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, length long, batch string").withColumn("extra", F.lit("x"))
+    packed = packing.pack(df, buckets=6, budget=4000)
+    assert packed.columns == ["doc_id", "length", "extra", "bucket", "bucket_limit", "batch", "slot"]
+    got = packed.collect()
+    assert max(r["bucket_limit"] for r in got) == 90000
     assert len(got) == len(rows) and all(r["length"] <= r["bucket_limit"] for r in got)
     batches = defaultdict(list)
     for r in got:
@@ -262,12 +265,19 @@ def test_mixing_targets(spark):
 def test_mixing_takes_near_the_targets(spark, none):
     rng = np.random.default_rng(5)
     rows = [(i, ["a", "b", None][i % 3], int(rng.integers(0, 60)), [None, 2.0, 0.0][i % 7 % 3]) for i in range(900)] + [(3, "a", 7, 1.0)] * 2
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, source string, size long, weight double, taken string")
-    got = mixing.mix(df).collect()
+    rows += [(None, "a", 5, None)] * 3 + [(None, "b", None, 1.0)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, source string, size long, weight double, target string")
+    mixed = mixing.mix(df)
+    assert mixed.columns == ["doc_id", "source", "size", "weight", "source_size", "target", "times"]
+    got = [r for r in mixed.collect() if r["size"] is not None]
+    rows = rows[:-1]
+    df = df.filter("size is not null")
     assert len(got) == len(rows) and sorted(map(tuple, mixing.mix(df).collect()), key=repr) == sorted(map(tuple, got), key=repr)
     for own in ({r["source"] for r in got}):
         mine = [r for r in got if r["source"] == own]
         assert abs(sum(r["size"] * r["times"] for r in mine) - mine[0]["target"]) <= 60
+        first = [r["times"] for r in mine if r["weight"] != 0.0 and r["size"]]
+        assert min(first, default=0) >= max((r["times"] for r in mine if r["weight"] == 0.0), default=0) - 1
         assert max(r["times"] for r in mine) - min(r["times"] for r in mine) <= 1 and max(r["times"] for r in mine) <= 3
     assert mixing.mix(df.limit(0)).collect() == []
 
