@@ -156,10 +156,23 @@ def test_scores_against_brute_force(spark):
 
 def test_bit_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    tables = rng.integers(0, 50, (contextmix.ORDERS, 1 << contextmix.TABLE_BITS), dtype=np.uint32) * np.uint32(65537)
+    tables = contextmix.encode_counts(rng.integers(0, 50, 2 * contextmix.SLOTS)).view(np.uint32)
     model = contextmix.Model(tables)
-    assert 10 ** model.score([bytes([c]) for c in range(256)]).sum(initial=0) <= 1
-    assert (10.0 ** model.score([bytes([c]) for c in range(256)])).sum() == pytest.approx(1, abs=1e-3)
+    got = 10.0 ** model.score([bytes([c]) for c in range(256)], np.ones(256))
+    assert got.sum() == pytest.approx(1, abs=1e-3)
+    deep = [b"begin" + bytes([c]) for c in range(256)]
+    first = [b"b", b"be", b"beg", b"begi", b"begin"]
+    total = model.score(deep, np.arange(256.0)) - model.score([first[-1]], np.zeros(1))
+    assert (10.0**total).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_counts_keep_small_values_and_64_bits():
+    n = np.array([0, 1, 2, 3, 50, 699, 1 << 16, 1 << 33, (1 << 62) + 5], dtype=np.int64)
+    got = contextmix._DECODED[contextmix.encode_counts(n)]
+    assert (got[:6] == n[:6]).all() and got == pytest.approx(n, rel=1e-3)
+    deep = contextmix.deep_counts([b"wonder ", b"wonders "], np.array([1 << 33, 2]))[0].reshape(-1, 8, 2)
+    assert deep[0].sum(axis=1) == pytest.approx([2.0**33] * 8)  # the bits of "r", after "wonde"
+    assert deep[1][0].sum() == pytest.approx(2.0**33) and deep[1][1].tolist() == [2.0**33, 2.0]  # " " and "s" part at the second bit
 
 
 def test_scores_of_odd_rows(odd, none):
