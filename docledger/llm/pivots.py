@@ -1,27 +1,31 @@
 """Operator 2: embedding near-duplicates through a pivot-permutation index.
 
-A vector is described by its nearest pivots, in order. It stands in the inverted lists of the first few of them;
-vectors that share enough pivots are candidates, and the cosine of each candidate pair is then computed in double
-precision. Equal vectors form one class and are compared once.
+A vector is described by its nearest pivots, in order. Vectors that share at least two of the first few are candidates:
+an inverted list stands for each two pivots, so that a list holds candidates only, and a pair that shares more pivots is
+taken from the first list that has it. The cosine of each candidate pair is then computed in double precision. Equal
+vectors form one class and are compared once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import stored
+from docledger.llm.common import discard, stored
 from docledger.llm.graph import components
 
 THRESHOLD = 0.93
 #: Pivots: about the square root of the number of vectors, within these bounds; a bounded sample of the vectors.
-MIN_PIVOTS, MAX_PIVOTS = 48, 2048
-#: Length of the permutation's front that is indexed, and pivots that candidates share at least.
-FRONT, SHARED = 8, 2
-#: Vectors in a block; a longer list is compared block by block.
-BLOCK = 1024
+MIN_PIVOTS, MAX_PIVOTS = 48, 1 << 15
+#: Length of the permutation's front that is indexed; candidates share two pivots of it.
+FRONT, PAD = 5, -2
+#: Vectors in a block; a longer list is compared block by block. Lists of up to SHORT_LIST vectors are compared together,
+#: some CHUNK vectors at a time.
+BLOCK, SHORT_LIST, CHUNK = 1024, 32, 8192
 
 
 def classes(vectors: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +44,7 @@ def classes(vectors: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFram
         .groupBy("cls")
         .agg(
             F.first("label").alias("label"),
-            F.first(v).alias("vector"),
+            F.first("embedding").alias("vector"),
             F.count("*").alias("members"),
             F.min("vec_id").alias("least"),
         )
@@ -55,71 +59,124 @@ def choose_pivots(grouped: DataFrame) -> np.ndarray:
         return np.zeros((0, 0))
     n = int(np.clip(round(dims[0]["count"] ** 0.5), MIN_PIVOTS, MAX_PIVOTS))
     rows = grouped.filter(F.size("vector") == dims[0]["d"]).orderBy(F.xxhash64("cls"), "cls").limit(n).select("vector").collect()
-    p = np.array([r[0] for r in rows])
-    return p / np.linalg.norm(p, axis=1, keepdims=True)
+    return _normal(np.array([r[0] for r in rows], dtype=np.float64))
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _rows(vectors: pa.ListArray, dim: int) -> np.ndarray:
+    """Vectors of one dimension as the rows of a matrix of doubles."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def _permutations(grouped: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds front, the nearest pivots in order. Vectors of another dimension than the pivots' share the list -1."""
+    """Adds front, the numbers of the nearest pivots in ascending order, PAD where there are fewer.
 
-    def describe(batches):
+    Vectors of another dimension than the pivots' have -1 and the dimension instead, so that they meet in one list.
+    """
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = b.column("vector").to_pylist()
-            front = [[-1]] * len(vectors)
-            fit = [i for i, v in enumerate(vectors) if len(v) == pivots.shape[1]]
-            if fit:
-                x = np.array([vectors[i] for i in fit])
-                near = x @ pivots.T
-                k = min(FRONT, pivots.shape[0])
-                order = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                for i, o in zip(fit, order.tolist(), strict=True):
-                    front[i] = o
+            sizes = b.column("vector").value_lengths().to_numpy(zero_copy_only=False)
+            front = [[PAD] * (FRONT - 2) + [-1, n] for n in sizes.tolist()]
+            fit = np.nonzero(sizes == pivots.shape[1])[0]
+            if len(fit):
+                x = _normal(_rows(b.column("vector").take(pa.array(fit)), pivots.shape[1]))
+                order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :FRONT]
+                for i, o in zip(fit.tolist(), np.sort(order, axis=1).tolist(), strict=True):
+                    front[i] = [PAD] * (FRONT - len(o)) + o
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(front, pa.list_(pa.int32()))], names=[*b.schema.names, "front"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grouped.schema.fields)
     return grouped.mapInArrow(describe, f"{fields}, front array<int>")
 
 
-def compare_block(t: pa.Table) -> pa.Table:
-    """Links within a pair of blocks of one list: cls, number of vectors it links to, and a class to join it with.
+KEY = ("label", "p", "q", "i", "j")
+
+
+def _starts(t: pa.Table) -> np.ndarray:
+    """Where the lists start in a table sorted by KEY."""
+    new = np.ones(t.num_rows, dtype=bool)
+    label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    new[1:] = np.any([x[1:] != x[:-1] for x in (label, *(t.column(k).to_numpy() for k in KEY[1:]))], axis=0)
+    return np.nonzero(new)[0]
 
-    A pair that shares several lists counts in the first of them only. Nothing leaves this function but one row a class.
+
+def list_links(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (rows of t) within whole lists of vectors of one dimension; t is sorted by KEY.
+
+    Of a pair of different blocks, vectors of the same block are compared elsewhere. A pair that shares more than two
+    pivots links in the first of its lists only.
     """
-    pivot, i, j = (t.column(k)[0].as_py() for k in ("pivot", "i", "j"))
-    out = pa.schema([("cls", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
-    cls, members = t.column("cls").to_numpy(), t.column("members").to_numpy()
-    block, dims = t.column("block").to_numpy(), np.array([len(v) for v in t.column("vector").to_pylist()])
-    found = np.zeros(len(cls), dtype=np.int64)
-    root = np.arange(len(cls))
+    vectors = t.column("vector").combine_chunks()
+    v = _normal(_rows(vectors, len(vectors[0])))
+    starts = _starts(t)
+    sizes = np.diff(np.append(starts, t.num_rows))
+    found = []
+    for m in np.unique(sizes).tolist():
+        own = starts[sizes == m]
+        if m > SHORT_LIST:
+            for s in own.tolist():
+                x, y = np.nonzero(np.triu(v[s : s + m] @ v[s : s + m].T >= THRESHOLD, 1))
+                found.append((x + s, y + s))
+            continue
+        a, b = np.triu_indices(m, 1)
+        for part in np.array_split(own, max(1, len(own) * len(a) // 100_000)):
+            x, y = (part[:, None] + a).ravel(), (part[:, None] + b).ravel()
+            near = np.einsum("ij,ij->i", v[x], v[y]) >= THRESHOLD
+            found.append((x[near], y[near]))
+    x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+    q, i, j, block = (t.column(k).to_numpy() for k in ("q", "i", "j", "block"))
+    front = _rows(t.column("front").combine_chunks(), FRONT)
+    apart = (i[x] == j[x]) | (block[x] != block[y])
+    x, y = x[apart], y[apart]
+    both = (front[x][:, :, None] == front[y][:, None, :]).any(axis=2) & (front[x] > PAD) & (front[x] <= q[x][:, None])
+    first = both.sum(axis=1) == 2
+    return x[first], y[first]
+
+
+def compare_lists(t: pa.Table) -> pa.RecordBatch:
+    """Links within whole lists: cls, number of vectors it links to, and a class to join it with; a row for each row of t
+    that links, at most."""
+    x, y = [], []
+    dims = t.column("vector").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
     for d in np.unique(dims):
         at = np.nonzero(dims == d)[0]
-        x = np.array([t.column("vector")[int(k)].as_py() for k in at])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        fronts = [t.column("front")[int(k)].as_py() for k in at]
-        known = {p: n for n, p in enumerate(sorted({p for f in fronts for p in f}))}
-        hot = np.zeros((len(at), len(known)), dtype=np.float32)
-        for n, f in enumerate(fronts):
-            hot[n, [known[p] for p in f]] = 1
-        before = known.get(pivot, 0)
-        earlier = hot[:, :before] @ hot[:, :before].T
-        shared = earlier + hot[:, before:] @ hot[:, before:].T
-        linked = (earlier == 0) & (shared >= min(SHARED, hot.sum(axis=1).max()))
-        linked &= (x @ x.T) >= THRESHOLD
-        np.fill_diagonal(linked, False)
-        if i != j:
-            linked &= block[at][:, None] != block[at][None, :]
-        found[at] = linked @ members[at]
-        own = np.arange(len(at))
-        while True:
-            least = np.where(linked, own[None, :], len(at)).min(axis=1, initial=len(at))
-            nxt = np.minimum(own, least)
-            nxt = nxt[nxt]
-            if (nxt == own).all():
-                break
-            own = nxt
-        root[at] = at[own]
+        a, b = list_links(t.take(pa.array(at)))
+        x.append(at[a])
+        y.append(at[b])
+    x, y = np.concatenate(x), np.concatenate(y)
+    cls, members = t.column("cls").to_numpy(), t.column("members").to_numpy()
+    found = np.zeros(t.num_rows, dtype=np.int64)
+    np.add.at(found, x, members[y])
+    np.add.at(found, y, members[x])
+    root = np.arange(t.num_rows)
+    while True:
+        before, least = root.copy(), np.minimum(root[x], root[y])
+        np.minimum.at(root, x, least)
+        np.minimum.at(root, y, least)
+        root = root[root]
+        if (root == before).all():
+            break
     some = np.nonzero(found)[0]
-    return pa.Table.from_arrays([pa.array(cls[some]), pa.array(found[some]), pa.array(cls[root[some]])], schema=out)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(cls[some]), pa.array(found[some]), pa.array(cls[root[some]])], names=["cls", "links", "other"]
+    )
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = None
+    for b in batches:
+        new = pa.Table.from_batches([b])
+        held = new if held is None else pa.concat_tables([held, new])
+        if held.num_rows >= CHUNK and (cut := int(_starts(held)[-1])):
+            yield compare_lists(held.slice(0, cut).combine_chunks())
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield compare_lists(held.combine_chunks())
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -128,26 +185,32 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     vectors: vec_id (long), embedding (array of numbers), label; further columns are ignored. Vectors of one label
     link if their cosine is 0.93 or more. A vector that links with nothing has n_links 0 and is its own component.
     Repeated rows are vectors of their own and link with each other. A null vec_id never names a component. Only
-    vectors of the most frequent dimension are indexed by pivots; those of other dimensions are all compared.
+    vectors of the most frequent dimension are indexed by pivots; those of another dimension are all compared. An empty
+    table gives no rows.
     """
     members, grouped = classes(vectors.select("vec_id", "label", "embedding"), ["vec_id"])
     grouped = stored(grouped, "pivot-classes")
     pivots = choose_pivots(grouped)
     index = stored(_permutations(grouped, pivots), "pivot-index")
-    listed = index.select("*", F.explode("front").alias("pivot"))
-    sizes = index.select("label", F.explode("front").alias("pivot")).groupBy("label", "pivot").count()
-    blocks = sizes.select("label", "pivot", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    two = "transform(slice(front, i + 2, greatest(size(front) - i - 1, 0)), y -> struct(x as p, y as q))"
+    listed = (
+        index.withColumn("_two", F.explode(F.expr(f"flatten(transform(front, (x, i) -> {two}))")))
+        .select("cls", "label", "_two.p", "_two.q")
+        .filter(f"p > {PAD}")
+    )
+    blocks = listed.groupBy("label", "p", "q").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("_n"))
     dealt = (
-        listed.join(blocks, ["label", "pivot"])
+        listed.join(blocks.filter("_n > 1"), ["label", "p", "q"])
         .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         .withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("i", F.least("block", "_x"))
-        .withColumn("j", F.greatest("block", "_x"))
-        .select("label", "pivot", "i", "j", "block", "cls", "members", "vector", "front")
-    )
-    found = stored(
-        dealt.groupBy("label", "pivot", "i", "j").applyInArrow(compare_block, "cls long, links long, other long"), "pivot-links"
+        .select("cls", "p", "q", F.least("block", "_x").alias("i"), F.greatest("block", "_x").alias("j"), "block")
+        .join(index, "cls")
+        .select(*KEY, "block", "cls", "members", "vector", "front")
+        .repartition(*KEY)
+        .sortWithinPartitions(*KEY)
     )
+    found = stored(dealt.mapInArrow(_compare, "cls long, links long, other long"), "pivot-links")
+    discard(index)
     root = components(found.select(F.col("cls").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     rooted = (

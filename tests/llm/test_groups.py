@@ -200,15 +200,21 @@ def test_odd_vectors(spark, monkeypatch):
     assert pivots.near_duplicates(df.limit(0)).collect() == []
 
 
-def test_compare_block_counts_a_pair_once():
+def test_lists_link_a_pair_once():
+    front = [[-2, -2, 0, 1, 3], [-2, -2, 0, 1, 3], [-2, -2, 1, 2, 3]]
     t = pa.table(
         {
-            "pivot": [1, 1], "i": [0, 0], "j": [0, 0], "block": [0, 0], "cls": pa.array([5, 6], pa.int64()),
-            "members": pa.array([2, 3], pa.int64()), "vector": [[1.0, 0.0], [1.0, 0.01]], "front": [[0, 1], [0, 1]],
+            "label": [7] * 3, "p": [0, 0, 1], "q": [1, 1, 3], "i": [0] * 3, "j": [0] * 3, "block": [0] * 3,
+            "cls": pa.array([5, 6, 8], pa.int64()), "members": pa.array([2, 3, 4], pa.int64()),
+            "vector": [[1.0, 0.0], [1.0, 0.01], [1.0, 0.02]], "front": front,
         }
     )
-    assert pivots.compare_block(t).num_rows == 0  # list 0 has the pair already
-    assert pivots.compare_block(t.set_column(0, "pivot", pa.array([0, 0]))).to_pydict()["links"] == [3, 2]
+    assert pivots.compare_lists(t).to_pydict() == {"cls": [5, 6], "links": [3, 2], "other": [5, 5]}
+    same = t.take([0, 1]).set_column(1, "p", pa.array([0, 0])).set_column(2, "q", pa.array([3, 3]))
+    assert pivots.compare_lists(same).num_rows == 0  # the list of 0 and 1 has the pair already
+    apart = t.take([0, 1]).set_column(4, "j", pa.array([1, 1]))
+    assert pivots.compare_lists(apart).num_rows == 0  # both are of block 0
+    assert pivots.compare_lists(apart.set_column(5, "block", pa.array([0, 1]))).num_rows == 2
 
 
 @settings(max_examples=40, deadline=None)
