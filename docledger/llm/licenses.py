@@ -8,6 +8,7 @@ that overlap, priority and containment decide which stay.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +38,8 @@ FAMILIES = (
     ("agpl", "agpl", r"(?:gnu )?agpl", ("1", "3")),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[cs]e", ("1 1", "1 2", "1 3")),
     ("apache", "apache", r"apache(?: software)? licen[cs]e", ("1 0", "1 1", "2 0")),
-    ("mit", "mit", r"mit licen[cs]e|expat licen[cs]e", ()),
+    ("mit", "mit", r"mit licen[cs]e", ()),
+    ("mit", "expat", r"expat licen[cs]e", ()),
     ("bsd", "bsd", r"(?:new |modified |simplified |revised )?bsd(?: style)? licen[cs]e", ()),
     ("bsd-2-clause", "bsd", r"bsd 2 clause|2 clause bsd|simplified bsd", ()),
     ("bsd-3-clause", "bsd", r"bsd 3 clause|3 clause bsd|new bsd", ()),
@@ -97,10 +99,162 @@ TEXTS = (
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("zlib", "as is without", r"this software is provided as is without any express or implied warranty in no event will the authors"),
     ("wtfpl", "what the", r"do what the f\w+ you want to public licen[cs]e"),
+    ("wtfpl", "you just do", r"you just do what the f\w+ you want to"),
+    ("mit", "above copyright notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "without restriction", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("mit-0", "without restriction", r"to permit persons to whom the software is furnished to do so the software is provided as is"),
+    ("isc", "above copyright notice", r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "disclaims all", r"the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("0bsd", "hereby granted", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted(?! provided)"),
+    ("bsd", "retain the above", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "reproduce the above", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", "without specific prior", r"may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd", "use of this software", r"in no event shall the (?:copyright (?:holder|owner)s? or contributors|regents or contributors|author) be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("gpl", "free software foundation", r"as published by the free software foundation either version \d(?: of the licen[cs]e)? or at your option any later version"),
+    ("gpl", "hope that it", r"in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl", "received a copy", r"you should have received a copy of the gnu general public licen[cs]e"),
+    ("lgpl", "received a copy", r"you should have received a copy of the gnu lesser general public licen[cs]e"),
+    ("agpl", "received a copy", r"you should have received a copy of the gnu affero general public licen[cs]e"),
+    ("agpl", "redistribute it", r"you can redistribute it and or modify it under the terms of the gnu affero general public licen[cs]e"),
+    ("gpl-2", "june 1991", r"gnu general public licen[cs]e version 2 june 1991"),
+    ("gpl-3", "june 2007", r"gnu general public licen[cs]e version 3 29 june 2007"),
+    ("lgpl-2.1", "february 1999", r"gnu lesser general public licen[cs]e version 2 1 february 1999"),
+    ("agpl-3", "november 2007", r"gnu affero general public licen[cs]e version 3 19 november 2007"),
+    ("gpl-classpath-exception", "linking this library", r"linking this library statically or dynamically with other modules is making a combined work based on this library"),
+    ("gcc-exception", "runtime library exception", r"gcc runtime library exception"),
+    ("gfdl", "permission is granted", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e"),
+    ("gfdl", "invariant sections", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("apache-2.0", "january 2004", r"apache licen[cs]e version 2 0 january 2004"),
+    ("apache-2.0", "unless required", r"unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis"),
+    ("apache", "limitations under", r"see the licen[cs]e for the specific language governing permissions and limitations under the licen[cs]e"),
+    ("apache", "apache software foundation", r"licen[cs]ed to the apache software foundation asf under one or more contributor licen[cs]e agreements"),
+    ("apache-1.1", "this product includes", r"this product includes software developed by the apache software foundation"),
+    ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0"),
+    ("mpl-1.1", "contents of this file", r"the contents of this file are subject to the mozilla public licen[cs]e version 1 1"),
+    ("npl", "netscape public", r"the contents of this file are subject to the netscape public licen[cs]e"),
+    ("epl-1.0", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v ?1 0"),
+    ("epl-2.0", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v?(?:ersion)? ?2 0"),
+    ("cddl", "common development", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("boost", "person or organization", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("zlib", "altered source", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "must not be misrepresented", r"the origin of this software must not be misrepresented"),
+    ("libpng", "png reference library", r"png reference library licen[cs]e"),
+    ("unlicense", "anyone is free", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("cc0", "waived all", r"has waived all copyright and related or neighboring rights"),
+    ("cc0", "no copyright", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-by", "free to share", r"you are free to share copy and redistribute the material in any medium or format"),
+    ("cc-by-sa", "distribute your contributions", r"you must distribute your contributions under the same licen[cs]e as the original"),
+    ("cc-by-nc", "commercial purposes", r"you may not use the material for commercial purposes"),
+    ("cc-by-nd", "distribute the modified", r"you may not distribute the modified material"),
+    ("public-domain", "placed in the", r"(?:is|was|been) (?:hereby )?placed in the public domain"),
+    ("public-domain", "dedicated to the", r"(?:is|was|been) (?:hereby )?dedicated to the public domain"),
+    ("artistic", "standard version", r"freely available means that no fee is charged for the item itself"),
+    ("artistic-2.0", "perl foundation", r"the artistic licen[cs]e 2 0 copyright c 2000 2006 the perl foundation"),
+    ("perl", "same terms as perl", r"under the same terms as perl itself"),
+    ("python", "psf hereby grants", r"psf hereby grants licensee a nonexclusive royalty free world wide licen[cs]e"),
+    ("openssl", "openssl toolkit", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", "eric young", r"this product includes cryptographic software written by eric young"),
+    ("ofl", "reserved font name", r"no modified version of the font software may use the reserved font name"),
+    ("ofl", "font software", r"this font software is licen[cs]ed under the sil open font licen[cs]e"),
+    ("ms-pl", "microsoft public", r"this licen[cs]e governs use of the accompanying software if you use the software you accept this licen[cs]e"),
+    ("x11", "x consortium", r"the name of the x consortium shall not be used in advertising or otherwise to promote the sale use or other dealings"),
+    ("ncsa", "university of illinois", r"developed by .{1,80}? university of illinois"),
+    ("jsd", "used for good", r"the software shall be used for good not evil"),
+    ("beerware", "buy me a beer", r"you can buy me a beer in return"),
+    ("postgresql", "written agreement", r"without fee and without a written agreement is hereby granted"),
+    ("hpnd", "supporting documentation", r"that both that copyright notice and this permission notice appear in supporting documentation"),
+    ("curl", "copyright holder shall not", r"the name of a copyright holder shall not be used in advertising or otherwise to promote the sale"),
+    ("vim", "vim charityware", r"vim is charityware"),
+    ("ijg", "independent jpeg", r"this software is based in part on the work of the independent jpeg group"),
+    ("freetype", "freetype project", r"portions of this software are copyright .{1,40}? the freetype project"),
+    ("unicode", "data files", r"unicode data files and (?:any associated documentation|software)"),
+    ("w3c", "w3c software", r"w3c software (?:and document )?notice and licen[cs]e"),
+    ("sleepycat", "accompanying software that uses", r"redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("elastic", "elastic license", r"elastic licen[cs]e(?: 2 0)?"),
+    ("sspl", "server side public", r"server side public licen[cs]e"),
+    ("busl", "business source", r"business source licen[cs]e(?: 1 1)?"),
+    ("commons-clause", "commons clause", r"commons clause licen[cs]e condition"),
+    ("openrail", "openrail", r"(?:creativeml |bigscience )?open ?rail(?: m| s| d)?"),
+    ("proprietary", "trade secret", r"contains? (?:confidential and )?(?:proprietary )?trade secrets?"),
+    ("proprietary", "unauthorized copying", r"unauthori[sz]ed copying of this (?:file|software|document)"),
+    ("proprietary", "may not be reproduced", r"may not be reproduced (?:or transmitted )?in any form"),
+    ("proprietary", "prior written consent", r"without the (?:express )?prior written (?:consent|permission) of"),
+    ("proprietary", "internal use only", r"for internal use only"),
+    ("proprietary", "end user", r"end user licen[cs]e agreement"),
     ("proprietary", "all rights reserved", r"all rights reserved"),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
 )
 
+# Addresses of licence texts, each with its label; the words of the address stand in a row.
+ADDRESSES = (
+    ("apache-2.0", "apache org licenses license 2 0"),
+    ("apache-1.1", "apache org licenses license 1 1"),
+    ("mit", "opensource org licenses mit"),
+    ("isc", "opensource org licenses isc"),
+    ("bsd-2-clause", "opensource org licenses bsd 2 clause"),
+    ("bsd-3-clause", "opensource org licenses bsd 3 clause"),
+    ("gpl-2", "gnu org licenses old licenses gpl 2 0"),
+    ("lgpl-2.1", "gnu org licenses old licenses lgpl 2 1"),
+    ("gpl-3", "gnu org licenses gpl 3 0"),
+    ("lgpl-3", "gnu org licenses lgpl 3 0"),
+    ("agpl-3", "gnu org licenses agpl 3 0"),
+    ("gpl", "gnu org licenses gpl"),
+    ("lgpl", "gnu org licenses lgpl"),
+    ("agpl", "gnu org licenses agpl"),
+    ("gfdl", "gnu org licenses fdl"),
+    ("gpl", "gnu org copyleft gpl"),
+    ("mpl-2.0", "mozilla org mpl 2 0"),
+    ("mpl", "mozilla org mpl"),
+    ("epl-1.0", "eclipse org legal epl v10"),
+    ("epl-2.0", "eclipse org legal epl 2 0"),
+    ("edl-1.0", "eclipse org org documents edl v10"),
+    ("boost", "boost org license 1 0"),
+    ("unlicense", "unlicense org"),
+    ("wtfpl", "wtfpl net"),
+    ("zlib", "zlib net zlib license"),
+    ("cc0-1.0", "creativecommons org publicdomain zero 1 0"),
+    ("public-domain", "creativecommons org publicdomain mark 1 0"),
+    ("cc-by-1.0", "creativecommons org licenses by 1 0"),
+    ("cc-by-2.0", "creativecommons org licenses by 2 0"),
+    ("cc-by-2.5", "creativecommons org licenses by 2 5"),
+    ("cc-by-3.0", "creativecommons org licenses by 3 0"),
+    ("cc-by-4.0", "creativecommons org licenses by 4 0"),
+    ("cc-by-sa-2.0", "creativecommons org licenses by sa 2 0"),
+    ("cc-by-sa-2.5", "creativecommons org licenses by sa 2 5"),
+    ("cc-by-sa-3.0", "creativecommons org licenses by sa 3 0"),
+    ("cc-by-sa-4.0", "creativecommons org licenses by sa 4 0"),
+    ("cc-by-nd-3.0", "creativecommons org licenses by nd 3 0"),
+    ("cc-by-nd-4.0", "creativecommons org licenses by nd 4 0"),
+    ("cc-by-nc-3.0", "creativecommons org licenses by nc 3 0"),
+    ("cc-by-nc-4.0", "creativecommons org licenses by nc 4 0"),
+    ("cc-by-nc-sa-3.0", "creativecommons org licenses by nc sa 3 0"),
+    ("cc-by-nc-sa-4.0", "creativecommons org licenses by nc sa 4 0"),
+    ("cc-by-nc-nd-3.0", "creativecommons org licenses by nc nd 3 0"),
+    ("cc-by-nc-nd-4.0", "creativecommons org licenses by nc nd 4 0"),
+    ("odbl-1.0", "opendatacommons org licenses odbl"),
+    ("odc-by", "opendatacommons org licenses by"),
+    ("pddl", "opendatacommons org licenses pddl"),
+    ("ofl-1.1", "scripts sil org ofl"),
+    ("artistic-2.0", "perlfoundation org artistic license 2 0"),
+    ("psf-2", "docs python org 3 license"),
+    ("ms-pl", "opensource org licenses ms pl"),
+    ("postgresql", "postgresql org about licence"),
+    ("etalab-2.0", "etalab gouv fr licence ouverte"),
+    ("ogl-3.0", "nationalarchives gov uk doc open government licence version 3"),
+)
+
+# Identifiers of the public SPDX list that no family above has, as words.
+IDENTIFIERS = (
+    "0bsd", "aal", "afl 3 0", "apsl 2 0", "beerware", "blueoak 1 0 0", "bsd 1 clause", "bsd 2 clause", "bsd 2 clause patent", "bsd 3 clause",
+    "bsd 3 clause clear", "bsd 3 clause lbnl", "bsd 4 clause", "bsl 1 0", "busl 1 1", "cecill 2 1", "cecill b", "cecill c", "cern ohl p 2 0",
+    "cern ohl s 2 0", "cern ohl w 2 0", "curl", "ecl 2 0", "efl 2 0", "entessa", "eudatagrid", "fair", "frameworx 1 0", "ftl", "hpnd", "icu",
+    "ijg", "imagemagick", "intel", "ipa", "ipl 1 0", "json", "lal 1 3", "libpng 2 0", "libtiff", "liliq p 1 1", "lpl 1 02", "lppl 1 3c", "miros",
+    "mit 0", "motosoto", "mulanpsl 2 0", "multics", "naist 2003", "nasa 1 3", "naumen", "ngpl", "nokia", "nposl 3 0", "ntp", "oclc 2 0",
+    "ogtsl", "oldap 2 8", "oset pl 2 1", "php 3 01", "python 2 0", "rpl 1 5", "rpsl 1 0", "rscpl", "simpl 2 0", "sissl", "sleepycat", "spl 1 0",
+    "sspl 1 0", "tcl", "ucl 1 0", "unicode 3 0", "unicode dfs 2016", "upl 1 0", "vsl 1 0", "w3c", "watcom 1 0", "x11", "xnet", "zend 2 0",
+)
+
 # Wordings around a name, their priority, and how sure they make a detection.
 WORDINGS = (
     ("spdx", 40, 1.0, r"spdx licen[cs]e identifier {}"),
@@ -109,6 +263,7 @@ WORDINGS = (
     ("name", 10, 0.7, r"{}"),
 )
 TEXT_PRIORITY, TEXT_CONFIDENCE, BASE_CONFIDENCE = 20, 0.85, 0.5
+ADDRESS_PRIORITY, ADDRESS_CONFIDENCE = 35, 0.95
 
 
 @dataclass(frozen=True)
@@ -134,6 +289,11 @@ def rules() -> list[Rule]:
                 out.append(Rule(f"{full}:{kind}:{keyword}", full, keyword, pattern, priority + (5 if v else 0), confidence))
     for i, (label, keyword, pattern) in enumerate(TEXTS):
         out.append(Rule(f"{label}:text{i}", label, keyword, rf"(?<![^ ]){pattern}(?![^ ])", TEXT_PRIORITY, TEXT_CONFIDENCE))
+    for label, words in ADDRESSES:
+        out.append(Rule(f"{label}:address:{words}", label, words, rf"(?<![^ ]){words}(?![^ ])", ADDRESS_PRIORITY, ADDRESS_CONFIDENCE))
+    for words in IDENTIFIERS:
+        pattern = rf"(?<![^ ])spdx licen[cs]e identifier {words}(?: or later| only)?(?![^ ])"
+        out.append(Rule(f"{words}:identifier", words.replace(" ", "-"), f"identifier {words}", pattern, ADDRESS_PRIORITY + 5, 1.0))
     return out
 
 
@@ -150,17 +310,46 @@ def canonical(text: str | None) -> tuple[str, int]:
 
 
 def resolve(found: list[tuple[int, int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Detections that stay: in order of priority, then length, then place, then rule.
+    """Detections that stay. found: start, end, number of the rule, rule.
 
-    One goes if an accepted one contains it, or overlaps it and has a higher priority.
+    Priorities are decided from the highest down: a detection goes if it overlaps one of a higher priority that stayed,
+    or if one of its own priority that stayed contains it; of equal places the earlier rule's stays. Each priority is
+    one sweep over sorted places.
     """
     kept: list[tuple[int, int, Rule]] = []
-    for start, end, _, rule in sorted(found, key=lambda d: (-d[3].priority, d[0] - d[1], d[0], d[2])):
-        if not any(
-            (s <= start and end <= e) or (start < e and s < end and r.priority > rule.priority) for s, e, r in kept
-        ):
-            kept.append((start, end, rule))
-    return sorted(kept, key=lambda d: (d[0], d[1]))
+    taken: list[tuple[int, int]] = []  # what the kept ones cover, as disjoint spans in order
+    for priority in sorted({d[3].priority for d in found}, reverse=True):
+        starts, most, stay = [s for s, _ in taken], -1, []
+        for start, end, _, rule in sorted((d for d in found if d[3].priority == priority), key=lambda d: (d[0], -d[1], d[2])):
+            before = bisect_left(starts, end)
+            if before and taken[before - 1][1] > start:
+                continue
+            if end > most:
+                most = end
+                stay.append((start, end, rule))
+        kept += stay
+        taken = _merged(taken + [(s, e) for s, e, _ in stay])
+    return sorted(kept, key=lambda d: (d[0], d[1], d[2].name))
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def word_numbers(words: str, places: list[int]) -> list[int]:
+    """Which word, from 0, starts at each of the ascending places; one pass over the words."""
+    out, at, n = [], 0, 0
+    for place in places:
+        n += words.count(" ", at, place)
+        at = place
+        out.append(n)
+    return out
 
 
 class Scanner:
@@ -180,10 +369,11 @@ class Scanner:
         """Label and first word of every place where a phrase's words stand in a row."""
         padded, out = f" {words} ", []
         for phrase, label in BASE.items():
-            at = padded.find(f" {phrase} ")
+            places, at = [], padded.find(f" {phrase} ")
             while at >= 0:
-                out.append((label, padded.count(" ", 0, at)))
+                places.append(at)
                 at = padded.find(f" {phrase} ", at + 1)
+            out += [(label, n) for n in word_numbers(padded, places)]
         return out
 
     def detections(self, words: str) -> list[tuple[int, int, Rule]]:
@@ -204,7 +394,7 @@ def scan(docs: DataFrame, carry: list[str]) -> DataFrame:
 
     docs needs text; a null text is empty. detections has label, rule, start and end (code points of the canonical
     words), first_word and confidence. score is the highest confidence, 0.5 for base phrases alone, 0 without any.
-    Other columns are dropped, repeated rows are scanned alike; equal labels count once.
+    Other columns are dropped, repeated rows are scanned alike; equal labels count once; an empty table gives no rows.
     """
     schema = StructType([*(docs.schema[c] for c in carry), *StructType.fromDDL(FIELDS)])
     own = pa.schema(
@@ -243,8 +433,8 @@ def scan(docs: DataFrame, carry: list[str]) -> DataFrame:
                             "labels": ",".join(sorted(labels | {r.label for _, _, r in more})),
                             "score": max([r.confidence for _, _, r in more] + [BASE_CONFIDENCE] * bool(base), default=0.0),
                             "detections": [
-                                {"label": r.label, "rule": r.name, "start": s, "end": e, "first_word": words.count(" ", 0, s), "confidence": r.confidence}
-                                for s, e, r in more
+                                {"label": r.label, "rule": r.name, "start": s, "end": e, "first_word": at, "confidence": r.confidence}
+                                for (s, e, r), at in zip(more, word_numbers(words, [s for s, _, _ in more]), strict=True)
                             ],
                         }
                     )

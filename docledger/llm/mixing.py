@@ -16,7 +16,7 @@ from docledger.llm.common import discard, stored
 #: Source weights repeat in this order; a target stops at MAX_EPOCHS times its source's size.
 SOURCE_WEIGHTS, MAX_EPOCHS = (1, 2, 3), 3
 #: Ranges of the key within a source. Only the range in which a source's target ends is sorted.
-KEY_RANGES = 1 << 16
+KEY_RANGES = 1 << 12
 SEED = "mix-1"
 #: What mix adds, and the order in which it takes a source's documents.
 ADDED, ORDER = ("source_size", "target", "times"), ("_range", "_key", "_id", "_size")

@@ -230,3 +230,39 @@ def test_shards_round_trip_and_lookup(spark, odd, none):
         at += len(ids)
     assert [len(sstable.lookup(manifest, i)) for i in (1, 2, None, 99)] == [1, 2, 1, 0]
     assert sstable.read(spark, sstable.write(none)).collect() == []
+
+
+def test_license_rules_against_brute_force(spark):
+    """All rules over all words without a prefilter, and detections resolved one against all others."""
+
+    def brute(text):
+        words, _ = licenses.canonical(text)
+        found = [(m.start(), m.end(), i, r) for i, r in enumerate(licenses.rules()) for m in re.finditer(r.pattern, words)]
+        kept = []
+        for s, e, i, r in sorted(found, key=lambda d: (-d[3].priority, d[0] - d[1], d[0], d[2])):
+            if not any((a <= s and e <= b and o.priority == r.priority) or (a < e and s < b and o.priority > r.priority) for a, b, o in kept):
+                kept.append((s, e, r))
+        return sorted((s, e, r.name) for s, e, r in kept)
+
+    own = [
+        "We permit the Expat license and the MIT License.", "SPDX-License-Identifier: BSD-3-Clause-Clear", "see https://www.apache.org/licenses/LICENSE-2.0 .",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "GNU General Public License " * 30, "cc by sa 4.0 / CC BY 4.0 / creativecommons.org/licenses/by-nc-sa/4.0", "", None, "x " * 20000 + "cc0",
+        "This file is licensed under the GNU Lesser General Public License version 2.1 or any later", "permitted", "all rights reserved all rights reserved",
+    ]
+    texts = own + own[:2] + [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text rlike '(?i)licen|rights'").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hits = 0
+    for r in licenses.scan(df, ["doc_id"]).collect():
+        got = [(d["start"], d["end"], d["rule"]) for d in r["detections"]]
+        assert sorted(got) == brute(texts[r["doc_id"]])
+        words, _ = licenses.canonical(texts[r["doc_id"]])
+        assert all(d["first_word"] == words.count(" ", 0, d["start"]) for d in r["detections"])
+        assert r["labels"].split(",") == sorted({d["label"] for d in r["detections"]} | set(r["base_labels"].split(",")) - {""}) or not r["labels"]
+        hits += len(got)
+    assert hits > 80 and len({r.name for r in licenses.rules()}) == len(licenses.rules()) > 700
+
+
+def test_license_hits_by_the_thousand():
+    words, _ = licenses.canonical("mit license apache license version 2 0 " * 20_000)
+    assert len(licenses.Scanner().detections(words)) == 40_000 and len(licenses.Scanner().base(words)) == 40_000
