@@ -263,6 +263,19 @@ def test_license_rules_against_brute_force(spark):
     assert hits > 80 and len({r.name for r in licenses.rules()}) == len(licenses.rules()) > 700
 
 
+def test_license_keywords_stand_in_what_their_rules_find():
+    """Texts made from the fixed sentences: with nothing else around, the keyword gate lets each rule run."""
+    scanner = licenses.Scanner()
+    for label, _, pattern in licenses.TEXTS:
+        text = re.sub(r"\\[dw]\+?|\.\{\d+,\d+\}\?", "2", pattern)  # one text that the pattern matches
+        while (m := re.search(r"\(\?[:!]([^()|]*)(?:\|[^()]*)?\)\??", text)):
+            text = text[: m.start()] + ("" if m[0].startswith("(?!") else m[1]) + text[m.end() :]
+        text = re.sub(r"\[(.)[^]]*\]", r"\1", text).replace("?", "")
+        assert re.fullmatch(pattern, text), (pattern, text)
+        words, _ = licenses.canonical(text)
+        assert label in {r.label for own in dict(x for _, x in scanner.automaton.iter(words)).values() for _, r, regex in own if regex.search(words)}, text
+
+
 def test_license_hits_by_the_thousand():
     words, _ = licenses.canonical("mit license apache license version 2 0 " * 20_000)
     assert len(licenses.Scanner().detections(words)) == 40_000 and len(licenses.Scanner().base(words)) == 40_000
