@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,71 +34,130 @@ def safe_name(x: Column, longest: int = 120) -> Column:
     return F.substring(F.regexp_replace(x, r"[^A-Za-z0-9._-]+", "_"), 1, longest)
 
 
-# Header synonyms in the order in which they are tried - field, pattern over the normalised header.
-HEADER_RULES = (
-    ("description", "^(product|item|details)$|description"),
-    ("quantity", "^(qty|shipqty|orderqty)$|quantity"),
-    ("unit", "^(unit|uom|pack|purchaseunit)$"),
-    ("unit_price", "^(price|unitcost)$|unit.*price|price.*unit"),
-    ("total", "^(amount|total|nett|net)$|linetotal|nett?amount|nett?value|net.*price|price.*net|amount.*(excl|incl)|(excl|incl).*amount"),
-    ("vat", "^(tax|vat)|^vat"),
-    ("code", "^sku$|^.{0,12}code.{0,12}$"),
-)
-
-# Row roles in the order in which they are tried - role, pattern over the cleaned lower-case row.
-ROLE_RULES = (
-    ("banking", "bank|banking|branch|account|acc no|swift|iban|payment"),
-    ("footer", "cash collected|signed by|signature|received in good order|terms|conditions|please note|claims|returned goods"),
-    ("payment", "discount|rounding|currency|number of items|extra charges"),
-    ("subtotal", "subtotal|sub total|total nett|total net|total incl|total excl|amount excl|amount incl|grand total"),
-    ("vat", "vat|tax"),
-    ("contact", "invoice from|invoice to|deliver to|sold to|telephone|email|fax|document no|invoice number|invoice date|order number"),
-)
+# Normalised headers by field.
+DESCRIPTIONS = ("description", "product", "item", "details", "productdescription")
+QUANTITIES = ("qty", "quantity", "shipquantity", "shipqty", "orderedqty", "orderqty")
+UNITS = ("unit", "uom", "pack", "purchaseunit")
+UNIT_PRICES = ("price", "unitprice", "unitcost")
+TOTALS = (
+    "amount", "total", "linetotal", "netamount", "nettamount", "netvalue", "nettvalue", "nettprice", "netprice", "nett", "net",
+)
+TOTAL_PARTS = ("linetotal", "netamount", "nettamount", "netvalue", "nettvalue", "nettprice", "netprice")
+TAXES = ("vat", "tax", "vatamt", "vatamnt", "vatamount")
+CODES = ("code", "itemcode", "stockcode", "productcode", "sku")
+#: Longest normalised header that is a code by holding that word.
+LONGEST_CODE = 16
+
+# Words of rows that are no line items, by role.
+BANKING = ("bank", "banking", "branch", "account", "acc *no", "swift", "iban", "payment")
+CLOSING = ("cash collected", "signed by", "signature", "customer signature", "received in good order", "terms", "conditions", "please note", "claims", "returned goods")
+PAYMENT = ("discount", "rounding", "currency", "currencyrate", "number of items", "extra charges")
+SUBTOTAL = ("subtotal", "sub total", "total nett", "total net", "total incl", "total excl", "amount excl", "amount incl", "grand total")
+TAX = ("vat", "tax")
+TAX_AMOUNT = ("vatamt", "vatamnt", "vat amount")
+CONTACT = (
+    "page +[0-9]+ +of +[0-9]+", "invoice from", "invoice to", "deliver to", "sold to", "customer vat", "telephone", "email", "fax",
+    "document no", "invoice number", "invoice date", "order number", "representative",
+)
+#: Digits that a row of tax has at most.
+TAX_DIGITS = 8
 NUMBER = r"-?[0-9]+([ ,.][0-9]{3})*([.,][0-9]+)?"
 
 
-def bounded(terms: str) -> str:
-    """Terms as whole words; explicit classes, so that every engine agrees beside letters with accents."""
-    return f"(^|[^a-z0-9])({terms})([^a-z0-9]|$)"
+def bounded(*terms: str) -> str:
+    """Any of the terms as whole words; explicit classes, so that every engine agrees beside letters with accents."""
+    return f"(^|[^a-z0-9_])({'|'.join(terms)})([^a-z0-9_]|$)"
+
+
+def _bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def header_key(x: Column) -> Column:
-    norm, out = normalize_header(x), F.lit(None).cast("string")
-    for field, pattern in reversed(HEADER_RULES):
-        out = F.when(norm.rlike(pattern), field).otherwise(out)
-    return out
+    """Field that a header names: the first whose words it is or holds; null for none."""
+
+    def key(h: Column) -> Column:
+        has = lambda *parts: reduce(and_, (h.contains(p) for p in parts))
+        total = h.isin(*TOTALS) | reduce(or_, (h.contains(p) for p in TOTAL_PARTS)) | has("net", "price")
+        return (
+            F.when(h.isin(*DESCRIPTIONS) | has("description"), "description")
+            .when(h.isin(*QUANTITIES) | has("quantity"), "quantity")
+            .when(h.isin(*UNITS), "unit")
+            .when(h.isin(*UNIT_PRICES) | has("unit", "price"), "unit_price")
+            .when(total | (has("amount") & (has("excl") | has("incl"))), "total")
+            .when(h.isin(*TAXES) | h.startswith("vat"), "vat")
+            .when(h.isin(*CODES) | (has("code") & (F.length(h) <= LONGEST_CODE)), "code")
+        )
+
+    return _bind(normalize_header(F.coalesce(x, F.lit(""))), key)
 
 
 def number_count(x: Column) -> Column:
     return F.regexp_count(x, F.lit(NUMBER))
 
 
+def _names_columns(text: Column) -> Column:
+    """Cells between bars or commas name three fields, or a description, a quantity and a price or total."""
+    found = F.array_distinct(F.filter(F.transform(F.split(text, "[|,]"), header_key), lambda k: k.isNotNull()))
+    known = lambda k: F.array_contains(found, k)
+    line = known("description") & known("quantity") & (known("unit_price") | known("total"))
+    return text.rlike("[|,]") & ((F.size(found) >= 3) | line)
+
+
 def row_role(x: Column) -> Column:
-    """Role of a row of text: the first vocabulary that it meets, else a line item with three numbers and a word."""
-    text = clean_cell(x)
-    low = F.lower(text)
-    plain = F.when((number_count(text) >= 3) & text.rlike("[A-Za-z]{2,}"), "line_item").otherwise("noise")
-    out, any_term = plain, "|".join(terms for _, terms in ROLE_RULES)
-    for role, terms in reversed(ROLE_RULES):
-        hit = low.rlike(bounded(terms))
-        if role == "vat":
-            hit = hit & (F.regexp_count(text, F.lit("[0-9]")) <= 8)
-        out = F.when(hit, "footer" if role == "contact" else role).otherwise(out)
-    return F.when(text == "", "empty").when(~low.rlike(any_term), plain).otherwise(out)
+    """Role of a row of text: a header, else the first vocabulary that it meets, else a line item with three numbers and a word."""
+    any_term = "|".join((*BANKING, *CLOSING, *PAYMENT, *SUBTOTAL, "total", *TAX, *CONTACT))
+
+    def role(text: Column) -> Column:
+        low = F.lower(text)
+        plain = F.when(
+            (number_count(text) >= 3) & text.rlike("[A-Za-z]{2,}") & low.rlike("[^0-9 .,rza-]"), "line_item"
+        ).otherwise("noise")
+        tax = low.rlike(bounded(*TAX)) & (F.regexp_count(text, F.lit("[0-9]")) <= TAX_DIGITS) & ~low.rlike(bounded(*TAX_AMOUNT))
+        return (
+            F.when(text == "", "empty")
+            .when(_names_columns(text), "header")
+            .when(~low.rlike(any_term), plain)
+            .when(low.rlike(bounded(*BANKING)), "banking")
+            .when(low.rlike(bounded(*CLOSING)), "footer")
+            .when(low.rlike(bounded(*PAYMENT)), "payment")
+            .when(low.rlike(bounded(*SUBTOTAL)) | low.rlike("^total([^a-z0-9_]|$)"), "subtotal")
+            .when(tax, "vat")
+            .when(low.rlike(bounded(*CONTACT)), "footer")
+            .otherwise(plain)
+        )
+
+    return _bind(clean_cell(x), role)
 
 
 def sql_header_key(x: str) -> str:
-    norm = f"regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g')"
-    return "CASE " + " ".join(f"WHEN regexp_matches({norm}, '{p}') THEN '{f}'" for f, p in HEADER_RULES) + " END"
+    """The same for DuckDB, over patterns."""
+    h = f"regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g')"
+    rules = (
+        ("description", f"^({'|'.join(DESCRIPTIONS)})$|description"),
+        ("quantity", f"^({'|'.join(QUANTITIES)})$|quantity"),
+        ("unit", f"^({'|'.join(UNITS)})$"),
+        ("unit_price", f"^({'|'.join(UNIT_PRICES)})$|unit.*price|price.*unit"),
+        ("total", f"^({'|'.join(TOTALS)})$|{'|'.join(TOTAL_PARTS)}|net.*price|price.*net|amount.*(excl|incl)|(excl|incl).*amount"),
+        ("vat", f"^({'|'.join(TAXES)})$|^vat"),
+        ("code", "^sku$|^.{0,12}code.{0,12}$"),
+    )
+    out = "".join(f" WHEN regexp_matches({h}, '{p}'){f' AND length({h}) <= 16' if f == 'code' else ''} THEN '{f}'" for f, p in rules)
+    return f"CASE{out} END"
 
 
 def sql_row_role(x: str) -> str:
     """The same for DuckDB; x is a cleaned row."""
-    rules = []
-    for role, terms in ROLE_RULES:
-        more = f" AND len(regexp_extract_all({x}, '[0-9]')) <= 8" if role == "vat" else ""
-        rules.append(f"WHEN regexp_matches(lower({x}), '{bounded(terms)}'){more} THEN '{'footer' if role == 'contact' else role}'")
-    return (
-        f"CASE WHEN {x} = '' THEN 'empty' {' '.join(rules)} WHEN len(regexp_extract_all({x}, '{NUMBER}')) >= 3 "
-        f"AND regexp_matches({x}, '[A-Za-z]{{2,}}') THEN 'line_item' ELSE 'noise' END"
+    low = f"lower({x})"
+    meets = lambda *terms: f"regexp_matches({low}, '{bounded(*terms)}')"
+    found = f"list_transform(string_split(replace({x}, '|', ','), ','), lambda c: {sql_header_key('c')})"
+    line = " AND ".join(f"list_contains({found}, '{k}')" for k in ("description", "quantity"))
+    header = (
+        f"regexp_matches({x}, '[|,]') AND (len(list_distinct({found})) >= 3 OR ({line} AND "
+        f"(list_contains({found}, 'unit_price') OR list_contains({found}, 'total'))))"
     )
+    return f"""CASE WHEN {x} = '' THEN 'empty' WHEN {header} THEN 'header' WHEN {meets(*BANKING)} THEN 'banking' WHEN {meets(*CLOSING)} THEN 'footer'
+      WHEN {meets(*PAYMENT)} THEN 'payment' WHEN {meets(*SUBTOTAL, '^total')} OR regexp_matches({low}, '^total([^a-z0-9_]|$)') THEN 'subtotal'
+      WHEN {meets(*TAX)} AND len(regexp_extract_all({x}, '[0-9]')) <= 8 AND NOT {meets(*TAX_AMOUNT)} THEN 'vat' WHEN {meets(*CONTACT)} THEN 'footer'
+      WHEN len(regexp_extract_all({x}, '{NUMBER}')) >= 3 AND regexp_matches({x}, '[A-Za-z]{{2,}}') AND regexp_matches({low}, '[^0-9 .,rza-]') THEN 'line_item'
+      ELSE 'noise' END"""

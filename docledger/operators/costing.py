@@ -10,23 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from docledger.plans.catalog import register
-from docledger.plans.tables import table
+from docledger.plans.tables import stored, table
 
-#: Levels of recipes within recipes that are followed; deeper ones, and cycles, are errors.
-MAX_DEPTH = 12
-
-
-def explode_recipes(parts: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def explode_recipes(parts: DataFrame, roots: DataFrame) -> DataFrame:
     """root, part, quantity: what each root needs of every part below it, scaled along the way.
 
-    parts: parent, child, quantity, yield (of the parent); roots: root. One equi-join a level, until no line has a
-    recipe of its own; a part met on its own path is an error.
+    parts: parent, child, quantity, yield (of the parent); roots: root. One equi-join a level, written as a table, until
+    no line has a recipe of its own, however deep that is; a part met on its own path is an error.
     """
     line = F.col("quantity") / F.col("yield")
     level = roots.select("root", F.col("root").alias("node"), F.lit(1.0).alias("scale"), F.array("root").alias("path"))
     found = None
-    for _ in range(max_depth):
-        level = level.join(parts, level.node == parts.parent).select(
+    while found is None or not level.isEmpty():
+        below = level.join(parts, level.node == parts.parent).select(
             "root",
             F.col("child").alias("node"),
             # the check stands in a column that is always used, so that pruning cannot drop it
@@ -35,6 +31,7 @@ def explode_recipes(parts: DataFrame, roots: DataFrame, max_depth: int = MAX_DEP
             .alias("scale"),
             F.concat("path", F.array("child")).alias("path"),
         )
+        level = stored(below, "recipe-level")
         found = level if found is None else found.unionByName(level)
     return found.select("root", F.col("node").alias("part"), F.col("scale").alias("quantity"))
 
@@ -54,10 +51,10 @@ needs AS (SELECT root, node AS part, scale AS quantity FROM x WHERE root <> node
 
 def _exploded(spark, sf_dir) -> DataFrame:
     roots = table(spark, sf_dir, "part").filter("p_partkey < 7").select(F.col("p_partkey").alias("root"))
-    return explode_recipes(_bom(spark, sf_dir), roots, max_depth=8)
+    return explode_recipes(_bom(spark, sf_dir), roots)
 
 
-@register("bom_explosion", "J19 B1 B15", f"WITH RECURSIVE {_BOM_SQL} SELECT root, part, quantity FROM needs")
+@register("bom_explosion", "J19 B1", f"WITH RECURSIVE {_BOM_SQL} SELECT root, part, quantity FROM needs")
 def bom_explosion(spark, sf_dir):
     return _exploded(spark, sf_dir)
 
@@ -65,7 +62,7 @@ def bom_explosion(spark, sf_dir):
 @register(
     "recipe_cost",
     "B4 B5 J21",
-    f"""WITH RECURSIVE {_BOM_SQL} SELECT root, floor(sum(quantity * CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_retailprice END) + 0.5) AS cost,
+    f"""WITH RECURSIVE {_BOM_SQL} SELECT root, floor(sum(quantity * CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_retailprice END) + 0.500001) AS cost,
     count(CASE WHEN p_partkey % 5 = 0 THEN 1 END) AS unpriced FROM needs JOIN part ON part = p_partkey GROUP BY root""",
 )
 def recipe_cost(spark, sf_dir):
@@ -73,7 +70,7 @@ def recipe_cost(spark, sf_dir):
     price = table(spark, sf_dir, "part").filter("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("part"), "p_retailprice")
     costed = _exploded(spark, sf_dir).join(price, "part", "left")
     return costed.groupBy("root").agg(
-        F.floor(F.sum(F.col("quantity") * F.coalesce("p_retailprice", F.lit(0.0))) + 0.5).cast("double").alias("cost"),
+        F.floor(F.sum(F.col("quantity") * F.coalesce("p_retailprice", F.lit(0.0))) + 0.500001).cast("double").alias("cost"),
         F.count_if(F.col("p_retailprice").isNull()).alias("unpriced"),
     )
 
@@ -121,24 +118,31 @@ def inventory_variance(spark, sf_dir):
 @register(
     "strict_gate",
     "B6 J23 K6 P27",
-    """WITH issues AS (SELECT count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')),
+    """WITH unserved AS (SELECT count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')),
+    unpriced AS (SELECT count(*) AS n FROM orders WHERE o_totalprice IS NULL OR o_totalprice < 0),
     u AS (SELECT c_mktsegment, floor(sum(o_totalprice) * 100 + 0.5) / 100 AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment)
-    SELECT c_mktsegment, CASE WHEN n > 100000 THEN NULL ELSE total END AS total, n AS issues FROM u, issues""",
+    SELECT c_mktsegment, CASE WHEN a.n = 0 THEN total END AS total_if_served, CASE WHEN b.n = 0 THEN total END AS total_if_priced, a.n AS unserved, b.n AS unpriced FROM u, unserved a, unpriced b""",
 )
 def strict_gate(spark, sf_dir):
-    """All results or none: one count of issues, a single row, is joined to every result."""
+    """All results or none, behind each of two rules: a single issue closes a gate. The counts of issues are one row."""
     customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     done = orders.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    issues = customer.join(done, "c_custkey", "left_anti").agg(F.count("*").alias("issues"))
+    unserved = customer.join(done, "c_custkey", "left_anti").agg(F.lit(1).alias("_one"), F.count("*").alias("unserved"))
+    unpriced = orders.agg(F.lit(1).alias("_one"), F.count_if(F.expr("o_totalprice is null or o_totalprice < 0")).alias("unpriced"))
     totals = (
         orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("t"))
         .join(customer.select("c_custkey", "c_mktsegment"), "c_custkey")
         .groupBy("c_mktsegment")
         .agg((F.floor(F.sum("t") * 100 + 0.5) / 100).alias("total"))
     )
-    n = F.col("issues")
-    gated = totals.withColumn("_one", F.lit(1)).join(issues.withColumn("_one", F.lit(1)), "_one")
-    return gated.select("c_mktsegment", F.when(n <= 100000, F.col("total")).alias("total"), "issues")
+    gated = totals.withColumn("_one", F.lit(1)).join(unserved.join(unpriced, "_one"), "_one")
+    return gated.select(
+        "c_mktsegment",
+        F.when(F.col("unserved") == 0, F.col("total")).alias("total_if_served"),
+        F.when(F.col("unpriced") == 0, F.col("total")).alias("total_if_priced"),
+        "unserved",
+        "unpriced",
+    )
 
 
 def ratio(a: str, b: str) -> float:

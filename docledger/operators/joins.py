@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -218,7 +219,7 @@ def normalized_key_lookup(spark, sf_dir):
 @register(
     "alias_or_variant_lookup",
     "J11 M2 M12",
-    """WITH rec AS (SELECT p_partkey AS id, lower(p_name) AS key, lower(p_brand) AS alias, lower(p_type) AS variant FROM part WHERE p_partkey % 10 = 0),
+    """WITH rec AS (SELECT p_partkey AS id, lower(p_name) AS key, lower(p_brand) AS alias, lower(p_type) AS variant FROM part),
     q AS (SELECT p_partkey, lower(p_name) AS name, lower(p_brand) AS brand, lower(p_type) AS kind FROM part),
     hits AS (SELECT p_partkey, 0 AS prio, id FROM q JOIN rec ON q.name = rec.key UNION ALL SELECT p_partkey, 1, id FROM q JOIN rec ON brand = alias
       UNION ALL SELECT p_partkey, 1, id FROM q JOIN rec ON kind = variant),
@@ -230,10 +231,9 @@ def alias_or_variant_lookup(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(
         "p_partkey", *(F.lower(c).alias(n) for c, n in (("p_name", "name"), ("p_brand", "brand"), ("p_type", "kind")))
     )
-    records = part.filter("p_partkey % 10 = 0")
     out = part
     for prio, field in ((0, "name"), (1, "brand"), (1, "kind")):
-        first = records.groupBy(field).agg(F.min(F.struct(F.lit(prio).alias("prio"), F.col("p_partkey").alias("id"))).alias(f"by_{field}"))
+        first = part.groupBy(field).agg(F.min(F.struct(F.lit(prio).alias("prio"), F.col("p_partkey").alias("id"))).alias(f"by_{field}"))
         out = out.join(first, field, "left")
     return out.select("p_partkey", F.least("by_name", "by_brand", "by_kind").alias("m")).select("p_partkey", "m.prio", "m.id")
 
@@ -241,39 +241,63 @@ def alias_or_variant_lookup(spark, sf_dir):
 @register(
     "token_overlap_top1",
     "J12 U8 F48",
-    """WITH n AS (SELECT DISTINCT p_name AS name FROM part), b AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_type || ' ' || p_name), ' ')) AS t FROM part WHERE p_partkey % 20 = 0),
+    """WITH n AS (SELECT DISTINCT p_name AS name FROM part), b AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_type || ' ' || p_name), ' ')) AS t FROM part),
     a AS (SELECT name, list_distinct(string_split(name, ' ')) AS t FROM n), x AS (SELECT name, len(t) AS n_a, unnest(t) AS tok FROM a), y AS (SELECT id, len(t) AS n_b, unnest(t) AS tok FROM b),
     o AS (SELECT name, id, count(*)::DOUBLE / greatest(n_a, n_b) AS score FROM x JOIN y USING (tok) GROUP BY name, id, n_a, n_b),
-    r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, id) AS r FROM o WHERE score >= 0.4) SELECT name, id, score FROM r WHERE r = 1""",
+    r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, id) AS r FROM o WHERE score >= 0.5) SELECT name, id, score FROM r WHERE r = 1""",
 )
 def token_overlap_top1(spark, sf_dir):
-    """Set-similarity join through an inverted index on tokens."""
+    """Set-similarity join through an inverted index on tokens. Of targets with the same tokens the first one stands for all."""
     part = table(spark, sf_dir, "part")
     tokens = lambda c: F.array_distinct(F.split(c, " "))
     a = part.select("p_name").distinct().select(F.col("p_name").alias("name"), tokens(F.col("p_name")).alias("t"))
-    b = part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), tokens(F.lower(F.concat_ws(" ", "p_type", "p_name"))).alias("u"))
+    b = part.groupBy(F.array_sort(tokens(F.lower(F.concat_ws(" ", "p_type", "p_name")))).alias("u")).agg(F.min("p_partkey").alias("id"))
     x = a.select("name", F.size("t").alias("n_a"), F.explode("t").alias("tok"))
     y = b.select("id", F.size("u").alias("n_b"), F.explode("u").alias("tok"))
     scored = x.join(y, "tok").groupBy("name", "id", "n_a", "n_b").agg((F.count("*") / F.greatest("n_a", "n_b")).alias("score"))
-    best = scored.filter("score >= 0.4").groupBy("name").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("m"))
+    best = scored.filter("score >= 0.5").groupBy("name").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("m"))
     return best.select("name", (-F.col("m.minus")).alias("id"), "m.score")
 
 
+def _grams(x, n: int):
+    """All runs of n characters."""
+    at = F.when(F.length(x) >= n, F.sequence(F.lit(1), F.length(x) - (n - 1)))
+    return F.array_distinct(F.coalesce(F.transform(at, lambda i: F.substring(x, i, F.lit(n))), F.array().cast("array<string>")))
+
+
+def substring_matches(names: DataFrame, stock: DataFrame) -> DataFrame:
+    """name, item, id of every pair of which one holds the other. names: name; stock: item, id; all distinct, none empty.
+
+    The shorter text has some run of three characters (all of it, where it is shorter) that the longer one must hold:
+    its alphabetically last one is looked up among all runs of the longer text, and the pair is then compared.
+    """
+
+    def within(short, a, long, b):
+        probe = short.withColumn("gram", F.when(F.length(a) < 3, F.col(a)).otherwise(F.array_max(_grams(F.col(a), 3))))
+        held = long.withColumn("gram", F.explode(F.concat(*(_grams(F.col(b), n) for n in (1, 2, 3)))))
+        return probe.join(held, "gram").filter(F.col(b).contains(F.col(a))).select("name", "item", "id")
+
+    return within(names, "name", stock, "item").unionByName(within(stock, "item", names, "name")).distinct()
+
+
 @register(
     "stock_price_substring",
-    "J15 P21 A25 B8",
-    """WITH s AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS noun FROM part), q AS (SELECT DISTINCT p_name FROM part), e AS (SELECT p_name AS n, min(p_retailprice) AS price FROM part WHERE p_partkey % 3 = 0 GROUP BY p_name),
-    f AS (SELECT split_part(p_name, ' ', 2) AS noun, min(p_partkey) AS k FROM part GROUP BY 1), g AS (SELECT f.noun, p_retailprice AS price FROM f JOIN part ON p_partkey = k)
-    SELECT q.p_name, coalesce(e.price, g.price) AS price, e.price IS NOT NULL AS exact FROM q LEFT JOIN e ON q.p_name = e.n LEFT JOIN g ON contains(q.p_name, g.noun) AND e.price IS NULL AND split_part(q.p_name, ' ', 2) = g.noun""",
+    "J15 P21 A25",
+    """WITH q AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN 'fresh ' || p_name ELSE split_part(p_name, ' ', 2) END AS name FROM part WHERE p_partkey % 3 < 2 OR contains(p_name, ' ')),
+    s AS (SELECT p_name AS item, min(p_partkey) AS id FROM part GROUP BY 1), x AS (SELECT name, item, id, name = item AS same FROM q JOIN s ON contains(name, item) OR contains(item, name)),
+    b AS (SELECT name, id, same, row_number() OVER (PARTITION BY name ORDER BY same DESC, id) AS r FROM x)
+    SELECT q.name, p_retailprice AS price, coalesce(same, false) AS exact FROM q LEFT JOIN b ON q.name = b.name AND r = 1 LEFT JOIN part ON p_partkey = b.id""",
 )
 def stock_price_substring(spark, sf_dir):
-    """Exact name, else the first stock item whose noun the name contains; nouns are an equi-join, not a scan of all pairs."""
-    part = table(spark, sf_dir, "part").withColumn("noun", F.split_part("p_name", F.lit(" "), F.lit(2)))
-    exact = part.filter("p_partkey % 3 = 0").groupBy("p_name").agg(F.min("p_retailprice").alias("e"))
-    first = part.groupBy("noun").agg(F.min_by("p_retailprice", "p_partkey").alias("g"))
-    names = part.select("p_name", "noun").distinct()
-    return names.join(exact, "p_name", "left").join(first, "noun", "left").select(
-        "p_name", F.coalesce("e", "g").alias("price"), F.col("e").isNotNull().alias("exact")
+    """Price of the stock item of that name, else of the first item whose name holds the name or is held by it."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    name = F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, F.concat(F.lit("fresh "), "p_name")).otherwise(F.split_part("p_name", F.lit(" "), F.lit(2)))
+    names = part.select(name.alias("name")).filter("name <> ''").distinct()
+    stock = part.groupBy(F.col("p_name").alias("item")).agg(F.min("p_partkey").alias("id"))
+    best = substring_matches(names, stock).groupBy("name").agg(F.min(F.struct((F.col("name") != F.col("item")).alias("other"), "id")).alias("m"))
+    priced = best.select("name", "m.*").join(part.select(k.alias("id"), "p_retailprice"), "id")
+    return names.join(priced, "name", "left").select(
+        "name", F.col("p_retailprice").alias("price"), F.coalesce(~F.col("other"), F.lit(False)).alias("exact")
     )
 
 
@@ -300,10 +324,10 @@ def recipe_lines_left_join(spark, sf_dir):
     "sales_listing",
     "J18 O6 P20",
     """SELECT o_orderkey, c_name, coalesce(o_orderdate, TIMESTAMP '1900-01-01') AS sold FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment <> 'MACHINERY'
-    WHERE o_orderdate IS NULL OR o_orderdate >= TIMESTAMP '1995-01-01' ORDER BY sold DESC, o_orderkey DESC LIMIT 200""",
+    WHERE o_orderdate IS NULL OR o_orderdate >= TIMESTAMP '1995-01-01' ORDER BY sold DESC, o_orderkey DESC""",
 )
 def sales_listing(spark, sf_dir):
-    """The latest 200 sales: the limit is the report's."""
+    """All sales from a date on, and those without a date, the latest first."""
     customer = table(spark, sf_dir, "customer").filter("c_mktsegment <> 'MACHINERY'").select("c_custkey", "c_name")
     return (
         table(spark, sf_dir, "orders")
@@ -311,7 +335,6 @@ def sales_listing(spark, sf_dir):
         .join(customer, F.expr("o_custkey = c_custkey"), "left")
         .select("o_orderkey", "c_name", F.coalesce("o_orderdate", F.lit("1900-01-01").cast("timestamp")).alias("sold"))
         .orderBy(F.desc("sold"), F.desc("o_orderkey"))
-        .limit(200)
     )
 
 

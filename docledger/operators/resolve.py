@@ -10,26 +10,61 @@ from docledger.plans.catalog import register
 from docledger.plans.tables import table
 
 
+#: Descriptions of purchased goods; the second word of the part's name follows.
+DESCRIPTIONS = (
+    "Red Peppers 1kg", "Peppers Red", "Granny Smith Apples", "Baby Potatoes 10x1kg", "Tomatoes Each", "Carrots Loose", "Apples Granny Smith",
+    "Chicken Breast Fillets 2 kg", "Strawberries Punnet 250g", "Refuse Bags 10 x 20", "Lunch Box (50's)", "Chillies Red Diced", "Tin Tuna",
+    "Onions, Brown, Pickled 5 L", "Radishes", "Mangoes",
+)
+#: Pairs of descriptions to compare.
+PAIRS = (
+    ("Red Peppers 1kg", "Peppers Red"), ("Red Peppers", "Green Peppers"), ("Red Peppers", "Peppers"), ("Chicken Breast", "Beef Fillet"),
+    ("Smoked Salmon", "Salmon Smoked"), ("Basmati Rice", "Rice Jasmine"), ("Sesame", "Sesame Seed"), ("Tofu Silken", "Silken Tofu"), ("Oil", "Xx"),
+    ("***Oil***!!", "Oil"), ("Box (50's)", "Box (100's)"), ("Baby Carrots", "Carrots Large"), ("Garlic Whole", "Garlic"), ("", "Oil"),
+)
+
+
+def _pick(values, number):
+    return F.get(F.array(*map(F.lit, values)), (number % len(values)).cast("int"))
+
+
 @register(
     "match_keys",
-    "F16 F17 F22 F23 F24 F25 F26 F27 F71 F72 M1",
-    r"""WITH d AS (SELECT p_partkey, (['Red Peppers','Peppers, red','Granny Apples','Baby Potatoes','Tomatoes Each','Fresh Berries'])[p_partkey % 6 + 1] || ' ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN ' 10 x 2kg' ELSE ' 500g' END AS d FROM part),
-    t AS (SELECT p_partkey, d, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(d), '10 x 2kg|500g', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '' AND x NOT IN ('each')) AS w FROM d),
-    s AS (SELECT p_partkey, d, list_transform(w, lambda x: CASE x WHEN 'peppers' THEN 'pepper' WHEN 'apples' THEN 'apple' WHEN 'potatoes' THEN 'potato' WHEN 'tomatoes' THEN 'tomato' WHEN 'berries' THEN 'berry' ELSE x END) AS w FROM t),
-    o AS (SELECT p_partkey, d, list_filter(w, lambda x: x IN ('red','green','yellow','white','black','brown','whole','breast','fillet','diced','sliced','chopped','minced','fresh','smoked','salted','frozen','dried','pickled','roasted','baby','large','medium','small','loose','flat')) AS m,
-      list_filter(w, lambda x: x NOT IN ('red','green','yellow','white','black','brown','whole','breast','fillet','diced','sliced','chopped','minced','fresh','smoked','salted','frozen','dried','pickled','roasted','baby','large','medium','small','loose','flat')) AS c FROM s)
-    SELECT p_partkey, array_to_string(list_concat((SELECT list(x ORDER BY i) FROM (SELECT unnest(m) AS x, generate_subscripts(m, 1) AS i) q WHERE i = list_position(m, x)), (SELECT list(x ORDER BY i) FROM (SELECT unnest(c) AS x, generate_subscripts(c, 1) AS i) q WHERE i = list_position(c, x))), ' ') AS key,
-      CASE WHEN contains(d, '10 x 2') THEN 'dim_10x2' ELSE '' END AS packaging FROM o""",
+    "F22 F23 F24 F25 F27",
+    """SELECT p_partkey, replace(g[1], '{n}', split_part(p_name, ' ', 2)) AS key, g[2] AS packaging FROM (SELECT p_partkey, p_name,
+    ([['red pepper {n}',''], ['red pepper {n}',''], ['granny smith apple {n}',''], ['baby potato {n}',''], ['tomato {n}',''], ['carrot loose {n}',''],
+      ['granny smith apple {n}',''], ['chicken breast fillets {n}',''], ['strawberry {n}',''], ['refuse bag {n} dim_10x20','dim_10x20'],
+      ['lunch box {n} count_50','count_50'], ['chilli red diced {n}',''], ['tuna {n}',''], ['onion brown pickled {n}',''], ['radishes {n}',''], ['mango {n}','']])[p_partkey % 16 + 1] AS g FROM part)""",
 )
 def match_keys(spark, sf_dir):
-    names = ("Red Peppers", "Peppers, red", "Granny Apples", "Baby Potatoes", "Tomatoes Each", "Fresh Berries")
-    lead = F.get(F.array(*map(F.lit, names)), (F.col("p_partkey") % 6).cast("int"))
-    d = F.concat(lead, F.lit(" "), F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, " 10 x 2kg").otherwise(" 500g"))
+    """The SQL holds the keys worked out by hand."""
+    d = F.concat(_pick(DESCRIPTIONS, F.col("p_partkey")), F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(2)))
     return table(spark, sf_dir, "part").select(
         "p_partkey", keys.match_key(d).alias("key"), F.array_join(keys.packaging_evidence(d), " ").alias("packaging")
     )
 
 
+@register(
+    "modifier_groups",
+    "F26 F28 M1",
+    """SELECT p_partkey, g[1] AS colour, g[2] AS variety, g[3] AS cut_form, g[4] AS preparation, g[5] AS size_age, g[6] AS packaging_type, g[7] AS core, false AS weak, false AS noisy FROM (SELECT p_partkey, ([['red','','','','','','pepper'], ['red','','','','','','pepper'], ['','granny smith','','','','','apple'],
+      ['','','','','baby','','potato'], ['','','','','','','tomato'], ['','','loose','','','','carrot'], ['','granny smith','','','','','apple'], ['','','breast fillets','','','','chicken'],
+      ['','','','','','',''], ['','','','','','bag refuse','bag'], ['','','','','','box lunch','box'], ['red','','diced','','','',''], ['','','','','','',''],
+      ['brown','','','pickled','','','onion'], ['','','','','','',''], ['','','','','','','']])[p_partkey % 16 + 1] AS g FROM part)""",
+)
+def modifier_groups(spark, sf_dir):
+    """Modifiers of each description by group, its product, and doubts about its name. The SQL holds what was worked out by hand."""
+    d = _pick(DESCRIPTIONS, F.col("p_partkey"))
+    found = table(spark, sf_dir, "part").select("p_partkey", d.alias("d"), keys.match_tokens(d).alias("t"))
+    return found.select(
+        "p_partkey",
+        *(F.array_join(keys.modifiers(F.col("t"), g), " ").alias(g) for g in keys.MODIFIERS),
+        F.array_join(keys.core(F.col("t")), " ").alias("core"),
+        keys.weak_name(F.col("d")).alias("weak"),
+        keys.noisy_name(F.col("d")).alias("noisy"),
+    )
+
+
 @register(
     "token_set_ops",
     "U8 U9 U10 J13",
@@ -52,18 +87,40 @@ def token_set_ops(spark, sf_dir):
 
 @register(
     "pair_compare_scores",
-    "J13 M3 M12",
-    """WITH n AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS modifier, split_part(p_name, ' ', 2) AS core, any_value(p_brand) OVER (PARTITION BY p_name) IS NULL AS x FROM part)
-    SELECT a.name AS a, b.name AS b, CASE WHEN a.name = b.name THEN 0.95 WHEN substr(a.modifier, 1, 1) = substr(b.modifier, 1, 1) THEN 0.9 WHEN length(a.modifier) = length(b.modifier) THEN 0.7 ELSE 0.62 END::DOUBLE AS score
-    FROM n a JOIN n b ON a.core = b.core AND a.name < b.name""",
+    "J13 M3",
+    """SELECT p_partkey, ([0.95, 0.45, 0.62, 0.25, 0.9, 0.9, 0.25, 0.35, 0.25, 0.6, 0.45, 0.45, 0.62, 0.0])[p_partkey % 14 + 1]::DOUBLE AS score FROM part""",
 )
 def pair_compare_scores(spark, sf_dir):
-    """Names that share their core noun, compared pair by pair: the noun is the blocking key."""
-    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().select("name", *(F.split("name", " ")[i].alias(c) for i, c in enumerate(("m", "core"))))
-    a, b = n.selectExpr("name as a", "m as m_a", "core"), n.selectExpr("name as b", "m as m_b", "core")
-    same = F.substring("m_a", 1, 1) == F.substring("m_b", 1, 1)
-    score = F.when(same, 0.9).when(F.length("m_a") == F.length("m_b"), 0.7).otherwise(0.62)
-    return a.join(b, "core").filter("a < b").select("a", "b", score.alias("score"))
+    """Two descriptions compared by key, product, modifiers and packages. The SQL holds the scores worked out by hand."""
+    k = F.col("p_partkey")
+    score = keys.compare(_pick([a for a, _ in PAIRS], k), _pick([b for _, b in PAIRS], k))
+    return table(spark, sf_dir, "part").select("p_partkey", score.alias("score"))
+
+
+@register(
+    "memory_best_match",
+    "M2 J10",
+    """WITH c AS (SELECT o_custkey % 16 AS d, o_orderkey FROM orders), r AS (SELECT min(p_partkey) AS id, p_partkey % 16 AS d FROM part GROUP BY 2)
+    SELECT c.d, count(*) AS n, min(r.id) AS matched, 0.95::DOUBLE AS score FROM c JOIN r
+    ON r.d = CASE WHEN c.d = 1 AND (SELECT id FROM r WHERE d = 0) < (SELECT id FROM r WHERE d = 1) THEN 0 WHEN c.d = 0 AND (SELECT id FROM r WHERE d = 1) < (SELECT id FROM r WHERE d = 0) THEN 1
+      WHEN c.d = 6 AND (SELECT id FROM r WHERE d = 2) < (SELECT id FROM r WHERE d = 6) THEN 2 WHEN c.d = 2 AND (SELECT id FROM r WHERE d = 6) < (SELECT id FROM r WHERE d = 2) THEN 6 ELSE c.d END
+    WHERE c.d NOT IN (8, 11, 12, 14, 15) GROUP BY ALL""",
+)
+def memory_best_match(spark, sf_dir):
+    """Candidates against the memory's records of the same product: the best score, of equal ones the record first stored.
+
+    Both sides are reduced to distinct descriptions before they meet, by an equi-join on the product's nouns.
+    """
+    orders, part = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    candidates = orders.groupBy((F.col("o_custkey") % len(DESCRIPTIONS)).alias("d")).agg(F.count("*").alias("n"))
+    candidates = candidates.withColumn("a", _pick(DESCRIPTIONS, F.col("d")))
+    records = part.groupBy(_pick(DESCRIPTIONS, F.col("p_partkey")).alias("b")).agg(F.min("p_partkey").alias("id"))
+    product = lambda c: F.array_join(keys.core(keys.match_tokens(F.col(c))), " ")
+    met = candidates.withColumn("core", product("a")).filter("core <> ''").join(records.withColumn("core", product("b")), "core")
+    best = met.withColumn("score", keys.compare(F.col("a"), F.col("b"))).groupBy("d", "n").agg(
+        F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("m")
+    )
+    return best.select("d", "n", (-F.col("m.minus")).alias("matched"), "m.score")
 
 
 @register(

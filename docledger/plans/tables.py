@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """``name`` of the star schema in ``sf_dir``; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the folder that spark.checkpoint.dir names, and read back: cuts the lineage.
+
+    A local session without that setting (as in tests) uses a temporary folder; on a cluster it must be set, as executors
+    would write to disks of their own.
+    """
+    spark = df.sparkSession
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
+    path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
