@@ -51,3 +51,29 @@ def for_display(quantity: Column, base: Column) -> Column:
         F.when(large, quantity / 1000).otherwise(quantity).alias("quantity"),
         F.when(large, _lookup(LARGE, base)).otherwise(base).alias("unit"),
     )
+
+
+# Spellings of the units of packs, the unit that they are bought in, and what makes one of those.
+PACK_UNITS = {"litre": ("(?:ltr|lt|l|it)", "LTR", 1), "ml": ("ml", "LTR", 1000), "kg": ("kgs?", "KG", 1), "g": ("(?:g|gr|grams?)", "KG", 1000)}
+# The order in which packs of several, then single packs, are tried.
+PACK_ORDER, SINGLE_ORDER = ("litre", "ml", "kg", "g"), ("kg", "g", "litre", "ml")
+
+
+def pack_measure(x: Column) -> Column:
+    """qty and unit (KG or LTR) of the pack that a description names; null without one. Sizes such as 16/20 kg are grades."""
+    number = r"\b(\d+(?:[.,]\d+)?)\s*"
+    text = F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\b\d+\s*/\s*\d+\s*kg\b", "")
+    value = lambda pattern, group: F.replace(F.regexp_extract(text, pattern, group), F.lit(","), F.lit(".")).cast("double")
+    rules = []
+    for name in PACK_ORDER:
+        spelled, unit, each = PACK_UNITS[name]
+        pattern = rf"{number}x\s*(\d+(?:[.,]\d+)?)\s*{spelled}\b"
+        rules.append((text.rlike(pattern), value(pattern, 1) * value(pattern, 2) / each, unit))
+    for name in SINGLE_ORDER:
+        spelled, unit, each = PACK_UNITS[name]
+        pattern = rf"{number}{spelled}\b"
+        rules.append((text.rlike(pattern), value(pattern, 1) / each, unit))
+    out = F.lit(None).cast("struct<qty:double,unit:string>")
+    for hit, qty, unit in reversed(rules):
+        out = F.when(hit, F.struct(qty.alias("qty"), F.lit(unit).alias("unit"))).otherwise(out)
+    return out

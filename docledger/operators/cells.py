@@ -31,7 +31,7 @@ def money_parse_roundtrip(spark, sf_dir):
 
 @register(
     "numeric_cell_shapes",
-    "P6 P7 P11 P16 P17 P18 F3 F19",
+    "P6 P7 P11 P16 P17 P18",
     r"""WITH cells AS (SELECT p_partkey, unnest(['R ' || p_partkey || '.50', p_size || '%', p_size || 'kg', '00000' || p_partkey, p_name, 'AB' || p_partkey]) AS c,
       unnest([0, 1, 2, 3, 4, 5]) AS k FROM part)
     SELECT k, sum(CASE WHEN regexp_matches(c, '(?i)^\s*(R|ZAR)?\s*-?\d[\d\s,]*(\.\d+)?\s*$') THEN 1 ELSE 0 END)::BIGINT AS numeric_cells,
@@ -65,7 +65,7 @@ def numeric_cell_shapes(spark, sf_dir):
 
 @register(
     "unit_convert",
-    "F60 F61 F62 B9",
+    "F60 F61 B9",
     """SELECT p_partkey, p_size::DOUBLE * f AS base_quantity, b AS base_unit,
     CASE WHEN b IN ('g', 'ml') AND p_size * f >= 1000 THEN p_size * f / 1000 ELSE p_size * f END::DOUBLE AS shown,
     CASE WHEN b = 'g' AND p_size * f >= 1000 THEN 'kg' WHEN b = 'ml' AND p_size * f >= 1000 THEN 'L' ELSE b END AS shown_unit,
@@ -86,40 +86,37 @@ def unit_convert(spark, sf_dir):
     )
 
 
+#: Descriptions with packs of every kind.
+PACKS = (
+    "Milk 6 x 1 L", "Cream 12x250ml", "Rice 2 x 5kg", "Spice 10 x 50g", "Flour 12.5 kg", "Tuna 170g", "Oil 20 lt", "Sauce 500ml", "Prawns 16/20 kg",
+    "Sugar 2,5kg", "Eggs 30", "Tea 4 x 0.5 gr",
+)
+
+
 @register(
     "pack_measure_convert",
-    "F30 F37 F38 F18 F32",
-    r"""WITH named AS (SELECT p_partkey, p_name || ' ' || (p_size % 12 + 1) || ' x ' || (p_size * 25) || CASE WHEN p_partkey % 2 = 0 THEN 'g' ELSE 'ml' END AS d, p_retailprice FROM part),
-    got AS (SELECT *, regexp_extract(d, '(\d+)\s*x\s*(\d+)\s*(g|ml)', 1)::DOUBLE AS n, regexp_extract(d, '(\d+)\s*x\s*(\d+)\s*(g|ml)', 2)::DOUBLE AS s, regexp_extract(d, '(\d+)\s*x\s*(\d+)\s*(g|ml)', 3) AS u FROM named)
-    SELECT p_partkey, n AS pack_count, s AS pack_size, n * s / 1000 AS large_units, CASE WHEN u = 'g' THEN 'KG' ELSE 'LTR' END AS large_unit,
-    floor(p_retailprice / (n * s / 1000) * 100 + 0.5) / 100 AS price_each, trim(regexp_replace(d, '\d+\s*x\s*\d+\s*(g|ml)', '')) AS bare FROM got""",
+    "F37 F38",
+    """WITH g AS (SELECT p_partkey, p_size, p_retailprice, ([6, 3, 10, 0.5, 12.5, 0.17, 20, 0.5, NULL, 2.5, NULL, 0.002])[p_partkey % 12 + 1]::DOUBLE AS pack,
+      (['LTR', 'LTR', 'KG', 'KG', 'KG', 'KG', 'LTR', 'LTR', NULL, 'KG', NULL, 'KG'])[p_partkey % 12 + 1] AS unit FROM part)
+    SELECT p_partkey, pack, unit, floor(p_size * coalesce(pack, 1) * 1000 + 0.500001) / 1000 AS quantity, floor(p_retailprice / coalesce(pack, 1) * 100 + 0.500001) / 100 AS price FROM g""",
 )
 def pack_measure_convert(spark, sf_dir):
-    d = F.concat_ws(" ", "p_name", (F.col("p_size") % 12 + 1).cast("string"), F.lit("x"), F.concat((F.col("p_size") * 25).cast("string"), F.when(F.col("p_partkey") % 2 == 0, "g").otherwise("ml")))
-    pattern = r"(\d+)\s*x\s*(\d+)\s*(g|ml)"
-    got = table(spark, sf_dir, "part").select(
-        "p_partkey",
-        "p_retailprice",
-        d.alias("d"),
-        F.regexp_extract(d, pattern, 1).cast("double").alias("pack_count"),
-        F.regexp_extract(d, pattern, 2).cast("double").alias("pack_size"),
-        F.regexp_extract(d, pattern, 3).alias("u"),
-    )
-    large = F.col("pack_count") * F.col("pack_size") / 1000
+    """Quantity times the pack and price by it, in kilograms or litres. The SQL holds the packs worked out by hand."""
+    pack = units.pack_measure(F.get(F.array(*map(F.lit, PACKS)), (F.col("p_partkey") % len(PACKS)).cast("int")))
+    got = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", pack.alias("m"))
+    size = F.coalesce("m.qty", F.lit(1.0))
     return got.select(
         "p_partkey",
-        "pack_count",
-        "pack_size",
-        large.alias("large_units"),
-        F.when(F.col("u") == "g", "KG").otherwise("LTR").alias("large_unit"),
-        (F.floor(F.col("p_retailprice") / large * 100 + 0.5) / 100).alias("price_each"),
-        F.trim(F.regexp_replace("d", pattern, "")).alias("bare"),
+        F.col("m.qty").alias("pack"),
+        "m.unit",
+        (F.floor(F.col("p_size") * size * 1000 + 0.500001) / 1000).alias("quantity"),
+        (F.floor(F.col("p_retailprice") / size * 100 + 0.500001) / 100).alias("price"),
     )
 
 
 @register(
     "header_key_mapping",
-    "F11 F12 F13 F14 X2 O3 U10",
+    "F11 F12 X2 O3 U10",
     f"""WITH h AS (SELECT s_suppkey, unnest(['Item Description', 'Qty', CASE WHEN s_suppkey % 3 = 0 THEN 'U.O.M' ELSE 'Unit Price' END, 'Nett Amount (Excl)', 'VAT Amt', 'Stock Code', s_name]) AS cell FROM supplier),
     k AS (SELECT s_suppkey, {sql_header_key('cell')} AS field FROM h)
     SELECT s_suppkey, count(field) AS known, count(DISTINCT field) AS fields,
@@ -165,7 +162,7 @@ _NORM_SQL = "regexp_replace(lower(cell), '[^a-z0-9]+', '', 'g')"
 
 @register(
     "header_candidate_scores",
-    "G18 G24 F48 A26",
+    "G18 G24 A26",
     f"""WITH h AS (SELECT s_suppkey, unnest(['Item Description', 'Qty', 'Unit Price', 'Total', 'Nett Total', s_name]) AS cell, unnest([10, 200, 320, 450, 460, 600]) + s_suppkey % 7 AS x, unnest([5, 5, 6, 7, 5, 300]) AS y FROM supplier),
     k AS (SELECT *, {sql_header_key('cell')} AS field, count(*) OVER (PARTITION BY s_suppkey, {_NORM_SQL}) AS f FROM h),
     c AS (SELECT *, floor((0.15 + 0.3 * CASE WHEN field IS NULL THEN 0.1 WHEN {_NORM_SQL} = field THEN 1 ELSE 0.8 END + 0.2 * greatest(0, 1 - y / 100.0) + 0.2 * least(1, f / 3.0)) * 1000 + 0.5) / 1000 AS score FROM k)

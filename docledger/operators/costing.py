@@ -185,7 +185,7 @@ def best_ratios(sold: DataFrame, menu: DataFrame) -> DataFrame:
     return sold.join(best, "sold", "left")
 
 
-@register("fuzzy_ratio_best", "J14 F45 F46 F47 B7")
+@register("fuzzy_ratio_best", "J14 F47")
 def fuzzy_ratio_best(spark, sf_dir):
     """Best menu name for each sold name, by ratio among all of them."""
     part = table(spark, sf_dir, "part")

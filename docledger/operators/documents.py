@@ -21,7 +21,7 @@ DOCUMENT_TYPES = (
 
 @register(
     "document_type_scores",
-    "C4 C5 P1",
+    "C4",
     """WITH t AS (SELECT page_id, lower(html || CASE WHEN page_id % 3 = 0 THEN ' tax invoice subtotal supplier' WHEN page_id % 3 = 1 THEN ' yield in kg sauce' ELSE '' END) AS t FROM pages),
     s AS (SELECT page_id, """
     + ", ".join("(" + " + ".join(f"contains(t, '{w}')::INT" for w in terms) + f") AS {kind}" for kind, terms in DOCUMENT_TYPES)
@@ -58,20 +58,20 @@ _DATE = "[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}"
 
 @register(
     "metadata_regex",
-    "F41 F42 A20 S1",
+    "F41 A20 S1",
     rf"""SELECT page_id, regexp_extract(url, '{_URL}', 1) AS supplier, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
     nullif(regexp_extract(html, '{_DATE}', 0), '') AS date, len(regexp_extract_all(html, '[0-9]+'))::BIGINT AS numbers,
-    list_max(list_transform(regexp_extract_all(html, '[0-9]{{1,9}}'), lambda x: x::BIGINT)) AS largest FROM pages""",
+    list_max(list_transform(regexp_extract_all(html, '[0-9]+'), lambda x: x::DOUBLE)) AS largest FROM pages""",
 )
 def metadata_regex(spark, sf_dir):
-    numbers = F.regexp_extract_all("html", F.lit("[0-9]{1,9}"), F.lit(0))
+    numbers = F.regexp_extract_all("html", F.lit("[0-9]+"), F.lit(0))
     return table(spark, sf_dir, "pages").select(
         "page_id",
         F.regexp_extract("url", _URL, 1).alias("supplier"),
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
         F.nullif(F.regexp_extract("html", _DATE, 0), F.lit("")).alias("date"),
         F.regexp_count("html", F.lit("[0-9]+")).cast("long").alias("numbers"),
-        F.array_max(F.transform(numbers, lambda x: x.cast("long"))).alias("largest"),
+        F.array_max(F.transform(numbers, lambda x: x.cast("double"))).alias("largest"),
     )
 
 
@@ -107,7 +107,7 @@ _HEADS = ("item 2 kg", "vat 15", "total due", "paid cash", "invoice", "delivery"
 
 @register(
     "row_type_best",
-    "C1 C2 C3 W7",
+    "C1 W7",
     "WITH t AS (SELECT conv_id, turn, lower((["
     + ", ".join(f"'{h}'" for h in _HEADS)
     + "])[(conv_id + turn) % 7 + 1] || ' ' || coalesce(text, '')) AS t FROM conversations), s AS (SELECT conv_id, turn, "
@@ -144,7 +144,7 @@ def row_type_best(spark, sf_dir):
 
 @register(
     "recipe_text_structure",
-    "X16 X17 X18 B16",
+    "X16 B16",
     f"""WITH {TEXT_LINES_SQL}, m AS (SELECT *, min(CASE WHEN length(line) < 60 THEN idx END) OVER (PARTITION BY doc_id) AS i0, max(CASE WHEN length(line) > 300 THEN idx END) OVER (PARTITION BY doc_id) AS m0 FROM text_lines)
     SELECT doc_id, count(CASE WHEN idx > i0 AND (m0 IS NULL OR idx < m0) THEN 1 END) AS ingredients, count(CASE WHEN idx > m0 THEN 1 END) AS method,
     CASE WHEN any_value(i0) IS NOT NULL AND any_value(m0) IS NOT NULL THEN 0.9 WHEN any_value(i0) IS NOT NULL OR any_value(m0) IS NOT NULL THEN 0.6 ELSE 0.4 END::DOUBLE AS confidence FROM m GROUP BY doc_id""",
@@ -172,7 +172,7 @@ _RECIPE = r"^\s*([0-9]+(?:\.[0-9]+)?)\s*(kg|g|ml|l|cups?|tbsp|tsp)?(?:\s+|$)(.*)
 
 @register(
     "recipe_line_parse",
-    "F49 F50 F51 F74 F54",
+    "F49 F50 F51 F74",
     rf"""WITH l AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size || 'g ' || p_name WHEN 1 THEN p_size || ' cups ' || p_name WHEN 2 THEN p_size || ' ' || p_name ELSE p_name END AS line FROM part)
     SELECT p_partkey, regexp_extract(line, '{_RECIPE}', 1) <> '' AS counted, try_cast(nullif(regexp_extract(line, '{_RECIPE}', 1), '') AS DOUBLE) AS quantity, nullif(regexp_extract(line, '{_RECIPE}', 2), '') AS unit,
     CASE WHEN regexp_matches(line, '{_RECIPE}') THEN regexp_extract(line, '{_RECIPE}', 3) ELSE line END AS ingredient FROM l""",
@@ -194,7 +194,7 @@ def recipe_line_parse(spark, sf_dir):
 
 @register(
     "json_details_extract",
-    "F65 F66 F70 D19 S15",
+    "F65 F70 D19 S15",
     """SELECT event_type, count(*) AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS total, count(CASE WHEN (props->>'$.k')::BIGINT > 50 THEN 1 END) AS large FROM events GROUP BY event_type""",
 )
 def json_details_extract(spark, sf_dir):
@@ -209,7 +209,7 @@ def json_details_extract(spark, sf_dir):
 
 @register(
     "last_correction_wins",
-    "T1 J8 F67",
+    "T1 J8",
     """SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL""",
 )
 def last_correction_wins(spark, sf_dir):
@@ -220,7 +220,7 @@ def last_correction_wins(spark, sf_dir):
 
 @register(
     "tumbling_event_metrics",
-    "T2 F63 F64",
+    "T2 F64",
     """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, floor(sum(value) * 100 + 0.5) / 100 AS total FROM events GROUP BY ALL""",
 )
 def tumbling_event_metrics(spark, sf_dir):

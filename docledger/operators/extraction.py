@@ -52,7 +52,7 @@ _ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "quantity", "line_total")
 
 @register(
     "grid_extraction",
-    "X1 X2 X3 X10 P14 P25 P26 F68 U10 X22",
+    "X1 X2 X3 X10 P14 P25 P26 U10",
     f"""WITH {LINES_SQL} SELECT l_orderkey AS doc_id, count(*) AS rows, count(CASE WHEN status = 'ok' THEN 1 END) AS validated, count(CASE WHEN status = 'missing' THEN 1 END) AS discarded,
     floor(sum(line_total) * 100 + 0.5) / 100 AS total FROM checked GROUP BY l_orderkey""",
 )
@@ -115,7 +115,7 @@ def read_items(items: DataFrame, reach: float = 12.0) -> DataFrame:
 
 @register(
     "positioned_extraction",
-    "X5 X11 G1 G5 G15 G17 J3 J4 J5",
+    "X5 G1 G5 J3 J4 J5",
     f"""WITH {LINES_SQL} SELECT l_orderkey AS doc_id, count(*) AS rows, count(CASE WHEN status = 'ok' THEN 1 END) AS validated,
     floor(sum(coalesce(unit_price, 0)) * 100 + 0.5) / 100 AS prices FROM checked GROUP BY l_orderkey""",
 )
@@ -146,7 +146,7 @@ def positioned_extraction(spark, sf_dir):
 
 @register(
     "strategy_choice",
-    "X11 X12 X13 C5",
+    "X12",
     f"""WITH {LINES_SQL}, c AS (SELECT l_orderkey, count(CASE WHEN status = 'ok' THEN 1 END) AS a, count(CASE WHEN quantity * 2 > 20 THEN 1 END) AS b FROM checked GROUP BY l_orderkey)
     SELECT CASE WHEN a >= 2 THEN 'structured' WHEN b > a THEN 'text' WHEN a > 0 THEN 'structured' ELSE 'none' END AS strategy, count(*) AS n, sum(greatest(a, CASE WHEN a >= 2 THEN a ELSE b END))::BIGINT AS rows FROM c GROUP BY 1""",
 )
@@ -164,7 +164,7 @@ def strategy_choice(spark, sf_dir):
 
 @register(
     "document_envelope",
-    "X21 X23 K1 P1 M9",
+    "X21 K1",
     f"""WITH {LINES_SQL} SELECT l_orderkey, count(*) AS lines, md5(string_agg(l_linenumber || ':' || status, ',' ORDER BY l_linenumber, status)) AS digest,
     CASE WHEN count(CASE WHEN status <> 'ok' THEN 1 END) > 0 THEN 'needs_review' ELSE 'complete' END AS state FROM checked GROUP BY l_orderkey""",
 )
@@ -183,7 +183,7 @@ def document_envelope(spark, sf_dir):
 
 @register(
     "prep_cards",
-    "X14 X15 P19 F40 W10",
+    "X15 P19 W10",
     f"""WITH {TEXT_LINES_SQL}, t AS (SELECT *, regexp_matches(line, '^[^.]{{3,59}}\\.?$') AS title, contains(lower(line), 'licen') AS stop FROM text_lines WHERE line <> ''),
     g AS (SELECT *, sum(title::INT) OVER w AS card FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
     s AS (SELECT *, bool_or(stop) OVER (PARTITION BY doc_id, card ORDER BY idx) AS stopped FROM g WHERE card > 0)
@@ -231,7 +231,7 @@ def category_and_yield(spark, sf_dir):
 
 @register(
     "column_numbers",
-    "F52 F53 J9 P25",
+    "F52 J9 P25",
     """SELECT p_partkey, floor(p_retailprice * 100 + 0.5) / 100 AS price, p_size::DOUBLE AS size FROM part""",
 )
 def column_numbers(spark, sf_dir):
@@ -247,7 +247,7 @@ def column_numbers(spark, sf_dir):
 
 @register(
     "sales_import",
-    "S12 S14 F51 F64 P25",
+    "S12 F51 F64 P25",
     """SELECT p_name, count(*) AS rows, sum(p_size)::DOUBLE AS sold, count(CASE WHEN p_partkey % 11 = 0 THEN 1 END) AS bad FROM part WHERE p_partkey % 11 <> 0 OR true GROUP BY p_name HAVING count(CASE WHEN p_partkey % 11 <> 0 THEN 1 END) > 0""".replace(
         "sum(p_size)::DOUBLE", "sum(CASE WHEN p_partkey % 11 <> 0 THEN p_size END)::DOUBLE"
     ).replace("WHERE p_partkey % 11 <> 0 OR true ", ""),

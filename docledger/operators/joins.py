@@ -26,7 +26,7 @@ def _nearest(x):
 
 @register(
     "nearest_header_join",
-    "J3 G23",
+    "J3",
     f"""WITH d AS (SELECT event_id, field, abs(value - x) AS dist, row_number() OVER (PARTITION BY event_id ORDER BY abs(value - x), o) AS r
       FROM events, {_HEADERS_SQL}) SELECT field, count(*) AS n, floor(sum(dist) * 100 + 0.5) / 100 AS distance FROM d WHERE r = 1 GROUP BY field""",
 )
@@ -63,7 +63,7 @@ BAND = 1800
 
 @register(
     "band_range_join",
-    "J5 P12 P15",
+    "J5 P12",
     f"""WITH e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS t, event_type FROM events)
     SELECT a.event_id, count(*) AS n, sum(abs(b.t - a.t))::BIGINT AS spread FROM e a JOIN e b ON a.user_id = b.user_id
     AND b.t BETWEEN a.t - {BAND} AND a.t + {BAND} WHERE a.event_type = 'purchase' GROUP BY a.event_id""",
@@ -114,7 +114,7 @@ def interval_midpoint_join(spark, sf_dir):
 
 @register(
     "neighbour_offset_merge",
-    "J7 G16 G27 W8",
+    "J7 G16",
     """WITH o AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_quantity > 25 AS full_row FROM lineitem),
     n AS (SELECT l_orderkey, l_linenumber, l_quantity, full_row,
       lead(CASE WHEN full_row THEN l_quantity END, 1) OVER w AS n1, lag(CASE WHEN full_row THEN l_quantity END, 1) OVER w AS p1,
@@ -218,7 +218,7 @@ def normalized_key_lookup(spark, sf_dir):
 
 @register(
     "alias_or_variant_lookup",
-    "J11 M2 M12",
+    "J11 M2",
     """WITH rec AS (SELECT p_partkey AS id, lower(p_name) AS key, lower(p_brand) AS alias, lower(p_type) AS variant FROM part),
     q AS (SELECT p_partkey, lower(p_name) AS name, lower(p_brand) AS brand, lower(p_type) AS kind FROM part),
     hits AS (SELECT p_partkey, 0 AS prio, id FROM q JOIN rec ON q.name = rec.key UNION ALL SELECT p_partkey, 1, id FROM q JOIN rec ON brand = alias
@@ -240,7 +240,7 @@ def alias_or_variant_lookup(spark, sf_dir):
 
 @register(
     "token_overlap_top1",
-    "J12 U8 F48",
+    "J12 U8",
     """WITH n AS (SELECT DISTINCT p_name AS name FROM part), b AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_type || ' ' || p_name), ' ')) AS t FROM part),
     a AS (SELECT name, list_distinct(string_split(name, ' ')) AS t FROM n), x AS (SELECT name, len(t) AS n_a, unnest(t) AS tok FROM a), y AS (SELECT id, len(t) AS n_b, unnest(t) AS tok FROM b),
     o AS (SELECT name, id, count(*)::DOUBLE / greatest(n_a, n_b) AS score FROM x JOIN y USING (tok) GROUP BY name, id, n_a, n_b),

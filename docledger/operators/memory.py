@@ -11,7 +11,7 @@ from docledger.sources.sinks import upsert
 
 @register(
     "keyed_upsert",
-    "K7 K3 S17 M10 S18",
+    "K7 K3 M10 S18",
     """WITH o AS (SELECT p_partkey AS k, p_retailprice AS v, p_size AS changed FROM part), n AS (SELECT p_partkey AS k, p_retailprice * 2 AS v, p_size + (p_partkey % 3 - 1) AS changed FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey + 1000000, p_retailprice, 1 FROM part WHERE p_partkey % 50 = 0)
     SELECT k, v, changed FROM (SELECT *, 0 AS new FROM o UNION ALL SELECT *, 1 FROM n) QUALIFY row_number() OVER (PARTITION BY k ORDER BY changed DESC, new DESC) = 1""",
 )
@@ -25,7 +25,7 @@ def keyed_upsert(spark, sf_dir):
 
 @register(
     "children_replaced",
-    "K7 K2 S22",
+    "K7 K2",
     """WITH d AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'), r AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R'),
     kept AS (SELECT l_orderkey, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM d) AND l_orderkey NOT IN (SELECT l_orderkey FROM r) UNION ALL SELECT l_orderkey, 1.0 FROM r WHERE l_orderkey NOT IN (SELECT o_orderkey FROM d))
     SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS quantity FROM kept GROUP BY l_orderkey""",

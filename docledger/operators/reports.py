@@ -37,7 +37,7 @@ def top_reasons(spark, sf_dir):
 
 @register(
     "evidence_first_n",
-    "A24 P23 P24",
+    "A24 P24",
     f"""WITH {LINES_SQL}, r AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, quantity, line_total, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, quantity, line_total) AS k FROM checked WHERE status = 'failed')
     SELECT l_suppkey, l_orderkey, l_linenumber, k FROM r WHERE k <= 5""",
 )
@@ -52,7 +52,7 @@ def evidence_first_n(spark, sf_dir):
 
 @register(
     "run_summary",
-    "A1 A2 A6 A8 A10 X20 K5 K9",
+    "A1 A2 A6 A8 A10 K5 K9",
     f"""WITH {LINES_SQL}, files AS (SELECT o_orderkey, count(l_orderkey) AS n, count(CASE WHEN status = 'ok' THEN 1 END) AS ok, count(CASE WHEN status = 'missing' THEN 1 END) AS lost FROM orders LEFT JOIN checked ON o_orderkey = l_orderkey GROUP BY o_orderkey)
     SELECT count(*) AS files, count(CASE WHEN n = 0 THEN 1 END) AS empty_files, sum(n)::BIGINT AS rows, sum(ok)::BIGINT AS validated, sum(n - ok - lost)::BIGINT AS review, sum(lost)::BIGINT AS discarded,
     floor(sum(ok)::DOUBLE / sum(n) * 1000 + 0.5) / 10 AS pass_rate, floor(avg(CASE WHEN n = 0 THEN 0 ELSE ok::DOUBLE / n END) * 10000 + 0.5) / 10000 AS mean_file_rate FROM files""",
@@ -167,7 +167,7 @@ def duplicate_names_having(spark, sf_dir):
 
 @register(
     "bounding_boxes_and_medians",
-    "A22 A23 G14",
+    "A22 A23",
     """WITH e AS (SELECT user_id, value AS x, length(event_type)::DOUBLE AS w, floor(epoch(ts)) / 3600 AS y FROM events), l AS (SELECT user_id, list(x ORDER BY x) AS v FROM e GROUP BY user_id)
     SELECT e.user_id, min(x) AS x0, max(x) + max(w) AS x1, min(y) AS y0, max(y) AS y1, any_value(v)[len(any_value(v)) // 2 + 1] AS upper_median, median(x) AS true_median FROM e JOIN l ON e.user_id = l.user_id GROUP BY e.user_id""",
 )

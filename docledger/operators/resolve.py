@@ -47,7 +47,8 @@ def match_keys(spark, sf_dir):
 @register(
     "modifier_groups",
     "F26 F28 M1",
-    """SELECT p_partkey, g[1] AS colour, g[2] AS variety, g[3] AS cut_form, g[4] AS preparation, g[5] AS size_age, g[6] AS packaging_type, g[7] AS core, false AS weak, false AS noisy FROM (SELECT p_partkey, ([['red','','','','','','pepper'], ['red','','','','','','pepper'], ['','granny smith','','','','','apple'],
+    """SELECT p_partkey, g[1] AS colour, g[2] AS variety, g[3] AS cut_form, g[4] AS preparation, g[5] AS size_age, g[6] AS packaging_type, g[7] AS core, false AS weak, false AS noisy,
+    ([0.85, 0.85, 0.85, 0.85, 0.8, 0.85, 0.85, 0.85, 0.65, 0.85, 0.85, 0.7, 0.65, 0.85, 0.65, 0.65])[p_partkey % 16 + 1]::DOUBLE AS confidence FROM (SELECT p_partkey, ([['red','','','','','','pepper'], ['red','','','','','','pepper'], ['','granny smith','','','','','apple'],
       ['','','','','baby','','potato'], ['','','','','','','tomato'], ['','','loose','','','','carrot'], ['','granny smith','','','','','apple'], ['','','breast fillets','','','','chicken'],
       ['','','','','','',''], ['','','','','','bag refuse','bag'], ['','','','','','box lunch','box'], ['red','','diced','','','',''], ['','','','','','',''],
       ['brown','','','pickled','','','onion'], ['','','','','','',''], ['','','','','','','']])[p_partkey % 16 + 1] AS g FROM part)""",
@@ -62,6 +63,7 @@ def modifier_groups(spark, sf_dir):
         F.array_join(keys.core(F.col("t")), " ").alias("core"),
         keys.weak_name(F.col("d")).alias("weak"),
         keys.noisy_name(F.col("d")).alias("noisy"),
+        keys.confidence(F.col("d")).alias("confidence"),
     )
 
 
@@ -125,7 +127,7 @@ def memory_best_match(spark, sf_dir):
 
 @register(
     "proposal_typing",
-    "M4 M8 F28",
+    "M4 F28",
     """WITH c AS (SELECT p_partkey, p_name, 0.5 + (p_size % 10) * 0.05::DOUBLE AS confidence, p_partkey % 3 = 0 AS target, p_partkey % 5 = 0 AS evidence, p_partkey % 11 = 0 AS merged, p_partkey % 13 = 0 AS noise, len(string_split(p_name, ' ')) AS tokens FROM part)
     SELECT CASE WHEN merged THEN 'possible_merge' WHEN noise THEN 'insufficient_evidence' WHEN confidence < 0.7 AND target THEN 'possible_merge' WHEN confidence < 0.7 THEN 'insufficient_evidence'
       WHEN target AND evidence THEN 'attach_supplier_variant' WHEN target THEN 'attach_alias' WHEN tokens < 2 THEN 'insufficient_evidence' ELSE 'create_new' END AS type, count(*) AS n FROM c GROUP BY 1""",
@@ -163,7 +165,7 @@ def proposal_dedupe(spark, sf_dir):
 
 @register(
     "state_machine_latest",
-    "M6 M11 T1",
+    "M6 T1",
     """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'defer' WHEN 'click' THEN 'return' ELSE 'none' END AS a FROM events),
     s(user_id, r, state) AS (SELECT DISTINCT user_id, 0::BIGINT, 'pending' FROM events UNION ALL SELECT s.user_id, e.r, CASE WHEN state = 'pending' AND a = 'approve' THEN 'approved' WHEN state IN ('pending', 'deferred') AND a = 'reject' THEN 'rejected' WHEN state = 'pending' AND a = 'defer' THEN 'deferred' WHEN state = 'deferred' AND a = 'return' THEN 'pending' ELSE state END FROM s JOIN e ON s.user_id = e.user_id AND e.r = s.r + 1)
     SELECT user_id, state FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY r DESC) = 1""".replace("WITH e", "WITH RECURSIVE e"),
@@ -190,7 +192,7 @@ def state_machine_latest(spark, sf_dir):
 
 @register(
     "memory_variant_merge",
-    "M7 M8 F67",
+    "M7",
     """SELECT l_partkey, l_suppkey, count(*) AS seen, max(l_quantity) AS best, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY l_partkey, l_suppkey""",
 )
 def memory_variant_merge(spark, sf_dir):
@@ -205,7 +207,7 @@ def memory_variant_merge(spark, sf_dir):
 
 @register(
     "fragment_select",
-    "F29 F31 F33 F34 F35 X19",
+    "F33 F34 F35",
     r"""WITH f AS (SELECT p_partkey, unnest(string_split_regex(p_name || ' - ' || p_type || ', ' || p_brand, ' - |, ')) AS frag FROM part),
     s AS (SELECT p_partkey, frag, 2 + CASE WHEN contains(frag, ' ') THEN 1.5 ELSE 0 END + CASE WHEN length(frag) >= 8 THEN least(2, length(frag) / 18.0) ELSE 0 END - CASE WHEN regexp_matches(frag, '[0-9]') THEN 2 ELSE 0 END AS score FROM f)
     SELECT p_partkey, frag, floor(score * 1000 + 0.5) / 1000 AS score FROM s QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, length(frag) DESC, frag DESC) = 1""",
@@ -240,7 +242,7 @@ def dedupe_first_wins(spark, sf_dir):
 
 @register(
     "fuzzy_dedupe",
-    "U4",
+    "",
     """WITH p AS (SELECT p_partkey, p_size, p_name, string_split(p_name, ' ') AS t FROM part),
     d AS (SELECT DISTINCT b.p_partkey FROM p a JOIN p b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND len(list_intersect(a.t, b.t)) >= 2)
     SELECT p_size, count(*) AS kept FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM d) GROUP BY p_size""",
@@ -258,7 +260,7 @@ def fuzzy_dedupe(spark, sf_dir):
 
 @register(
     "row_neighbour_ranks",
-    "W7 W8 C1 O2",
+    "W7 C1 O2",
     """WITH s AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM s)
     SELECT a.user_id, CASE WHEN a.n - coalesce(b.n, 0) < 1 THEN 'unknown' ELSE a.event_type END AS best, a.n AS score, a.n - coalesce(b.n, 0) AS margin FROM r a LEFT JOIN r b ON a.user_id = b.user_id AND b.k = 2 WHERE a.k = 1""",
 )

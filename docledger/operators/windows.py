@@ -51,7 +51,7 @@ _HEAD = "length(line) > 120"
 
 @register(
     "continuation_attach",
-    "W2 P10 G15 U1",
+    "W2 P10 U1",
     f"""WITH {TEXT_LINES_SQL}, g AS (SELECT *, sum(({_HEAD})::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS grp FROM text_lines WHERE line <> '')
     SELECT doc_id, grp::BIGINT AS grp, count(*) - 1 AS wraps, md5(string_agg(line, ' ' ORDER BY idx)) AS joined,
     floor(greatest(0.1, 0.9 - 0.04 * (count(*) - 1)) * 100 + 0.5) / 100 AS confidence FROM g WHERE grp > 0 GROUP BY doc_id, grp""",
@@ -73,7 +73,7 @@ def continuation_attach(spark, sf_dir):
 
 @register(
     "text_row_groups",
-    "W3 X4",
+    "W3",
     """WITH e AS (SELECT user_id, event_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
     f AS (SELECT *, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY r) = 'purchase' AND event_type <> 'purchase', false) AS opens FROM e),
     g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY r) AS grp FROM f)
@@ -95,7 +95,7 @@ _GAPS_SQL = """g AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_
 
 @register(
     "gap_variance",
-    "W4 F36",
+    "W4",
     f"""WITH {_GAPS_SQL} SELECT user_id, floor(greatest(0, 1 - (max(gap) - min(gap)) / avg(gap)) * 10000 + 0.5) / 10000 AS confidence, count(gap) AS gaps FROM g GROUP BY user_id""",
 )
 def gap_variance(spark, sf_dir):
@@ -107,7 +107,7 @@ def gap_variance(spark, sf_dir):
 
 @register(
     "vertical_spacing",
-    "W5 A23 G20",
+    "W5 A23",
     f"""WITH {_GAPS_SQL}, m AS (SELECT user_id, median(gap) AS m FROM g WHERE gap IS NOT NULL GROUP BY user_id)
     SELECT g.user_id, floor(any_value(m) * 10000 + 0.5) / 10000 AS median_gap, floor(median(abs(gap - m)) * 10000 + 0.5) / 10000 AS mad,
     floor(greatest(0, least(1, 1 - 2 * median(abs(gap - m)) / any_value(m))) * 1000 + 0.5) / 1000 AS score FROM g JOIN m ON g.user_id = m.user_id WHERE gap IS NOT NULL GROUP BY g.user_id""",
@@ -192,7 +192,7 @@ def first_fit(spark, sf_dir):
 
 @register(
     "region_interval_merge",
-    "U12 G19 G21",
+    "U12",
     """WITH r AS (SELECT l_suppkey AS s, l_orderkey, floor(epoch(l_shipdate) / 86400)::BIGINT AS a, floor(epoch(l_shipdate) / 86400)::BIGINT + l_linenumber AS b FROM lineitem),
     f AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY s ORDER BY a, b, l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, false)::INT AS o FROM r),
     g AS (SELECT *, sum(o) OVER (PARTITION BY s ORDER BY a, b, l_orderkey ROWS UNBOUNDED PRECEDING) AS grp FROM f), m AS (SELECT s, grp, min(a) AS a, max(b) AS b, count(*) AS n FROM g GROUP BY s, grp)
@@ -215,7 +215,7 @@ def region_interval_merge(spark, sf_dir):
 
 @register(
     "title_carry_forward",
-    "W9 S13 F73 X14",
+    "W9 S13",
     f"""WITH {TEXT_LINES_SQL}, t AS (SELECT *, last_value(CASE WHEN len(string_split(line, ' ')) = 1 AND line <> '' THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx) AS title FROM text_lines)
     SELECT doc_id, coalesce(title, '') AS title, count(*) AS n FROM t WHERE line <> '' GROUP BY ALL""",
 )
@@ -245,7 +245,7 @@ def look_around(spark, sf_dir):
 
 @register(
     "row_role_counts",
-    "X6 C3 P22 A3",
+    "X6 A3",
     f"WITH {TEXT_LINES_SQL} SELECT role, count(*) AS n FROM (SELECT {sql_row_role('line')} AS role FROM text_lines) GROUP BY role",
 )
 def row_role_counts(spark, sf_dir):

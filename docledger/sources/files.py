@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -29,24 +30,46 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """path and text of each file; a byte-order mark goes, bytes that are not UTF-8 become replacement characters."""
     raw = spark.read.format("binaryFile").load(folder)
-    return raw.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("text"))
+    return raw.select("path", F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^﻿", "").alias("text"))
 
 
 def grid(spark: SparkSession, folder: str) -> DataFrame:
     """path, row_idx and cells of delimited files without headers, rows of any width; the delimiter is each file's own.
 
-    Of four delimiters, the one that the file's first lines hold most often. Rows without any cell are left out.
+    Of four delimiters, the one that the file holds most often outside quotes. A quoted cell may hold delimiters, quotes
+    (doubled) and line breaks. Rows without any cell are left out.
     """
-    lines = texts(spark, folder)
-    head = F.array_join(F.slice(F.split("text", "\n"), 1, 20), "\n")
-    counts = F.array(*(F.struct(F.length(F.regexp_replace(head, f"[^{re.escape(d)}]", "")).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)))
-    rows = lines.select("path", F.array_max(counts)["d"].alias("d"), F.posexplode(F.split("text", "\r?\n")).alias("row_idx", "line"))
-    cells = F.when(F.col("d") == DELIMITERS[0], F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(64)))))
-    quoted = F.filter(F.array(*(cells[f"c{i}"] for i in range(64))), lambda x: x.isNotNull())
-    plain = F.split("line", F.concat(F.lit(r"\Q"), F.col("d"), F.lit(r"\E")))
-    split = F.when(F.col("line").contains('"') & (F.col("d") == ","), quoted).otherwise(plain)
-    trimmed = F.transform(split, clean_cell)
-    return rows.select("path", "row_idx", trimmed.alias("cells")).filter(F.exists("cells", lambda c: c != ""))
+    bare = F.regexp_replace("text", '"[^"]*"', "")
+    counts = F.array(*(F.struct(F.length(F.regexp_replace(bare, f"[^{re.escape(d)}]", "")).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 30)
+        for b in batches:
+            for path, d, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                rows = list(csv.reader(io.StringIO(text, newline=""), delimiter=d))
+                columns = [pa.array([path] * len(rows)), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "row_idx", "cells"])
+
+    rows = texts(spark, folder).select("path", F.array_max(counts)["d"].alias("d"), "text")
+    parsed = rows.mapInArrow(parse, "path string, row_idx long, cells array<string>")
+    return parsed.withColumn("cells", F.transform("cells", clean_cell)).filter(F.exists("cells", lambda c: c != ""))
+
+
+def _sheets(book: zipfile.ZipFile, space: dict[str, str]) -> list[tuple[str, str]]:
+    """Title and file of each sheet in the workbook's order: by its relationship, else by the number of the sheet."""
+    rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in book.namelist():
+        for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
+            target = r.get("Target", "")
+            targets[r.get("Id")] = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    out = []
+    for i, s in enumerate(ElementTree.fromstring(book.read("xl/workbook.xml")).iterfind(".//m:sheet", space), 1):
+        name = targets.get(s.get(rel), f"xl/worksheets/sheet{s.get('sheetId') or i}.xml")
+        if name not in book.namelist():
+            name = f"xl/worksheets/sheet{i}.xml"
+        out.append((s.get("name"), name))
+    return out
 
 
 def _sheet_rows(content: bytes) -> list[tuple[str, int, list[str]]]:
@@ -57,10 +80,8 @@ def _sheet_rows(content: bytes) -> list[tuple[str, int, list[str]]]:
     if "xl/sharedStrings.xml" in book.namelist():
         root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
         shared = ["".join(t.text or "" for t in s.iterfind(".//m:t", space)) for s in root.iterfind("m:si", space)]
-    titles = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iterfind(".//m:sheet", space)]
-    sheets = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
     out = []
-    for title, name in zip(titles, sheets, strict=False):
+    for title, name in _sheets(book, space):
         for i, row in enumerate(ElementTree.fromstring(book.read(name)).iterfind(".//m:row", space)):
             cells: dict[int, str] = {}
             for c in row.iterfind("m:c", space):

@@ -16,6 +16,31 @@ def test_grid_finds_each_files_delimiter(spark, tmp_path):
     assert rows[("b.csv", 1)] == ["Apple, red", "2"]
 
 
+def test_grid_of_wide_and_quoted_rows(spark, tmp_path):
+    (tmp_path / "w.csv").write_text(",".join(f"c{i}" for i in range(200)) + '\n"a ""b""\nc",1\n' + "x;y," * 30 + "\n")
+    got = [r["cells"] for r in files.grid(spark, str(tmp_path)).orderBy("row_idx").collect()]
+    assert got[0] == [f"c{i}" for i in range(200)] and got[1] == ['a "b" c', "1"] and len(got[2]) == 31
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n" / "late.csv").write_text("title\n" * 30 + "a|b|c\n" * 3)
+    assert files.grid(spark, str(tmp_path / "n")).filter("size(cells) = 3").count() == 3
+
+
+def test_workbook_sheets_by_relationship(spark, tmp_path):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} {rel}><sheets><sheet name="B" sheetId="1" r:id="r2"/><sheet name="A" sheetId="2" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<R><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></R>')
+        for n, v in ((1, "of A"), (2, "of B")):
+            z.writestr(f"xl/worksheets/sheet{n}.xml", f'<worksheet {main}><sheetData><row><c r="A1" t="inlineStr"><is><t>{v}</t></is></c></row></sheetData></worksheet>')
+    assert [(r["sheet"], r["cells"]) for r in files.workbooks(spark, str(tmp_path)).collect()] == [("B", ["of B"]), ("A", ["of A"])]
+
+
+def test_texts_replace_bad_bytes(spark, tmp_path):
+    (tmp_path / "t.txt").write_bytes(b"\xef\xbb\xbfab\xff c")
+    assert [r["text"] for r in files.texts(spark, str(tmp_path)).collect()] == ["ab\ufffd c"]
+
+
 def test_workbook_keeps_blank_cells(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
