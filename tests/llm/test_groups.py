@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -13,11 +14,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docledger.llm import chat, jaccard, mixing, packing, pivots
+from docledger.llm import chat, jaccard, langid, mixing, oracles, packing, pivots
 from docledger.llm.graph import components
-from docledger.llm.queries import op2_near_vectors, op4_jaccard_join
+from docledger.llm.queries import op2_near_vectors, op4_jaccard_join, op7_packing
 
 SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class Groups:
@@ -342,14 +344,106 @@ def test_pipeline_stages(spark, odd):
     assert packed.count() == docs.count()
 
 
-def test_pipeline_against_brute_force(spark):
-    """Stages two and three decide as a plain program does; every result row is a document that both keep."""
+def plain_packing(lengths, buckets, budget):
+    """Limit by length, and the slots in each bucket's batches; by dynamic programming over all cuts."""
+    values, counts = zip(*sorted(Counter(lengths).items()), strict=True)
+    seen = [0, *itertools.accumulate(counts)]
+    best = {(0, 0): (0, ())}
+    for b, j in itertools.product(range(1, buckets + 1), range(1, len(values) + 1)):
+        ways = [(best[b - 1, i][0] + values[j - 1] * (seen[j] - seen[i]), (*best[b - 1, i][1], values[j - 1])) for i in range(j) if (b - 1, i) in best]
+        if ways:
+            best[b, j] = min(ways)
+    limits = min(best[b, len(values)] for b in range(1, buckets + 1) if (b, len(values)) in best)
+    return limits[0]
+
+
+def check_packing(rows, lengths, buckets=packing.MAX_BUCKETS, budget=packing.TOKEN_BUDGET):
+    """rows: doc_id, length, bucket, bucket_limit, batch, slot; lengths: every document's, by id and repeat."""
+    assert Counter((r["doc_id"], r["length"]) for r in rows) == Counter(lengths)
+    assert sum(r["bucket_limit"] for r in rows) == plain_packing([n for _, n in lengths], buckets, budget)
+    limits = dict(sorted({(r["bucket"], r["bucket_limit"]) for r in rows}))
+    assert list(limits) == list(range(len(limits))) and list(limits.values()) == sorted(set(limits.values()))
+    for r in rows:
+        assert r["bucket_limit"] == min(v for v in limits.values() if v >= r["length"])
+    for bucket, limit in limits.items():
+        room, n = max(1, budget // limit), sum(r["bucket"] == bucket for r in rows)
+        assert sorted((r["batch"], r["slot"]) for r in rows if r["bucket"] == bucket) == [(k // room, k % room) for k in range(n)]
+
+
+def test_packing_query_against_brute_force(spark, documents):
+    lengths = [(r["doc_id"], len(WORD.findall(r["text"] or "")) + 1) for r in documents.collect()]
+    check_packing(op7_packing(spark, SF).collect(), lengths)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage against a plain program or SQL over what the stage before it kept."""
+    import duckdb
+
+    def rows(k):
+        return duckdb.sql(f"select doc_id, text from '{tmp_path}/{k}.parquet/*.parquet'").fetchall()
+
+    def ids(k):
+        return Counter(i for i, _ in rows(k))
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_rules(spark, corpus_pipeline.language(spark, docs, SF), SF).collect()}
-    groups = similar_groups(list(rows.items()))
-    named = {g for _, g in groups.values()}
-    got = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()}
-    assert got and got <= named
+    docs.write.parquet(f"{tmp_path}/0.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        stage(spark, spark.read.parquet(f"{tmp_path}/{k - 1}.parquet"), SF).write.parquet(f"{tmp_path}/{k}.parquet")
+    # language: forward sums word by word in plain Python, under the fitted probabilities
+    path = langid.vocabulary_path()
+    table = langid.pieces(path)
+    langs, probs = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"), 5)).select("doc_id", "text", "lang"), path)
+    number = {int(k): int(v) for k, v in zip(table.keys, table.ids, strict=True)}
+    base, logs = int(langid._BASE), {}
+
+    def word_logs(word):
+        units = [ord(c) for c in "▁" + word.replace("\0", "�")]
+        alpha = [[1.0] * len(langs)]
+        for end in range(1, len(units) + 1):
+            now, h = [0.0] * len(langs), 0
+            for n in range(1, min(table.longest, end) + 1):
+                h = 0
+                for c in units[end - n : end]:
+                    h = (h * base + c) % (1 << 64)
+                piece = number.get(h, 1 if n == 1 else 0)
+                if piece:
+                    now = [x + alpha[end - n][g] * probs[piece, g] for g, x in enumerate(now)]
+            alpha.append(now)
+        return [math.log(x) for x in alpha[-1]]
+
+    want = Counter()
+    for i, text in rows(0):
+        words = WORD.findall((text or "").lower())
+        if any(c.isalpha() for c in text or ""):
+            for w in set(words) - set(logs):
+                logs[w] = word_logs(w)
+            total = sorted(sum(logs[w][g] for w in words) for g in range(len(langs)))
+            if (total[-1] - total[-2]) / len(words) >= corpus_pipeline.MIN_LANGUAGE_MARGIN:
+                want[i] += 1
+    assert ids(1) == want
+    # quality and mixing: the operators' SQL
+    con = duckdb.connect()
+    con.execute(f"create view labels as select * from '{SF}/labels.parquet'")
+    con.execute(f"create view documents as select * from '{tmp_path}/1.parquet/*.parquet'")
+    assert ids(2) == Counter(r[0] for r in con.execute(f"select doc_id from ({oracles.QUALITY}) where kept").fetchall())
+    assert 0 < len(ids(2)) < len(ids(1))
+    groups = similar_groups(rows(2))
+    assert ids(3) == Counter(i for i, (_, g) in groups.items() if i == g)
+    assert 0 < len(ids(3)) < len(ids(2))
+    con.execute(f"create or replace view documents as select * from '{tmp_path}/3.parquet/*.parquet'")
+    copies = con.execute(f"select doc_id, taken // size from ({oracles.MIX}) where size > 0").fetchall()
+    assert ids(4) == Counter(dict((i, n) for i, n in copies if n))
+    packed = spark.read.parquet(f"{tmp_path}/5.parquet").collect()
+    check_packing(packed, [(i, len(WORD.findall(t or "")) + 1) for i, t in rows(4)])
+    assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()) == ids(4)
+
+
+def test_pipeline_of_an_empty_table(spark, none):
+    docs = none
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.collect() == []
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect() == []
 
 
 def test_pipeline_mix_copies_each_document_as_often_as_the_mix_takes_it(spark):
