@@ -101,7 +101,10 @@ def _names_columns(text: Column) -> Column:
     found = F.array_distinct(F.filter(F.transform(F.split(text, "[|,]"), header_key), lambda k: k.isNotNull()))
     known = lambda k: F.array_contains(found, k)
     line = known("description") & known("quantity") & (known("unit_price") | known("total"))
-    return text.rlike("[|,]") & ((F.size(found) >= 3) | line)
+    # three cells that name fields hold three of these between them; few other rows need their cells looked at
+    parts = "description|product|item|details|qty|quantity|unit|uom|pack|price|amount|total|net|vat|tax|code|sku"
+    bare = F.regexp_replace(F.lower(text), "[^a-z0-9|,]+", "")
+    return text.rlike("[|,].*[|,]") & (F.regexp_count(bare, F.lit(parts)) >= 3) & ((F.size(found) >= 3) | line)
 
 
 def row_role(x: Column) -> Column:
