@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation", "cells", "joins", "windows", "reports", "costing", "resolve", "documents", "extraction", "memory")
+MODULES = ("validation", "cells", "joins", "windows", "reports", "costing", "resolve", "documents", "extraction", "memory", "names")
 
 
 def load() -> None:
