@@ -171,9 +171,13 @@ def proposal_dedupe(spark, sf_dir):
     SELECT user_id, state FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY r DESC) = 1""".replace("WITH e", "WITH RECURSIVE e"),
 )
 def state_machine_latest(spark, sf_dir):
-    """State of each proposal after its events in order: invalid transitions change nothing."""
+    """State of each proposal after its events in order: invalid transitions change nothing.
+
+    Each hour of a user is one map from the state before to the state after, and the hours' maps follow each other, so no
+    task holds all events of a user.
+    """
     action = F.create_map(*map(F.lit, ("purchase", "approve", "error", "reject", "signup", "defer", "click", "return")))[F.col("event_type")]
-    events = table(spark, sf_dir, "events").groupBy("user_id").agg(
+    hours = table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(
         F.array_sort(F.collect_list(F.struct("ts", "event_id", action.alias("a"))))["a"].alias("actions")
     )
 
@@ -187,7 +191,11 @@ def state_machine_latest(spark, sf_dir):
             .otherwise(state)
         )
 
-    return events.select("user_id", F.aggregate("actions", F.lit("pending"), step).alias("state"))
+    # approved and rejected are final, so the other two states make up the map
+    after = [F.aggregate("actions", F.lit(before), step).alias(before) for before in ("pending", "deferred")]
+    maps = hours.select("user_id", F.struct("hour", *after).alias("m")).groupBy("user_id").agg(F.array_sort(F.collect_list("m")).alias("maps"))
+    follow = lambda state, m: F.when(state == "pending", m["pending"]).when(state == "deferred", m["deferred"]).otherwise(state)
+    return maps.select("user_id", F.aggregate("maps", F.lit("pending"), follow).alias("state"))
 
 
 @register(

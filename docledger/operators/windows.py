@@ -115,8 +115,8 @@ def gap_variance(spark, sf_dir):
 def vertical_spacing(spark, sf_dir):
     order = Window.partitionBy("user_id").orderBy("value", "event_id")
     gaps = table(spark, sf_dir, "events").select("user_id", (F.col("value") - F.lag("value").over(order)).alias("gap")).filter("gap is not null")
-    lists = gaps.groupBy("user_id").agg(F.median("gap").alias("m"), F.collect_list("gap").alias("gaps"))
-    off = lists.select("user_id", "m", F.explode("gaps").alias("gap")).groupBy("user_id", "m").agg(F.median(F.abs(F.col("gap") - F.col("m"))).alias("mad"))
+    medians = gaps.groupBy("user_id").agg(F.median("gap").alias("m"))
+    off = gaps.join(medians, "user_id").groupBy("user_id", "m").agg(F.median(F.abs(F.col("gap") - F.col("m"))).alias("mad"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 2 * F.col("mad") / F.col("m")))
     return off.select(
         "user_id",
