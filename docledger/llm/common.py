@@ -96,6 +96,20 @@ def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndar
     return codes[kept], per_text, coded.dictionary
 
 
+#: Bytes of terms (ASCII letters and digits, and all that is beyond ASCII) as they are, A-Z lower-cased, others as a space.
+_TERM_BYTES = np.array([b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b > 127 else 32 for b in range(256)], dtype=np.uint8)
+
+
+def term_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """As ``word_codes``, for terms: maximal runs of ASCII letters, digits and characters beyond ASCII; A-Z are lower-cased."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    if data is not None:
+        spaced = pa.py_buffer(_TERM_BYTES[np.frombuffer(data, dtype=np.uint8)])
+        texts = pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, spaced], offset=texts.offset)
+    return word_codes(texts, lower=False)
+
+
 def batches_of(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` whose texts hold about ``limit`` bytes each, one row at least.
 

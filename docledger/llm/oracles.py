@@ -91,4 +91,82 @@ joined AS (SELECT conv_id, count(*) AS n_turns,
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM joined
 """
 
-SQL = {"op9_chat_format": CHAT, "op3_quality_rules": QUALITY, "op8_source_mix": MIX}
+_TERMS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+LEXICAL = f"""
+WITH split AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS w FROM documents),
+docs AS (SELECT row, doc_id, len(w)::BIGINT AS n FROM split WHERE len(w) > 0),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM docs),
+counts AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(w) AS term FROM split) GROUP BY ALL),
+held AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM counts WHERE term IN (SELECT term FROM held) GROUP BY term), whole),
+scored AS (SELECT item_id, row, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM held JOIN weights USING (term) JOIN counts USING (term) JOIN docs USING (row), whole GROUP BY item_id, row)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, doc_id, score,
+  row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank
+  FROM scored JOIN docs USING (row) WHERE score > 0) WHERE rank <= 10
+"""
+
+#: CRC-32 of an ASCII string, bit by bit.
+_CRC = (
+    "xor(list_reduce([4294967295] || list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT), lambda c, b: "
+    "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+)
+
+
+def _and(way: str, cost: str, letter: str) -> str:
+    """A way into a state, as its cost in nine digits and its letters, with one more edit."""
+    return f"(lpad((left({way}, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({way}, 10) || '{letter}')"
+
+
+def _keep_or_rerole(way: str, initial: str) -> str:
+    return f"CASE WHEN NOT gone THEN CASE WHEN initial = '{initial}' THEN {_and(way, 'late', 'K')} ELSE {_and(way, '3 + late', 'R')} END END"
+
+
+REPAIR = rf"""
+WITH RECURSIVE hashed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+  CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) FROM hashed WHERE h > 0)),
+lined AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+  rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM damaged),
+seen AS (SELECT *, CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal FROM lined),
+rows_in AS MATERIALIZED (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS late FROM seen),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS i, '000000000' AS v0, NULL::VARCHAR AS v1, '000000003I' AS v2, '000000006II' AS v3 FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, v0, v1, v2, least(v3, {_and("v2", "3", "I")}) FROM (
+    SELECT conv_id, i, v0, v1, least(v2, {_and("v0", "3", "I")}, {_and("v1", "3", "I")}, {_and("v3", "3", "I")}) AS v2, v3 FROM (
+      SELECT s.conv_id, r.i, {_and("v0", "4", "D")} AS v0,
+        least({_and("v1", "4", "D")}, CASE WHEN NOT gone AND initial = 's' THEN {_and("v0", "late", "K")} END) AS v1,
+        least({_and("v2", "4", "D")}, {_keep_or_rerole("v0", "u")}, {_keep_or_rerole("v1", "u")}, {_keep_or_rerole("v3", "u")}) AS v2,
+        least({_and("v3", "4", "D")}, {_keep_or_rerole("v2", "a")}) AS v3
+      FROM ways s JOIN rows_in r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = s.i + 1))),
+last AS (SELECT conv_id, max_by(least(v0, v3), i) AS best FROM ways GROUP BY conv_id),
+edits AS (SELECT conv_id, unnest(string_split(substr(best, 10), '')) AS edit, generate_subscripts(string_split(substr(best, 10), ''), 1) AS pos FROM last WHERE length(best) > 9),
+placed AS (SELECT *, sum((edit <> 'I')::INT) OVER w AS i, sum((edit <> 'D')::INT) OVER w AS left_over FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+named AS (SELECT p.conv_id, pos, edit, left_over, CASE WHEN edit = 'K' THEN r.role END AS role, CASE WHEN edit = 'I' THEN '' ELSE r.text END AS text
+  FROM placed p LEFT JOIN rows_in r ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND p.i = r.i WHERE edit <> 'D'),
+repaired AS (SELECT conv_id, string_agg(coalesce(role, CASE WHEN (left_over - (first_role = 's')::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY pos) AS whole
+  FROM (SELECT *, coalesce(left(first_value(role) OVER (PARTITION BY conv_id ORDER BY pos), 1), 'u') AS first_role FROM named) GROUP BY conv_id),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, sum((fault = 'blank')::INT)::BIGINT AS blank,
+  sum((fault = 'duplicate')::INT)::BIGINT AS duplicate, sum((fault = 'truncated')::INT)::BIGINT AS truncated, sum(illegal::INT)::BIGINT AS illegal
+  FROM rows_in GROUP BY conv_id)
+SELECT l.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, left(best, 9)::BIGINT AS cost, substr(best, 10) AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM last l LEFT JOIN counted c ON l.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON l.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+SQL = {
+    "op9_chat_format": CHAT,
+    "op3_quality_rules": QUALITY,
+    "op8_source_mix": MIX,
+    "op11_lexical_search": LEXICAL,
+    "op13_repair": REPAIR,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import chat, contextmix, jaccard, langid, licenses, mixing, packing, pivots, quality, sstable
+from docledger.llm import chat, contextmix, jaccard, langid, lexical, licenses, mixing, packing, pivots, quality, repair, sstable, toxicity
 from docledger.llm.common import n_words, stored
 from docledger.llm.oracles import SQL
 
@@ -75,8 +75,23 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(spark, sstable.write(_read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = toxicity.scan(docs, ["doc_id"], toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+    return found.select("doc_id", langid.held_out(F.col("doc_id"), toxicity.FOLDS).alias("held_out"), "score", "predicted")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repairs conversations after damage that depends on their ids and turns alone."""
+    return repair.digests(repair.repair(repair.damaged(_read(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_near_vectors, op3_quality_rules, op4_jaccard_join, op5_lm_score, op6_license_scan, op7_packing, op8_source_mix, op9_chat_format, op10_token_shards)}
+    return {f.__name__: f for f in (op1_language_id, op2_near_vectors, op3_quality_rules, op4_jaccard_join, op5_lm_score, op6_license_scan, op7_packing, op8_source_mix, op9_chat_format, op10_token_shards, op11_lexical_search, op12_toxicity, op13_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
