@@ -248,24 +248,6 @@ def dedupe_first_wins(spark, sf_dir):
     )
 
 
-@register(
-    "fuzzy_dedupe",
-    "",
-    """WITH p AS (SELECT p_partkey, p_size, p_name, string_split(p_name, ' ') AS t FROM part),
-    d AS (SELECT DISTINCT b.p_partkey FROM p a JOIN p b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND len(list_intersect(a.t, b.t)) >= 2)
-    SELECT p_size, count(*) AS kept FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM d) GROUP BY p_size""",
-)
-def fuzzy_dedupe(spark, sf_dir):
-    """A row goes if an earlier one of the same numeric key shares two of its tokens: each pair of tokens is a key."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.array_sort(F.array_distinct(F.split("p_name", " "))).alias("t"))
-    rest = lambda t, i: F.slice(t, i + 2, F.size(t))
-    pairs = F.flatten(F.transform("t", lambda x, i: F.transform(rest(F.col("t"), i), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    keyed = part.select("p_partkey", "p_size", F.explode(pairs).alias("pair"))
-    first = keyed.groupBy("p_size", "pair").agg(F.min("p_partkey").alias("first"))
-    gone = keyed.join(first, ["p_size", "pair"]).filter("p_partkey > first").select("p_partkey").distinct()
-    return part.join(gone, "p_partkey", "left_anti").groupBy("p_size").agg(F.count("*").alias("kept"))
-
-
 @register(
     "row_neighbour_ranks",
     "W7 C1 O2",

@@ -190,29 +190,6 @@ def first_fit(spark, sf_dir):
     return _fold(spark, sf_dir, first_fit=True)
 
 
-@register(
-    "region_interval_merge",
-    "U12",
-    """WITH r AS (SELECT l_suppkey AS s, l_orderkey, floor(epoch(l_shipdate) / 86400)::BIGINT AS a, floor(epoch(l_shipdate) / 86400)::BIGINT + l_linenumber AS b FROM lineitem),
-    f AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY s ORDER BY a, b, l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, false)::INT AS o FROM r),
-    g AS (SELECT *, sum(o) OVER (PARTITION BY s ORDER BY a, b, l_orderkey ROWS UNBOUNDED PRECEDING) AS grp FROM f), m AS (SELECT s, grp, min(a) AS a, max(b) AS b, count(*) AS n FROM g GROUP BY s, grp)
-    SELECT s AS l_suppkey, count(*) AS regions, sum(b - a)::BIGINT AS covered, max(n) AS most FROM m GROUP BY s""",
-)
-def region_interval_merge(spark, sf_dir):
-    """Regions that overlap, or lie one apart, merge: gaps and islands over the running end."""
-    day = F.floor(F.unix_timestamp("l_shipdate") / 86400)
-    r = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", day.alias("a"), (day + F.col("l_linenumber")).alias("b"))
-    order = Window.partitionBy("l_suppkey").orderBy("a", "b", "l_orderkey")
-    opens = F.coalesce(F.col("a") > F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(False)).cast("int")
-    merged = (
-        r.withColumn("o", opens)
-        .withColumn("grp", F.sum("o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("l_suppkey", "grp")
-        .agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n"))
-    )
-    return merged.groupBy("l_suppkey").agg(F.count("*").alias("regions"), F.sum(F.col("b") - F.col("a")).alias("covered"), F.max("n").alias("most"))
-
-
 @register(
     "title_carry_forward",
     "W9 S13",

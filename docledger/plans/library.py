@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation", "cells", "joins", "windows", "reports", "costing", "resolve", "documents", "extraction", "memory", "names", "kitchen", "layout", "rows")
+MODULES = ("validation", "cells", "joins", "windows", "reports", "costing", "resolve", "documents", "extraction", "memory", "names", "kitchen", "layout", "rows", "regions", "dedupe")
 
 
 def load() -> None:
