@@ -52,7 +52,7 @@ def tail_lines(lines: DataFrame, text: str = "text") -> DataFrame:
     split = lines.withColumn("_words", F.split(names.bare_text(F.col(text)), " ")).withColumn("_run", run)
     split = split.filter((F.size("_words") >= LEAST_WORDS) & (F.col("_run") >= LEAST_NUMBERS))
     more = (F.col("_run") > LEAST_NUMBERS).cast("int")
-    value = lambda back: F.regexp_replace(F.regexp_replace(F.try_element_at("_words", -F.lit(back)), "^R", ""), ",", ".").cast("double")
+    value = lambda back: F.regexp_replace(F.regexp_replace(F.try_element_at("_words", -F.lit(back)), "^R", ""), ",", ".").try_cast("double")
     read = split.withColumns({"_q": value(4 + more), "_p": value(3 + more), "_v": value(2), "_t": value(1)})
     q, p, t = F.col("_q"), F.col("_p"), F.col("_t")
     computes = (t == 0) | (F.abs(cents(q * p) - t) <= F.greatest(F.lit(0.2), F.abs(t) * 0.04))
