@@ -26,6 +26,8 @@ VOCABULARY = "piece_bpe_32k.model"
 FIT_DOCS, FIT_CHARS, ROUNDS, SMOOTHING = 4000, 64, 3, 0.1
 #: Characters of a word that are looked up at a time, and places after which the forward table is scaled anew.
 SPAN, RESCALE = 2048, 8
+#: Probability of a word below which its expected pieces are found with stretched probabilities.
+FAINT = 1e-200
 UNDETERMINED = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,11 +150,16 @@ def expected_pieces(words: list[str], lang: np.ndarray, weight: np.ndarray, tabl
         m = codes.shape[1]
         cell = [f.astype(np.int64) * langs + of[:, None] for f in found]
         p = [flat[c] for c in cell]
-        alpha, beta = np.zeros((2, m + 1, codes.shape[0]))
-        alpha[0] = beta[m] = 1
-        for end in range(1, m + 1):
-            for n in range(1, min(len(p), end) + 1):
-                alpha[end] += alpha[end - n] * p[n - 1][:, end - n]
+        alpha = _forward(p, m)
+        faint = np.nonzero(alpha[m] < FAINT)[0]
+        if len(faint):  # too improbable for a double: stretched by the word's own probability, evenly over its characters
+            logs = word_scores([words[i] for i in owner[faint]], table, probs)[np.arange(len(faint)), of[faint]]
+            stretch = np.ones(len(owner))
+            stretch[faint] = np.exp(-logs / m)
+            p = [x * stretch[:, None] ** n for n, x in enumerate(p, 1)]
+            alpha = _forward(p, m)
+        beta = np.zeros((m + 1, codes.shape[0]))
+        beta[m] = 1
         for start in range(m - 1, -1, -1):
             for n in range(1, min(len(p), m - start) + 1):
                 beta[start] += p[n - 1][:, start] * beta[start + n]
@@ -161,9 +168,21 @@ def expected_pieces(words: list[str], lang: np.ndarray, weight: np.ndarray, tabl
             for start in range(m - n + 1):
                 uses = alpha[start] * p[n - 1][:, start] * beta[start + n] * scale
                 out += np.bincount(cell[n - 1][:, start], weights=uses, minlength=len(out))
+    if not np.isfinite(out).all():
+        raise FloatingPointError("a word has no finite probability")
     return out.reshape(probs.shape)
 
 
+def _forward(p: list[np.ndarray], m: int) -> np.ndarray:
+    """Sums over all segmentations of the first 0, 1 ... m characters; p: probabilities by length and start."""
+    alpha = np.zeros((m + 1, p[0].shape[0]))
+    alpha[0] = 1
+    for end in range(1, m + 1):
+        for n in range(1, min(len(p), end) + 1):
+            alpha[end] += alpha[end - n] * p[n - 1][:, end - n]
+    return alpha
+
+
 def fit(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
     """Languages, and piece x language probabilities, from the docs' text and lang (both not null).
 

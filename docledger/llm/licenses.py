@@ -38,6 +38,13 @@ FAMILIES = (
     ("agpl", "agpl", r"(?:gnu )?agpl", ("1", "3")),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[cs]e", ("1 1", "1 2", "1 3")),
     ("apache", "apache", r"apache(?: software)? licen[cs]e", ("1 0", "1 1", "2 0")),
+    ("apache-2.0", "apache 2", r"apache (?:v ?)?2(?: 0)? licen[cs]e", ()),
+    ("gpl-2", "gplv2", r"(?:gnu )?gplv2(?: 0)?(?: or later)?", ()),
+    ("gpl-3", "gplv3", r"(?:gnu )?gplv3(?: 0)?(?: or later)?", ()),
+    ("lgpl-2", "lgplv2", r"(?:gnu )?lgplv2(?: 0)?(?: or later)?", ()),
+    ("lgpl-2.1", "lgplv2 1", r"(?:gnu )?lgplv2 1(?: or later)?", ()),
+    ("lgpl-3", "lgplv3", r"(?:gnu )?lgplv3(?: 0)?(?: or later)?", ()),
+    ("agpl-3", "agplv3", r"(?:gnu )?agplv3(?: 0)?(?: or later)?", ()),
     ("mit", "mit", r"mit licen[cs]e", ()),
     ("mit", "expat", r"expat licen[cs]e", ()),
     ("bsd", "bsd", r"(?:new |modified |simplified |revised )?bsd(?: style)? licen[cs]e", ()),
@@ -160,7 +167,7 @@ TEXTS = (
     ("ms-pl", "governs use", r"this licen[cs]e governs use of the accompanying software if you use the software you accept this licen[cs]e"),
     ("x11", "x consortium", r"the name of the x consortium shall not be used in advertising or otherwise to promote the sale use or other dealings"),
     ("ncsa", "university of illinois", r"developed by .{1,80}? university of illinois"),
-    ("jsd", "used for good", r"the software shall be used for good not evil"),
+    ("json", "used for good", r"the software shall be used for good not evil"),
     ("beerware", "buy me a beer", r"you can buy me a beer in return"),
     ("postgresql", "written agreement", r"without fee and without a written agreement is hereby granted"),
     ("hpnd", "supporting documentation", r"that both that copyright notice and this permission notice appear in supporting documentation"),
@@ -182,7 +189,6 @@ TEXTS = (
     ("proprietary", "prior written", r"without the (?:express )?prior written (?:consent|permission) of"),
     ("proprietary", "internal use only", r"for internal use only"),
     ("proprietary", "end user", r"end user licen[cs]e agreement"),
-    ("proprietary", "all rights reserved", r"all rights reserved"),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
 )
 
@@ -255,6 +261,15 @@ IDENTIFIERS = (
     "sspl 1 0", "tcl", "ucl 1 0", "unicode 3 0", "unicode dfs 2016", "upl 1 0", "vsl 1 0", "w3c", "watcom 1 0", "x11", "xnet", "zend 2 0",
 )
 
+# Identifiers of the public SPDX list whose family above goes by a name with "license", and the label.
+NAMED_IDENTIFIERS = {
+    "mit": "mit", "apache 1 0": "apache-1.0", "apache 1 1": "apache-1.1", "apache 2 0": "apache-2.0", "isc": "isc", "zlib": "zlib", "epl 1 0": "epl-1.0",
+    "epl 2 0": "epl-2.0", "cddl 1 0": "cddl-1.0", "cddl 1 1": "cddl-1.1", "mpl 1 1": "mpl-1.1", "mpl 2 0": "mpl-2.0", "postgresql": "postgresql",
+    "ofl 1 0": "ofl-1.0", "ofl 1 1": "ofl-1.1", "artistic 1 0": "artistic-1.0", "artistic 2 0": "artistic-2.0", "ms pl": "ms-pl", "ms rl": "ms-rl",
+    "osl 3 0": "osl-3.0", "eupl 1 1": "eupl-1.1", "eupl 1 2": "eupl-1.2", "ncsa": "ncsa", "openssl": "openssl", "ruby": "ruby", "vim": "vim",
+    "unlicense": "unlicense", "wtfpl": "wtfpl", "odbl 1 0": "odbl-1.0", "qpl 1 0": "qpl-1.0", "zpl 2 1": "zpl-2.1",
+}
+
 # Wordings around a name, their priority, and how sure they make a detection.
 WORDINGS = (
     ("spdx", 40, 1.0, r"spdx licen[cs]e identifier {}"),
@@ -291,9 +306,9 @@ def rules() -> list[Rule]:
         out.append(Rule(f"{label}:text{i}", label, keyword, rf"(?<![^ ]){pattern}(?![^ ])", TEXT_PRIORITY, TEXT_CONFIDENCE))
     for label, words in ADDRESSES:
         out.append(Rule(f"{label}:address:{words}", label, words, rf"(?<![^ ]){words}(?![^ ])", ADDRESS_PRIORITY, ADDRESS_CONFIDENCE))
-    for words in IDENTIFIERS:
+    for words, label in {**{w: w.replace(" ", "-") for w in IDENTIFIERS}, **NAMED_IDENTIFIERS}.items():
         pattern = rf"(?<![^ ])spdx licen[cs]e identifier {words}(?: or later| only)?(?![^ ])"
-        out.append(Rule(f"{words}:identifier", words.replace(" ", "-"), f"identifier {words}", pattern, ADDRESS_PRIORITY + 5, 1.0))
+        out.append(Rule(f"{words}:identifier", label, f"identifier {words}", pattern, ADDRESS_PRIORITY + 5, 1.0))
     return out
 
 

@@ -22,9 +22,10 @@ SEED = "mix-1"
 ADDED, ORDER = ("source_size", "target", "times"), ("_range", "_key", "_id", "_size")
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in (0, 1] fixed by seed and id: 52 bits of their MD5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def uniform(doc_id: Column, told: Column | None = None, seed: str = SEED) -> Column:
+    """A number in (0, 1] fixed by seed and id, for a null id by seed and ``told``: 52 bits of their MD5."""
+    without = F.lit("null") if told is None else F.concat(F.lit("null:"), F.md5(F.coalesce(told.cast("string"), F.lit("")).cast("binary")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), without)).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1) / 4503599627370496.0
 
 
@@ -54,18 +55,19 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def mix(rows: DataFrame) -> DataFrame:
+def mix(rows: DataFrame, told: str | None = None) -> DataFrame:
     """rows: doc_id, source, size (long), weight and any other columns. Adds source_size, target and times.
 
     times says how often the mix takes the row, 0 to 3. Null sources form one source; a null weight counts as 1, and
     rows of weight 0 or less come last. A null size counts as 0. Rows of one id and size are taken alike, so that rows
-    repeated m times miss the target by m sizes at most; documents without an id share one key and go by size.
+    repeated m times miss the target by m sizes at most; documents without an id are told apart by the column ``told``,
+    as by their text, and only those that agree in it share a key.
     Columns of rows that are named like an added one are replaced. An empty table gives no rows.
 
     ``rows`` is read twice: for the keys alone, which tell where each source's order is cut, and to compare every row
     with its source's cut. No row is shuffled or sorted as a whole.
     """
-    weight, u = F.coalesce(F.col("weight"), F.lit(1.0)), uniform(F.col("doc_id"))
+    weight, u = F.coalesce(F.col("weight"), F.lit(1.0)), uniform(F.col("doc_id"), F.col(told) if told else None)
     key = F.when(weight > 0, -F.ln(u) / weight).otherwise(u)
     part = F.when(weight > 0, F.least(F.floor(KEY_RANGES * (1 - F.exp(-F.col("_key")))), F.lit(KEY_RANGES - 1)))
     keyed = (

@@ -61,7 +61,7 @@ FROM based b LEFT JOIN fences f ON b.lang IS NOT DISTINCT FROM f.lang AND b.sour
 MIX = f"""
 WITH best AS (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 sized AS (SELECT d.doc_id, source, len({WORDS})::BIGINT AS size, CASE WHEN q > 0 THEN 2.0 WHEN q IS NULL THEN 1.0 ELSE 0.5 END AS weight,
-  md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, 'null')) AS digest FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id),
+  md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, 'null:' || md5(coalesce(d.text, '')))) AS digest FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id),
 keyed AS (SELECT doc_id, source, size,
   -ln((('0x' || substr(digest, 1, 13))::BIGINT::DOUBLE + 1) / 4503599627370496.0) / weight AS k FROM sized),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),

@@ -53,10 +53,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    told = F.when(F.col("doc_id").isNull(), F.col("text")).alias("told")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"), told)
     weights = mixing.quality_weight(_read(spark, sf_dir, "labels"))
     rows = stored(docs.join(weights, "doc_id", "left"), "sizes")
-    return mixing.mix(rows).select(
+    return mixing.mix(rows, "told").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken")
     )
 
