@@ -58,13 +58,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it, up to three times; those not taken go.
 
-    Null sources form one source, null texts have no size, rows of one id and size are taken alike, and an empty table
-    gives no rows. Texts are shuffled once, for the weights by document.
+    Null sources form one source, null texts have no size, rows of one id and size are taken alike, as are those without
+    an id that have one text, and an empty table gives no rows. Texts are shuffled once, for the weights by document.
     """
     weights = mixing.quality_weight(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    sized = _wrapped(docs, "doc_id", "source", n_words(F.col("text")).alias("size"))
+    told = F.when(F.col("doc_id").isNull(), F.col("text")).alias("told")
+    sized = _wrapped(docs, "doc_id", "source", n_words(F.col("text")).alias("size"), told)
     rows = sized.join(weights.hint("merge"), "doc_id", "left")
-    mixed = mixing.mix(rows).select("_doc", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
+    mixed = mixing.mix(rows, "told").select("_doc", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
     return mixed.select("_doc.*")
 
 
