@@ -107,7 +107,7 @@ _HEADS = ("item 2 kg", "vat 15", "total due", "paid cash", "invoice", "delivery"
 
 @register(
     "row_type_best",
-    "C1 W7",
+    "W7",
     "WITH t AS (SELECT conv_id, turn, lower((["
     + ", ".join(f"'{h}'" for h in _HEADS)
     + "])[(conv_id + turn) % 7 + 1] || ' ' || coalesce(text, '')) AS t FROM conversations), s AS (SELECT conv_id, turn, "
@@ -194,7 +194,7 @@ def recipe_line_parse(spark, sf_dir):
 
 @register(
     "json_details_extract",
-    "F65 F70 D19 S15",
+    "F65 F70 D19",
     """SELECT event_type, count(*) AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS total, count(CASE WHEN (props->>'$.k')::BIGINT > 50 THEN 1 END) AS large FROM events GROUP BY event_type""",
 )
 def json_details_extract(spark, sf_dir):

@@ -114,7 +114,7 @@ def interval_midpoint_join(spark, sf_dir):
 
 @register(
     "neighbour_offset_merge",
-    "J7 G16",
+    "J7",
     """WITH o AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_quantity > 25 AS full_row FROM lineitem),
     n AS (SELECT l_orderkey, l_linenumber, l_quantity, full_row,
       lead(CASE WHEN full_row THEN l_quantity END, 1) OVER w AS n1, lag(CASE WHEN full_row THEN l_quantity END, 1) OVER w AS p1,

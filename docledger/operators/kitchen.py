@@ -118,7 +118,7 @@ def food_cost_totals(spark, sf_dir):
 
 @register(
     "failure_envelopes",
-    "X20 F63",
+    "X20",
     """SELECT d.doc_id, coalesce(l.quality, 0)::BIGINT AS row_count, coalesce(l.toxic, 0)::BIGINT AS failures, CASE WHEN l.doc_id IS NULL THEN 'Parser test timed out after 30 seconds.' END AS error,
     l.doc_id IS NULL OR l.toxic = 1 AS needs_review, strftime(TIMESTAMP '2024-01-02 03:04:05', '%Y-%m-%dT%H:%M:%S') AS tested_at FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
 )
@@ -253,17 +253,18 @@ SHOWN_TABLES, SHOWN_ROWS = 8, 40
     "table_text",
     "F68 O5",
     """WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS t FROM orders QUALIFY t <= 8),
-    l AS (SELECT DISTINCT l_orderkey, trim(l_returnflag) || ' | ' || l_partkey || ' | ' || l_suppkey AS line FROM lineitem),
-    r AS (SELECT l_orderkey, line, row_number() OVER (PARTITION BY l_orderkey ORDER BY line) AS k FROM l QUALIFY k <= 40)
+    r AS (SELECT l_orderkey, trim(l_returnflag) || ' | ' || l_partkey || ' | ' || l_suppkey AS line,
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS k FROM lineitem QUALIFY k <= 40)
     SELECT o_custkey, md5(string_agg(CASE WHEN k = 1 THEN '--- Page 1 Table ' || t || ' ---' || chr(10) ELSE '' END || line, chr(10) ORDER BY t, k)) AS digest, count(*) AS lines FROM o JOIN r ON l_orderkey = o_orderkey GROUP BY o_custkey""",
 )
 def table_text(spark, sf_dir):
-    """The first tables of each document as lines of cells under a label, for a prompt."""
+    """The first tables of each document as lines of cells under a label, for a prompt: rows in their order, repeated ones too."""
     tables = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     tables = tables.withColumn("t", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).filter(F.col("t") <= SHOWN_TABLES)
     line = F.concat_ws(" | ", F.trim("l_returnflag"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), line.alias("line")).distinct()
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("o_orderkey").orderBy("line"))).filter(F.col("k") <= SHOWN_ROWS)
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), line.alias("line"), F.row_number().over(order).alias("k"))
+    rows = rows.filter(F.col("k") <= SHOWN_ROWS)
     label = F.when(F.col("k") == 1, F.concat(F.lit("--- Page 1 Table "), F.col("t").cast("string"), F.lit(" ---\n"))).otherwise("")
     shown = tables.join(rows, "o_orderkey").groupBy("o_custkey").agg(
         F.array_sort(F.collect_list(F.struct("t", "k", F.concat(label, F.col("line")).alias("line")))).alias("all")

@@ -91,7 +91,7 @@ HEADS = (
     "C1 C2 C3 C5 P22 W7",
     "WITH r AS (SELECT conv_id, turn, (turn + 1)::DOUBLE AS q, CASE WHEN conv_id % 4 = 0 THEN 'unknown' WHEN conv_id % 4 = 1 THEN ' Product ' END AS asked, lower((["
     + ", ".join(f"'{h}'" for h in HEADS)
-    + "])[(conv_id + turn) % 15 + 1] || ' ' || coalesce(CASE WHEN (conv_id + turn) % 2 = 0 THEN text END, '')) AS t FROM conversations), f AS (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 2.0 * q WHEN conv_id % 3 = 1 THEN q END AS total FROM r), "
+    + "])[(conv_id + turn) % 15 + 1] || ' ' || coalesce(text, '')) AS t FROM conversations), f AS (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 2.0 * q WHEN conv_id % 3 = 1 THEN q END AS total FROM r), "
     + rowtypes.sql("f", "t", "q", "2.0::DOUBLE", "total")
     + """ SELECT conv_id, turn, CASE WHEN asked IS NULL OR asked = 'unknown' THEN type ELSE lower(trim(asked)) END AS type, type = 'product' AS is_product, confidence, margin, second, signals, conflict FROM classified""",
 )
@@ -103,7 +103,7 @@ def row_classifier(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(
         "conv_id",
         "turn",
-        F.concat(head, F.lit(" "), F.coalesce(F.when(n % 2 == 0, F.col("text")), F.lit(""))).alias("t"),
+        F.concat(head, F.lit(" "), F.coalesce("text", F.lit(""))).alias("t"),
         q.alias("q"),
         F.when(third == 0, 2.0 * q).when(third == 1, q).alias("total"),
         F.when(F.col("conv_id") % 4 == 0, "unknown").when(F.col("conv_id") % 4 == 1, " Product ").alias("asked"),

@@ -30,7 +30,7 @@ def _pick(values, number):
 
 @register(
     "match_keys",
-    "F22 F23 F24 F25 F27",
+    "F22 F23 F24 F25",
     """SELECT p_partkey, replace(g[1], '{n}', split_part(p_name, ' ', 2)) AS key, g[2] AS packaging FROM (SELECT p_partkey, p_name,
     ([['red pepper {n}',''], ['red pepper {n}',''], ['granny smith apple {n}',''], ['baby potato {n}',''], ['tomato {n}',''], ['carrot loose {n}',''],
       ['granny smith apple {n}',''], ['chicken breast fillets {n}',''], ['strawberry {n}',''], ['refuse bag {n} dim_10x20','dim_10x20'],
@@ -103,24 +103,25 @@ def pair_compare_scores(spark, sf_dir):
     "memory_best_match",
     "M2 J10",
     """WITH c AS (SELECT o_custkey % 16 AS d, o_orderkey FROM orders), r AS (SELECT min(p_partkey) AS id, p_partkey % 16 AS d FROM part GROUP BY 2)
-    SELECT c.d, count(*) AS n, min(r.id) AS matched, 0.95::DOUBLE AS score FROM c JOIN r
-    ON r.d = CASE WHEN c.d = 1 AND (SELECT id FROM r WHERE d = 0) < (SELECT id FROM r WHERE d = 1) THEN 0 WHEN c.d = 0 AND (SELECT id FROM r WHERE d = 1) < (SELECT id FROM r WHERE d = 0) THEN 1
-      WHEN c.d = 6 AND (SELECT id FROM r WHERE d = 2) < (SELECT id FROM r WHERE d = 6) THEN 2 WHEN c.d = 2 AND (SELECT id FROM r WHERE d = 6) < (SELECT id FROM r WHERE d = 2) THEN 6 ELSE c.d END
-    WHERE c.d NOT IN (8, 11, 12, 14, 15) GROUP BY ALL""",
+    SELECT c.d, count(*) AS n, min(r.id) AS matched, CASE WHEN min(r.id) IS NOT NULL THEN 0.95::DOUBLE END AS score FROM c LEFT JOIN r
+    ON c.d NOT IN (8, 11, 12, 14, 15) AND r.d = CASE WHEN c.d = 1 AND (SELECT id FROM r WHERE d = 0) < (SELECT id FROM r WHERE d = 1) THEN 0 WHEN c.d = 0 AND (SELECT id FROM r WHERE d = 1) < (SELECT id FROM r WHERE d = 0) THEN 1
+      WHEN c.d = 6 AND (SELECT id FROM r WHERE d = 2) < (SELECT id FROM r WHERE d = 6) THEN 2 WHEN c.d = 2 AND (SELECT id FROM r WHERE d = 6) < (SELECT id FROM r WHERE d = 2) THEN 6 ELSE c.d END GROUP BY c.d""",
 )
 def memory_best_match(spark, sf_dir):
     """Candidates against the memory's records of the same product: the best score, of equal ones the record first stored.
 
-    Both sides are reduced to distinct descriptions before they meet, by an equi-join on the product's nouns.
+    Both sides are reduced to distinct descriptions before they meet, by an equi-join on the product's nouns. Candidates
+    without such a noun, or without a record of their product, have no match and stay.
     """
     orders, part = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
     candidates = orders.groupBy((F.col("o_custkey") % len(DESCRIPTIONS)).alias("d")).agg(F.count("*").alias("n"))
     candidates = candidates.withColumn("a", _pick(DESCRIPTIONS, F.col("d")))
     records = part.groupBy(_pick(DESCRIPTIONS, F.col("p_partkey")).alias("b")).agg(F.min("p_partkey").alias("id"))
     product = lambda c: F.array_join(keys.core(keys.match_tokens(F.col(c))), " ")
-    met = candidates.withColumn("core", product("a")).filter("core <> ''").join(records.withColumn("core", product("b")), "core")
+    known = records.withColumn("core", product("b")).filter("core <> ''")
+    met = candidates.withColumn("core", product("a")).join(known, "core", "left")
     best = met.withColumn("score", keys.compare(F.col("a"), F.col("b"))).groupBy("d", "n").agg(
-        F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("m")
+        F.max(F.when(F.col("id").isNotNull(), F.struct("score", (-F.col("id")).alias("minus")))).alias("m")
     )
     return best.select("d", "n", (-F.col("m.minus")).alias("matched"), "m.score")
 
@@ -250,7 +251,7 @@ def dedupe_first_wins(spark, sf_dir):
 
 @register(
     "row_neighbour_ranks",
-    "W7 C1 O2",
+    "W7 O2",
     """WITH s AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM s)
     SELECT a.user_id, CASE WHEN a.n - coalesce(b.n, 0) < 1 THEN 'unknown' ELSE a.event_type END AS best, a.n AS score, a.n - coalesce(b.n, 0) AS margin FROM r a LEFT JOIN r b ON a.user_id = b.user_id AND b.k = 2 WHERE a.k = 1""",
 )

@@ -61,7 +61,7 @@ def line_validation_by_supplier(spark, sf_dir):
 
 @register(
     "line_validation_status",
-    "P2 P3 P9 D9 X7 X8 B1 B2",
+    "P2 P3 P9 D9 X7 X8",
     f"""WITH {LINES_SQL} SELECT l_linenumber, status,
     CASE WHEN status = 'missing' THEN 'unit_price' WHEN status = 'failed' THEN 'line_total' END AS affected_field,
     count(*) AS n, sum(CASE WHEN unit_price IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_without_price,
@@ -129,7 +129,7 @@ def review_reason(spark, sf_dir):
 
 @register(
     "row_triage_score",
-    "X7 X10 X12 A1 A9 F6 B1 B2",
+    "X7 X10 X12 A1 A9 F6",
     f"""WITH {LINES_SQL}, scored AS (SELECT *, 65 + CASE WHEN quantity IS NULL THEN 0 ELSE 15 END
       + CASE WHEN unit_price IS NULL THEN 0 ELSE 15 END AS score FROM checked)
     SELECT l_suppkey, count(*) AS n, sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END)::BIGINT AS validated,

@@ -1,5 +1,6 @@
 """The entry module without the optional subpackage, in each way in which it may be absent."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -21,6 +22,13 @@ def test_entry_without_subpackage(tmp_path, gone):
         "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q);"
         "print(len(q), sum(n.startswith('op') and n[2:3].isdigit() for n in q), 'pipeline' in q)"
     )
-    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True).stdout.split()
+    # with another copy of the repository on the path, and without
+    for path in ({}, {"PYTHONPATH": str(ROOT)}):
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | path
+        out = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, check=True).stdout.split()
+        check(out, gone)
+
+
+def check(out, gone):
     assert int(out[0]) > 80 and out[2] == "False"
     assert (out[1] == "0") == ("docledger/llm" in gone)
