@@ -108,12 +108,16 @@ def supplier_code(x: Column) -> Column:
     return F.coalesce(*(_first(x, form) for form in SUPPLIER_CODES))
 
 
+def without(x: Column, part: Column) -> Column:
+    """A text without the first occurrence of ``part``."""
+    at = F.instr(x, part)
+    return F.when(at == 0, x).otherwise(F.concat(x.substr(F.lit(1), at - 1), x.substr(at + F.length(part), F.length(x))))
+
+
 def without_code(x: Column) -> Column:
     """The description without the first occurrence of its code."""
     code = supplier_code(x)
-    at = F.instr(x, code)
-    rest = F.concat(x.substr(F.lit(1), at - 1), x.substr(at + F.length(code), F.length(x)))
-    return F.when(code.isNull(), x).otherwise(rest)
+    return F.when(code.isNull(), x).otherwise(without(x, code))
 
 
 def is_unit(x: Column) -> Column:
@@ -123,14 +127,14 @@ def is_unit(x: Column) -> Column:
 def pack(x: Column) -> Column:
     """Count, size and unit of a pack: ``10 x 1 kg``, else a number and a word, which is its unit or else follows later.
 
-    A number whose word is no unit is a count; a size without a count has the count one. Without a number and a word,
+    A number whose word is no unit is a count; a size without a count has the count one, unless it is zero. Without a number and a word,
     all are null.
     """
     many, one = rf"{_I}({_POINT})\s*[x\u00d7]\s*({_POINT})\s*(\w+)", rf"{_I}({_POINT})\s*(\w+)"
     unit_word = _first(x, one, 2)
     later = _first(x, rf"{_I}{_POINT}\s*\w+.*?\b({'|'.join(PACK_UNITS)})\b")
     several, sized = x.rlike(many), is_unit(unit_word)
-    count = F.when(several, _first(x, many, 1)).when(sized, "1").otherwise(_first(x, one, 1))
+    count = F.when(several, _first(x, many, 1)).when(sized, F.when(_first(x, one, 1).cast("double") != 0, "1")).otherwise(_first(x, one, 1))
     size = F.when(several, _first(x, many, 2)).when(sized, _first(x, one, 1))
     raw = F.when(several, _first(x, many, 3)).when(sized, unit_word).otherwise(later)
     low = F.lower(raw)

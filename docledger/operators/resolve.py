@@ -46,7 +46,7 @@ def match_keys(spark, sf_dir):
 
 @register(
     "modifier_groups",
-    "F26 F28 M1",
+    "F26 F28",
     """SELECT p_partkey, g[1] AS colour, g[2] AS variety, g[3] AS cut_form, g[4] AS preparation, g[5] AS size_age, g[6] AS packaging_type, g[7] AS core, false AS weak, false AS noisy,
     ([0.85, 0.85, 0.85, 0.85, 0.8, 0.85, 0.85, 0.85, 0.65, 0.85, 0.85, 0.7, 0.65, 0.85, 0.65, 0.65])[p_partkey % 16 + 1]::DOUBLE AS confidence FROM (SELECT p_partkey, ([['red','','','','','','pepper'], ['red','','','','','','pepper'], ['','granny smith','','','','','apple'],
       ['','','','','baby','','potato'], ['','','','','','','tomato'], ['','','loose','','','','carrot'], ['','granny smith','','','','','apple'], ['','','breast fillets','','','','chicken'],
@@ -101,7 +101,7 @@ def pair_compare_scores(spark, sf_dir):
 
 @register(
     "memory_best_match",
-    "M2 J10",
+    "J10",
     """WITH c AS (SELECT o_custkey % 16 AS d, o_orderkey FROM orders), r AS (SELECT min(p_partkey) AS id, p_partkey % 16 AS d FROM part GROUP BY 2)
     SELECT c.d, count(*) AS n, min(r.id) AS matched, CASE WHEN min(r.id) IS NOT NULL THEN 0.95::DOUBLE END AS score FROM c LEFT JOIN r
     ON c.d NOT IN (8, 11, 12, 14, 15) AND r.d = CASE WHEN c.d = 1 AND (SELECT id FROM r WHERE d = 0) < (SELECT id FROM r WHERE d = 1) THEN 0 WHEN c.d = 0 AND (SELECT id FROM r WHERE d = 1) < (SELECT id FROM r WHERE d = 0) THEN 1
@@ -128,7 +128,7 @@ def memory_best_match(spark, sf_dir):
 
 @register(
     "proposal_typing",
-    "M4 F28",
+    "M4",
     """WITH c AS (SELECT p_partkey, p_name, 0.5 + (p_size % 10) * 0.05::DOUBLE AS confidence, p_partkey % 3 = 0 AS target, p_partkey % 5 = 0 AS evidence, p_partkey % 11 = 0 AS merged, p_partkey % 13 = 0 AS noise, len(string_split(p_name, ' ')) AS tokens FROM part)
     SELECT CASE WHEN merged THEN 'possible_merge' WHEN noise THEN 'insufficient_evidence' WHEN confidence < 0.7 AND target THEN 'possible_merge' WHEN confidence < 0.7 THEN 'insufficient_evidence'
       WHEN target AND evidence THEN 'attach_supplier_variant' WHEN target THEN 'attach_alias' WHEN tokens < 2 THEN 'insufficient_evidence' ELSE 'create_new' END AS type, count(*) AS n FROM c GROUP BY 1""",
@@ -216,7 +216,7 @@ def memory_variant_merge(spark, sf_dir):
 
 @register(
     "fragment_select",
-    "F33 F34 F35",
+    "F33",
     r"""WITH f AS (SELECT p_partkey, unnest(string_split_regex(p_name || ' - ' || p_type || ', ' || p_brand, ' - |, ')) AS frag FROM part),
     s AS (SELECT p_partkey, frag, 2 + CASE WHEN contains(frag, ' ') THEN 1.5 ELSE 0 END + CASE WHEN length(frag) >= 8 THEN least(2, length(frag) / 18.0) ELSE 0 END - CASE WHEN regexp_matches(frag, '[0-9]') THEN 2 ELSE 0 END AS score FROM f)
     SELECT p_partkey, frag, floor(score * 1000 + 0.5) / 1000 AS score FROM s QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, length(frag) DESC, frag DESC) = 1""",
