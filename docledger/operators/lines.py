@@ -149,6 +149,20 @@ _ORDERED_SQL = f"""ordered AS (SELECT l_orderkey, l_partkey, l_discount, l_tax,
     floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS p, CASE WHEN l_discount > 0.08 THEN l_extendedprice * 2 ELSE l_extendedprice END AS t FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
+def order_pages(lines: DataFrame) -> DataFrame:
+    """page, idx, line: each order's lines as they are printed, with what stands around them."""
+    short, good = F.col("l_tax") > 0.06, F.concat_ws(" ", "p_name", "q", F.concat(F.lit("R"), "p"), F.concat(F.lit("R"), "t"))
+    body = lines.select(F.col("l_orderkey").alias("page"), (F.col("k") * 10).alias("idx"), F.when(short, F.concat_ws(" ", "p_name", "q", F.concat(F.lit("R"), "p"))).otherwise(good).alias("line"))
+    last = lines.groupBy(F.col("l_orderkey").alias("page")).agg(F.max("k").alias("k"))
+    at = lambda idx, text: F.struct(idx.cast("long").alias("idx"), text.alias("line"))
+    header = F.when(F.col("page") % 2 == 0, "Description, Qty, Unit Price, Total").otherwise("")
+    around = F.array(
+        at(F.lit(0), F.lit("Invoice from the market")), at(F.lit(1), F.lit(" ")), at(F.lit(2), header), at(F.col("k") * 10 + 10, F.lit("Sub Total 100")), at(F.col("k") * 10 + 11, F.lit("Left over 5"))
+    )
+    rest = last.select("page", F.explode(around).alias("l")).select("page", "l.idx", "l.line").filter("idx <> 2 or line <> ''")
+    return body.unionByName(rest)
+
+
 @register(
     "tail_number_lines",
     "F54 X22",
@@ -184,14 +198,4 @@ def tail_number_lines(spark, sf_dir):
 )
 def plain_table_rows(spark, sf_dir):
     """Orders printed as plain lines: a contact, a blank, on even ones a header, the lines, a subtotal, and a line below it."""
-    lines = _ordered_lines(spark, sf_dir)
-    short, good = F.col("l_tax") > 0.06, F.concat_ws(" ", "p_name", "q", F.concat(F.lit("R"), "p"), F.concat(F.lit("R"), "t"))
-    body = lines.select(F.col("l_orderkey").alias("page"), (F.col("k") * 10).alias("idx"), F.when(short, F.concat_ws(" ", "p_name", "q", F.concat(F.lit("R"), "p"))).otherwise(good).alias("line"))
-    last = lines.groupBy(F.col("l_orderkey").alias("page")).agg(F.max("k").alias("k"))
-    at = lambda idx, text: F.struct(idx.cast("long").alias("idx"), text.alias("line"))
-    header = F.when(F.col("page") % 2 == 0, "Description, Qty, Unit Price, Total").otherwise("")
-    around = F.array(
-        at(F.lit(0), F.lit("Invoice from the market")), at(F.lit(1), F.lit(" ")), at(F.lit(2), header), at(F.col("k") * 10 + 10, F.lit("Sub Total 100")), at(F.col("k") * 10 + 11, F.lit("Left over 5"))
-    )
-    rest = last.select("page", F.explode(around).alias("l")).select("page", "l.idx", "l.line").filter("idx <> 2 or line <> ''")
-    return plain_rows(body.unionByName(rest)).withColumn("idx", F.col("idx").cast("int"))
+    return plain_rows(order_pages(_ordered_lines(spark, sf_dir))).withColumn("idx", F.col("idx").cast("int"))

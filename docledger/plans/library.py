@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation", "cells", "joins", "windows", "reports", "costing", "resolve", "documents", "extraction", "memory", "names", "kitchen", "layout", "rows", "regions", "dedupe", "lines", "sheets", "candidates")
+MODULES = ("validation", "cells", "joins", "windows", "reports", "costing", "resolve", "documents", "extraction", "memory", "names", "kitchen", "layout", "rows", "regions", "dedupe", "lines", "sheets", "candidates", "headers", "typed", "wiring")
 
 
 def load() -> None:

@@ -36,7 +36,7 @@ def json_log(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 def uploads(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Uploaded files as they arrive, with their type by suffix."""
-    found = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder)
     return found.withColumn("file_type", file_type(F.col("path")))
 
 
