@@ -13,7 +13,7 @@ from docledger.sources.sinks import upsert
     "keyed_upsert",
     "K7 K3 M10",
     """WITH o AS (SELECT p_partkey AS k, p_retailprice AS v, p_size AS changed FROM part), n AS (SELECT p_partkey AS k, p_retailprice * 2 AS v, p_size + (p_partkey % 3 - 1) AS changed FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey + 1000000, p_retailprice, 1 FROM part WHERE p_partkey % 50 = 0)
-    SELECT k, v, changed FROM (SELECT *, 0 AS new FROM o UNION ALL SELECT *, 1 FROM n) QUALIFY row_number() OVER (PARTITION BY k ORDER BY changed DESC, new DESC) = 1""",
+    SELECT k, v, changed FROM (SELECT *, 0 AS new FROM o UNION ALL SELECT *, 1 FROM n) QUALIFY row_number() OVER (PARTITION BY k ORDER BY changed DESC, new DESC, v DESC) = 1""",
 )
 def keyed_upsert(spark, sf_dir):
     part, k = table(spark, sf_dir, "part"), F.col("p_partkey")

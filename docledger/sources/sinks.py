@@ -26,9 +26,9 @@ def replace_table(df: DataFrame, folder: str) -> str:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows of both, the latest by ``order`` for each key; on a tie the new one."""
+    """Rows of both, the latest by ``order`` for each key; on a tie the new one, among several new ones that with the largest values."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    latest = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc("_new"))
+    latest = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc("_new"), *(F.desc(c) for c in old.columns if c not in (*keys, order)))
     return both.withColumn("_r", F.row_number().over(latest)).filter("_r = 1").drop("_r", "_new")
 
 

@@ -60,6 +60,13 @@ def test_listing_and_items(spark, tmp_path):
     assert [(r["cx"], r["cy"]) for r in files.items(spark, str(tmp_path / "t")).collect()] == [(3.0, 5.0)]
 
 
+def test_upsert_ties_of_new_rows(spark):
+    old = spark.createDataFrame([(1, 1.0, 3)], "k long, v double, at long")
+    for rows in ([(1, 5.0, 7), (1, 9.0, 7)], [(1, 9.0, 7), (1, 5.0, 7)]):
+        new = spark.createDataFrame(rows, "k long, v double, at long").coalesce(1)
+        assert [tuple(r) for r in sinks.upsert(old, new, ["k"], "at").collect()] == [(1, 9.0, 7)]
+
+
 def test_upsert_and_markdown(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, at int")
     new = spark.createDataFrame([(1, "c", 1), (3, "d", 2)], "k int, v string, at int")
