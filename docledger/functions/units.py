@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docledger.functions.text import bind
+
 # Unit, dimension, factor to the base unit (g, ml, unit).
 UNITS = (
     ("g", "mass", 1.0), ("gram", "mass", 1.0), ("grams", "mass", 1.0), ("kg", "mass", 1000.0),
@@ -61,8 +63,12 @@ PACK_ORDER, SINGLE_ORDER = ("litre", "ml", "kg", "g"), ("kg", "g", "litre", "ml"
 
 def pack_measure(x: Column) -> Column:
     """qty and unit (KG or LTR) of the pack that a description names; null without one. Sizes such as 16/20 kg are grades."""
-    number = r"\b(\d+(?:[.,]\d+)?)\s*"
     text = F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\b\d+\s*/\s*\d+\s*kg\b", "")
+    return bind(text, _measured)
+
+
+def _measured(text: Column) -> Column:
+    number = r"\b(\d+(?:[.,]\d+)?)\s*"
     value = lambda pattern, group: F.replace(F.regexp_extract(text, pattern, group), F.lit(","), F.lit(".")).cast("double")
     rules = []
     for name in PACK_ORDER:
@@ -76,4 +82,4 @@ def pack_measure(x: Column) -> Column:
     out = F.lit(None).cast("struct<qty:double,unit:string>")
     for hit, qty, unit in reversed(rules):
         out = F.when(hit, F.struct(qty.alias("qty"), F.lit(unit).alias("unit"))).otherwise(out)
-    return out
+    return F.when(text.rlike(r"\d\s*(?:x|kg|g|ml|l|it)"), out)  # few texts have a number before a measure or an x

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docledger.functions import money, names, units
-from docledger.functions.text import clean_cell, row_role
+from docledger.functions.text import bind, clean_cell, row_role
 from docledger.functions.validate import cents
 from docledger.plans.catalog import register
-from docledger.plans.tables import stored, table
+from docledger.plans.tables import once, stored, table
 
 #: Words of a line at least, and numbers at its end at least; with more numbers there is one between price and tax.
 LEAST_WORDS, LEAST_NUMBERS = 6, 4
@@ -33,10 +33,13 @@ def round_to(x: Column, places: int) -> Column:
 
 
 def name_unit(name: Column) -> Column:
-    out = F.lit("EACH")
-    for pattern, unit in reversed(NAME_UNITS):
-        out = F.when(F.upper(name).rlike(pattern), unit).otherwise(out)
-    return out
+    def unit_of(text: Column) -> Column:
+        out = F.lit("EACH")
+        for pattern, unit in reversed(NAME_UNITS):
+            out = F.when(text.rlike(pattern), unit).otherwise(out)
+        return out
+
+    return bind(F.upper(name), unit_of)
 
 
 def tail_lines(lines: DataFrame, text: str = "text") -> DataFrame:
@@ -49,15 +52,16 @@ def tail_lines(lines: DataFrame, text: str = "text") -> DataFrame:
     is_number = lambda t: t.rlike(r"^R?\d+(?:[.,]\d+)?$")
     step = lambda a, t: F.struct((a["n"] + (a["on"] & is_number(t)).cast("int")).alias("n"), (a["on"] & is_number(t)).alias("on"))
     run = F.aggregate(F.reverse("_words"), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), step)["n"]
-    split = lines.withColumn("_words", F.split(names.bare_text(F.col(text)), " ")).withColumn("_run", run)
-    split = split.filter((F.size("_words") >= LEAST_WORDS) & (F.col("_run") >= LEAST_NUMBERS))
+    split = once(once(lines, _words=F.split(names.bare_text(F.col(text)), " ")).filter(F.size("_words") >= LEAST_WORDS), _run=run)
+    split = split.filter(F.col("_run") >= LEAST_NUMBERS)
     more = (F.col("_run") > LEAST_NUMBERS).cast("int")
     value = lambda back: F.regexp_replace(F.regexp_replace(F.try_element_at("_words", -F.lit(back)), "^R", ""), ",", ".").try_cast("double")
-    read = split.withColumns({"_q": value(4 + more), "_p": value(3 + more), "_v": value(2), "_t": value(1)})
+    read = once(split, _q=value(4 + more), _p=value(3 + more), _v=value(2), _t=value(1))
     q, p, t = F.col("_q"), F.col("_p"), F.col("_t")
     computes = (t == 0) | (F.abs(cents(q * p) - t) <= F.greatest(F.lit(0.2), F.abs(t) * 0.04))
     sound = read.filter((q != 0) & (p != 0) & computes).withColumn("_raw", F.array_join(F.slice("_words", F.lit(1), F.size("_words") - F.col("_run")), " "))
-    named = sound.withColumns({"name": names.item_name(F.col("_raw")), "_pack": units.pack_measure(F.col("_raw"))}).filter("name <> ''")
+    named = once(sound, name=names.item_name(F.col("_raw"))).filter("name <> ''")
+    named = once(named, _pack=units.pack_measure(F.col("_raw")))
     size = F.coalesce("_pack.qty", F.lit(1.0))
     whole = named.withColumns(
         {

@@ -72,3 +72,9 @@ def test_blocks_side_by_side_and_one_below_the_other(spark):
         ("lost", "LOST", 0.0, 28, "Rice", 1.0, "g"),
     ]
     assert sheets.costing_sheets(spark.createDataFrame([], "page long, row long, cells array<string>")).collect() == []
+
+
+def test_tail_lines_compute_each_column_once(spark):
+    found = lines.tail_lines(spark.createDataFrame([("Rice 2 x 5 kg 3 R10 1,5 30",)], "text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("reverse(") == 1
