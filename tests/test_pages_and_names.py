@@ -213,3 +213,12 @@ def test_fuzzy_dedupe_equals_a_loop(spark, monkeypatch, small):
     got = Counter((r["doc"], r["slot"], r["pos"], r["rows"]) for r in dedupe.deduped(table).collect())
     assert got == plain_dedupe(given)
     assert dedupe.deduped(table.limit(0)).collect() == []
+
+
+def test_sections_and_headers_shuffle_items_once(spark):
+    rows = [(p, i, 10.0 * i, 30.0 * p, 5.0, 5.0, t) for p in (1, 2) for i, t in enumerate(("Description", "Qty", "Total"))]
+    items = spark.createDataFrame(rows, ITEMS).repartition("page")
+    found = regions.sections(items)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    heads = regions.header_regions(items, found.select("page", "start_x", "end_x", "start_y", "end_y"))
+    assert {(r["page"], r["items"], r["indicators"]) for r in heads.collect()} == {(1, 3, 3), (2, 3, 3)}
