@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docledger.functions.text import normalize_key
+from docledger.functions.validate import with_triples
 from docledger.operators.validation import LINES_SQL, checked_lines
 from docledger.plans.catalog import register
 from docledger.plans.tables import table
@@ -158,20 +157,8 @@ def positional_zip(spark, sf_dir):
 
 def _triples(spark, sf_dir, lenient: bool):
     """Best triple (quantity, price, total) of the cells of each line: four cells, so 24 triples, as plain expressions."""
-    fields = ("quantity", "unit_price", "line_total", "vat")
-    cell = {k: F.col(c) for k, c in enumerate(fields, 1)}
-    cents = lambda x: F.floor(x * 100 + 0.5) / 100
-
-    def scored(q: int, p: int, t: int):
-        present = (cell[q] > 0) & (cell[p] > 0) & (cell[t] > 0)
-        off = F.abs(cents(cell[t] - cents(cell[q] * cell[p])))
-        bad = off > F.greatest(F.lit(0.05), cell[t] * 0.02)
-        score = off + 2.0 * ((q > p) + (p > t)) + (F.when(bad, 1000.0).otherwise(0.0) if lenient else F.lit(0.0))
-        entry = F.struct(score.alias("score"), F.lit(q).alias("q"), F.lit(p).alias("p"), F.lit(t).alias("t"))
-        return F.when(present if lenient else present & ~bad, entry)
-
-    every = F.array(*(scored(*some) for some in permutations(cell, 3)))
-    return checked_lines(spark, sf_dir).select(F.array_min(every).alias("best"))
+    cells = [F.col(c) for c in ("quantity", "unit_price", "line_total", "vat")]
+    return with_triples(checked_lines(spark, sf_dir), cells, "best", lenient, 1).select("best")
 
 
 def _triples_sql(lenient: bool) -> str:
