@@ -11,8 +11,7 @@ def parse_money(x: Column) -> Column:
 
     Blank and dash cells give null, as does anything without a number. ``1,234.56`` is 1234.56, but ``1,234`` is 1.234.
     """
-    bare = F.regexp_replace(F.regexp_replace(F.lower(x), "zar|r", ""), r"\s", "")
-    digits = F.regexp_replace(F.regexp_replace(bare, ",", "."), r"[^0-9.\-]", "")
+    digits = F.translate(F.regexp_replace(x, "[^0-9.,-]+", ""), ",", ".")
     return _to_double(F.regexp_replace(digits, r"\.(?=.*\.)", ""))
 
 

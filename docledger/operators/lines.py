@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docledger.functions import money, names, units
-from docledger.functions.text import bind, clean_cell, row_role
-from docledger.functions.validate import cents
+from docledger.functions import names, units
+from docledger.functions.text import bind, with_role
+from docledger.functions.validate import cents, with_triples
 from docledger.plans.catalog import register
 from docledger.plans.tables import once, stored, table
 
@@ -80,6 +80,13 @@ def stock_lines(lines: DataFrame, text: str = "text") -> DataFrame:
     return tail_lines(lines.filter(F.col(text).rlike(STOCK_CODE)), text)
 
 
+def line_numbers(text: Column) -> Column:
+    """Values of the numbers of a cleaned line, as parse_money reads each; all are read in one text, a line for each."""
+    found = F.regexp_replace(F.array_join(F.regexp_extract_all(text, F.lit(LINE_NUMBER), F.lit(0)), "\n"), r"[^0-9.,\n-]+", "")
+    digits = F.regexp_replace(F.translate(found, ",", "."), r"\.(?=[^\n]*\.)", "")
+    return F.when(digits == "", F.array().cast("array<double>")).otherwise(F.split(digits, "\n").cast("array<double>"))
+
+
 def best_roles(values: Column) -> Column:
     """q, p and t: places of the numbers whose product computes best; null where none does, within 0.05 or 2 %.
 
@@ -110,17 +117,19 @@ def plain_rows(lines: DataFrame) -> DataFrame:
     before_table, footer, or not_enough_line_values where description or computing numbers are missing. A header that opens
     the table is no row. An r right before a number counts as its currency, even where it ends the description. Where a table opens and ends are minima by page: no page is sorted.
     """
-    text = clean_cell(F.col("line"))
-    told = lines.select("page", "idx", text.alias("text"), row_role(F.col("line")).alias("role"))
+    told = with_role(lines, F.col("line")).select("page", "idx", "text", "role")
     told = stored(told.withColumn("stop", (F.col("role") == "line_item") & F.lower("text").rlike(STOP_WORDS)), "line-roles")
     opens = told.filter(F.col("role").isin("header", "line_item")).groupBy("page").agg(F.min("idx").alias("open"))
     ends = told.filter(F.col("role").isin(*CLOSERS) | F.col("stop")).join(opens, "page").filter(F.col("idx") >= F.col("open"))
     closes = ends.groupBy("page").agg(F.min("idx").alias("close"))
     seen = told.join(opens, "page", "left").join(closes, "page", "left").filter("close is null or idx <= close")
     before = F.col("open").isNull() | (F.col("idx") < F.col("open"))
-    numbers = F.transform(F.regexp_extract_all("text", F.lit(LINE_NUMBER), F.lit(0)), money.parse_money)
-    read = seen.filter(~(F.col("role") == "header") | ~(F.col("idx") == F.coalesce("open", F.lit(-1)))).withColumn("values", F.when((F.col("role") == "line_item") & ~F.col("stop"), numbers))
-    rows = stored(read.withColumn("r", best_roles(F.col("values"))), "line-numbers")
+    read = seen.filter(~(F.col("role") == "header") | ~(F.col("idx") == F.coalesce("open", F.lit(-1))))
+    read = once(read, values=F.when((F.col("role") == "line_item") & ~F.col("stop"), line_numbers(F.col("text"))))
+    # three numbers, as most lines have, in compiled code
+    three = with_triples(read, [F.when(F.size("values") == 3, F.get("values", F.lit(i))) for i in range(3)], "_three")
+    best = F.when(F.size("values") == 3, F.col("_three")).otherwise(best_roles(F.col("values")))
+    rows = stored(three.withColumn("r", best).drop("_three"), "line-numbers")
     description = F.regexp_replace(F.regexp_extract("text", r"(?i)^(.*?)(?:R|ZAR)?\s*-?\d", 1), "^[ ,-]+|[ ,-]+$", "")
     status = (
         F.when(F.col("text") == "", "empty")

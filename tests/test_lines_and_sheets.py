@@ -78,3 +78,18 @@ def test_tail_lines_compute_each_column_once(spark):
     found = lines.tail_lines(spark.createDataFrame([("Rice 2 x 5 kg 3 R10 1,5 30",)], "text string"))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and plan.count("reverse(") == 1
+
+
+def test_numbers_and_triples_in_compiled_code(spark):
+    from docledger.functions import text, validate
+    from docledger.operators.lines import best_roles, line_numbers
+
+    lines = spark.createDataFrame([("rice 2 R3.50 R7",), ("R 1,234.50 zar -2 3,5",), ("none",), ("1 234 567 89,5.1",), ("",)], "t string")
+    read = lines.select(line_numbers(F.col("t")).alias("v"), text.number_count(F.col("t")).alias("n"), *(text.has_numbers(F.col("t"), k).alias(f"k{k}") for k in (1, 2, 3))).collect()
+    assert [r["v"] for r in read] == [[2.0, 3.5, 7.0], [1234.5, -2.0, 3.5], [], [1234567.0, 89.5, 1.0], []]
+    assert all(r[f"k{k}"] == (r["n"] >= k) for r in read for k in (1, 2, 3))
+    cells = spark.createDataFrame([(2.0, 3.5, 7.0), (7.0, 2.0, 3.5), (1.0, 1.0, 1.0), (2.0, None, 7.0), (0.0, 1.0, 1.0), (3.0, 5.0, 15.2), (3.0, 5.0, 16.0)], "a double, b double, c double")
+    found = validate.with_triples(cells, [F.col(x) for x in "abc"], "r").select("r", best_roles(F.array("a", "b", "c")).alias("slow")).collect()
+    assert [r["r"] for r in found] == [r["slow"] for r in found]
+    told = validate.with_triples(cells, [F.col(x) for x in "abc"], "r", True, 1).select("r").collect()
+    assert [r["r"] and (r["r"]["q"], r["r"]["p"], r["r"]["t"], round(r["r"]["score"], 2)) for r in told][-3:] == [None, (1, 2, 3, 0.2), (1, 2, 3, 1001.0)]
