@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docledger.functions.folds import first_fit_clusters, mean_clusters
-from docledger.functions.text import clean_cell, row_role, sql_row_role
+from docledger.functions.text import clean_cell, sql_row_role, with_role
 from docledger.plans.catalog import register
 from docledger.plans.tables import table
 
@@ -226,4 +226,4 @@ def look_around(spark, sf_dir):
     f"WITH {TEXT_LINES_SQL} SELECT role, count(*) AS n FROM (SELECT {sql_row_role('line')} AS role FROM text_lines) GROUP BY role",
 )
 def row_role_counts(spark, sf_dir):
-    return text_lines(spark, sf_dir).groupBy(row_role(F.col("line")).alias("role")).agg(F.count("*").alias("n"))
+    return with_role(text_lines(spark, sf_dir), F.col("line")).groupBy("role").agg(F.count("*").alias("n"))
