@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docledger.functions import money, units
-from docledger.functions.text import clean_cell, header_key, row_role
+from docledger.functions.text import clean_cell, header_key, may_name_three, with_role
 from docledger.functions.validate import validation_status
 from docledger.operators.validation import LINES_SQL, checked_lines
 from docledger.operators.windows import TEXT_LINES_SQL, text_lines
 from docledger.plans.catalog import register
-from docledger.plans.tables import table
+from docledger.plans.tables import once, table
 
 
 def read_grids(grids: DataFrame) -> DataFrame:
@@ -21,16 +21,16 @@ def read_grids(grids: DataFrame) -> DataFrame:
     grids: doc_id, row_idx, cells. The header is the earliest of the rows with the most known fields, three at least;
     rows count until the first that ends the table; blank rows do not count. Cells are read by the header's columns.
     """
-    known = F.array_distinct(F.filter(F.transform("cells", header_key), lambda k: k.isNotNull()))
-    scored = grids.filter(F.exists("cells", lambda c: clean_cell(c) != "")).withColumn("hits", F.size(known))
-    header = scored.filter("hits >= 3").groupBy("doc_id").agg(
-        F.max(F.struct("hits", (-F.col("row_idx")).alias("up"), F.transform("cells", header_key).alias("fields"))).alias("h")
-    )
-    below = scored.join(header, "doc_id").filter("row_idx > -h.up")
-    role = row_role(F.concat_ws(" ", "cells"))
-    ends = role.isin("subtotal", "vat", "payment", "footer", "banking").cast("int")
+    filled = grids.filter(F.array_join("cells", "").rlike(r"[^\s]"))
+    bare = F.regexp_replace(F.lower(F.array_join("cells", "")), "[^a-z0-9]+", "")
+    fields = once(filled.filter(may_name_three(bare)), fields=F.transform("cells", header_key))
+    known = once(fields, hits=F.size(F.array_distinct(F.filter("fields", lambda k: k.isNotNull())))).filter("hits >= 3")
+    header = known.groupBy("doc_id").agg(F.max(F.struct("hits", (-F.col("row_idx")).alias("up"), "fields")).alias("h"))
+    below = filled.join(header, "doc_id").filter("row_idx > -h.up")
+    told = with_role(below, F.concat_ws(" ", "cells"), "_text")
+    ends = F.col("role").isin("subtotal", "vat", "payment", "footer", "banking").cast("int")
     open_rows = Window.partitionBy("doc_id").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
-    body = below.withColumn("role", role).withColumn("ended", F.max(ends).over(open_rows)).filter("ended = 0")
+    body = told.withColumn("ended", F.max(ends).over(open_rows)).filter("ended = 0")
 
     def cell(field: str):
         at = F.array_position("h.fields", F.lit(field)).cast("int")
