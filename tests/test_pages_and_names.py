@@ -222,3 +222,23 @@ def test_sections_and_headers_shuffle_items_once(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     heads = regions.header_regions(items, found.select("page", "start_x", "end_x", "start_y", "end_y"))
     assert {(r["page"], r["items"], r["indicators"]) for r in heads.collect()} == {(1, 3, 3), (2, 3, 3)}
+
+
+def test_regions_are_dealt_by_rows(spark, monkeypatch):
+    from docledger.operators import regions
+
+    monkeypatch.setattr(regions, "TASK_ROWS", 10)
+    assert [regions.dealt(spark.range(n), "id").rdd.getNumPartitions() for n in (0, 10, 95)] == [1, 1, 10]
+
+
+def test_rows_compute_with_new_values_only():
+    from docledger.operators.rows import computes
+
+    lists = [[2.0, 3.5, 7.0], [2.0], [7.0, 2.0, 3.5], [1.0], [3.0, 3.0], [None, -1.0, 2.0, 4.0], [2.0, 5.0, 11.0], []]
+    slow = lambda v: any(abs(round(t - q * p, 2)) <= max(0.05, t * 0.02) for q in v for p in v for t in v)
+    for values in lists:
+        plain = [v for v in values if v is not None and v > 0]
+        assert computes(values) == slow(plain)
+        for at in range(len(values)):
+            before = [v for v in values[:at] if v is not None and v > 0]
+            assert (slow(before) or computes(values, at)) == slow(plain)
