@@ -36,15 +36,11 @@ def read_grids(grids: DataFrame) -> DataFrame:
         at = F.array_position("h.fields", F.lit(field)).cast("int")
         return F.when(at > 0, F.get(F.col("cells"), at - 1))
 
-    return body.select(
-        "doc_id",
-        "row_idx",
-        clean_cell(cell("description")).alias("description"),
-        money.parse_money(cell("quantity")).alias("quantity"),
-        money.parse_money(cell("unit_price")).alias("unit_price"),
-        money.parse_money(cell("total")).alias("line_total"),
-        "role",
-    )
+    # steps of their own: what aggregates them does not compile their expressions into one method, too long for the JVM
+    placed = once(body, _d=cell("description"), _q=cell("quantity"), _p=cell("unit_price"), _t=cell("total"))
+    read = once(placed, description=clean_cell(F.col("_d")), quantity=money.parse_money(F.col("_q")))
+    read = once(read, unit_price=money.parse_money(F.col("_p")), line_total=money.parse_money(F.col("_t")))
+    return read.select("doc_id", "row_idx", "description", "quantity", "unit_price", "line_total", "role")
 
 
 _ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "quantity", "line_total")
@@ -60,8 +56,8 @@ def grid_extraction(spark, sf_dir):
     """Orders written as grids - a title, a header in one of two column orders, lines, a blank row, a subtotal - and read back."""
     lines = checked_lines(spark, sf_dir)
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER))
-    amount = lambda c: F.coalesce(F.format_string("R %.2f", F.col(c)), F.lit(""))
-    row = [F.concat(F.lit("Part "), F.col("l_partkey").cast("string")), F.format_string("%.0f", "quantity"), amount("unit_price"), amount("line_total")]
+    amount = lambda c: F.coalesce(F.concat(F.lit("R "), F.col(c).cast("decimal(18,2)").cast("string")), F.lit("R null"))
+    row = [F.concat(F.lit("Part "), F.col("l_partkey").cast("string")), F.col("quantity").cast("decimal(18,0)").cast("string"), amount("unit_price"), amount("line_total")]
     swap = F.col("l_orderkey") % 2 == 0
     head = ["Item Description", "Qty", "Unit Price", "Line Total"]
 
@@ -86,7 +82,7 @@ def grid_extraction(spark, sf_dir):
     ).select("doc_id", "r.row_idx", "r.cells")
     read = read_grids(body.unionByName(extra))
     status = validation_status(F.col("quantity"), F.col("unit_price"), F.col("line_total"))
-    return read.withColumn("status", status).groupBy("doc_id").agg(
+    return once(read, status=status).groupBy("doc_id").agg(
         F.count("*").alias("rows"),
         F.count_if(F.col("status") == "ok").alias("validated"),
         F.count_if(F.col("status") == "missing").alias("discarded"),
@@ -108,7 +104,7 @@ def read_items(items: DataFrame, reach: float = 12.0) -> DataFrame:
     gap = F.coalesce(F.col("cy") - F.lag("cy").over(order) > reach, F.lit(False)).cast("int")
     banded = items.withColumn("_g", gap).withColumn("band", F.sum("_g").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     near = F.array_min(F.array(*(F.struct(F.abs(F.col("cx") - x).alias("d"), F.lit(f).alias("field")) for f, x in COLUMNS)))
-    placed = banded.withColumn("near", near)
+    placed = once(banded, near=near)
     pick = lambda f: F.min_by(F.when(F.col("near.field") == f, F.col("text")), F.when(F.col("near.field") == f, F.struct("near.d", "item_idx")))
     return placed.groupBy("doc_id", "band").agg(*(pick(f).alias(f) for f, _ in COLUMNS))
 
@@ -127,19 +123,19 @@ def positioned_extraction(spark, sf_dir):
         *(
             F.struct(
                 (F.col("n") * 4 + k).alias("item_idx"),
-                F.format_string("%.2f", F.col(f)).alias("text"),
+                F.col(f).cast("decimal(18,2)").cast("string").alias("text"),
                 (F.lit(x) + (F.col("l_partkey") % 21) - 10).alias("cx"),
                 (F.col("n") * 30.0 + (F.col("l_partkey") + k) % 5).alias("cy"),
             )
             for k, (f, x) in enumerate(COLUMNS)
         )
     )
-    items = lines.select(F.col("l_orderkey").alias("doc_id"), F.explode(F.filter(cells, lambda c: c["text"] != "null")).alias("i")).select("doc_id", "i.*")
-    got = read_items(items).select("doc_id", *(money.parse_money(F.col(f)).alias(f) for f, _ in COLUMNS))
-    status = validation_status(F.col("quantity"), F.col("unit_price"), F.col("line_total"))
+    items = lines.select(F.col("l_orderkey").alias("doc_id"), F.explode(cells).alias("i")).select("doc_id", "i.*").filter("text is not null")
+    got = once(read_items(items), **{f"_{f}": money.parse_money(F.col(f)) for f, _ in COLUMNS})
+    got = once(got, status=validation_status(F.col("_quantity"), F.col("_unit_price"), F.col("_line_total"))).withColumn("unit_price", F.col("_unit_price"))
     return got.groupBy("doc_id").agg(
         F.count("*").alias("rows"),
-        F.count_if(status == "ok").alias("validated"),
+        F.count_if(F.col("status") == "ok").alias("validated"),
         (F.floor(F.sum(F.coalesce("unit_price", F.lit(0.0))) * 100 + 0.5) / 100).alias("prices"),
     )
 

@@ -57,3 +57,15 @@ def test_clusters(spark):
     assert by_mean == [2, 2]
     jumbled = spark.range(1).select(first_fit_clusters(F.array(*map(F.lit, (0.0, 100.0, 5.0))), 20.0)["n"]).first()[0]
     assert jumbled == [2, 1]
+
+
+def test_words_are_met_as_bounded(spark):
+    from docledger.functions import rowtypes, text
+
+    rows = ["", "bank", "banks", "my bank.", "xbank", "acc  no 5", "page 1 of 2", "item 00000000001 0.00", "0", "éitem", "terms\n", "on way-bill", "vat,tax 5%", "a_total", "total"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    words = [text.BANKING, text.CLOSING, text.PAYMENT, text.SUBTOTAL, text.TAX, text.CONTACT, rowtypes.FOOTER, rowtypes.PRODUCT, ("0000000000[0-9]+",), (rowtypes.NUMBER,), ("0\\.00", "0")]
+    both = df.select(*(F.col("t").rlike(make(*w)) for w in words for make in (text.bounded, text.met))).collect()
+    assert all(r[i] == r[i + 1] for r in both for i in range(0, len(r), 2))
+    roles = text.with_role(df, F.col("t"), "x").select(text.row_role(F.col("t")).alias("a"), F.col("role").alias("b")).collect()
+    assert [r["a"] for r in roles] == [r["b"] for r in roles]
