@@ -12,6 +12,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,11 +33,26 @@ CLOSING = (
 _LINE = ("page", "y", "line")
 
 
-def computes(values: list[float]) -> bool:
-    """Whether one of the positive values times another is a third, within 0.05 or 2 %; a value may serve twice."""
-    cents = lambda x: math.floor(x * 100 + 0.5) / 100
+def _cents(x: float) -> float:
+    return math.floor(x * 100 + 0.5) / 100
+
+
+def computes(values: list[float], new: int = 0) -> bool:
+    """Whether one of the positive values times another is a third, within 0.05 or 2 %; a value may serve twice.
+
+    Of these three one at least stands at ``new`` or behind it: those before were looked at already.
+    """
     some = [v for v in values if v is not None and v > 0]
-    return any(abs(cents(t - cents(q * p))) <= max(0.05, t * 0.02) for q in some for p in some for t in some)
+    late = [v for v in values[new:] if v is not None and v > 0] if new else some
+    if not late:
+        return False
+    for i, q in enumerate(some):
+        for p in some[i:]:  # products are the same both ways
+            product = _cents(q * p)
+            for t in some if q in late or p in late else late:
+                if abs(_cents(t - product)) <= max(0.05, t * 0.02):
+                    return True
+    return False
 
 
 def segments(lines: DataFrame) -> DataFrame:
@@ -55,20 +71,22 @@ def segments(lines: DataFrame) -> DataFrame:
     placed = cut.withColumn("_nth", F.sum(F.col("_opens").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     placed = stored(placed.drop("_before", "_opens"), "page-segments")
     parts = placed.groupBy("part").agg(F.max("_nth").alias("n"))
-    last = F.last(F.when(F.col("n") > 0, F.struct("part", "n")), ignorenulls=True)
+    last = F.last(F.when(F.col("n") > 0, F.shiftleft(F.col("part").cast("long"), 40) + F.col("n")), ignorenulls=True)
     opened = parts.select("part", last.over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
     known = placed.join(F.broadcast(opened), "part")  # one row a range, so no more than there are tasks
-    own = F.struct("part", F.col("_nth").alias("n"))
+    own = F.shiftleft(F.col("part").cast("long"), 40) + F.col("_nth")  # one number, which is dealt, sorted and read with less work
     return known.withColumn("segment", F.when(F.col("_nth") > 0, own).otherwise(F.col("_open"))).drop("_nth", "_open", "part")
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     page = segment = row = None
-    y, desc, nums, described, values = 0.0, False, False, False, []
+    y, desc, nums, described, values, sums = 0.0, False, False, False, [], False
     for batch in batches:
-        out: list[tuple] = []
-        names = ("segment", "page", "line", "y", "has_desc", "has_nums", "described", "values", "reach", "tight")
-        for s, p, line, at, d, n, told, own, reach, tight in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+        rows, rules, complete = [], [], []
+        names = ("segment", "page", "line", "y", "has_desc", "has_nums", "described", "reach", "tight")
+        numbers = batch.column("values")
+        flat, sizes, start = numbers.flatten().to_pylist(), pc.fill_null(pc.list_value_length(numbers), 0).to_pylist(), 0
+        for s, p, line, at, d, n, told, reach, tight, size in zip(*(batch.column(c).to_pylist() for c in names), sizes, strict=True):
             gap, rule = at - y, None
             if row is not None and s == segment and p == page and gap <= reach:
                 if not desc:
@@ -77,16 +95,21 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rule = "numbers_follow"
                 elif not n:
                     rule = "text_follows"
-                elif gap <= tight and not (described and computes(values)):
+                elif gap <= tight and not (described and sums):
                     rule = "incomplete"
             if rule is None:
-                row, desc, nums, described, values = line, False, False, False, []
+                row, desc, nums, described, values, sums = line, False, False, False, [], False
             segment, page, y, desc, nums, described = s, p, at, desc or d, nums or n, described or told
-            values.extend(own or [])
-            out.append((row, rule or "opens", described and computes(values)))
-        columns = [list(c) for c in zip(*out, strict=True)] or [[], [], []]
+            if size:
+                before = len(values)
+                values.extend(flat[start : start + size])
+                start += size
+                sums = sums or computes(values, before)  # more values never undo it
+            rows.append(row)
+            rules.append(rule or "opens")
+            complete.append(described and sums)
         kept = [batch.column(c) for c in ("page", "line", "y", "text", "has_desc", "has_nums")]
-        more = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.bool_())]
+        more = [pa.array(rows, pa.int64()), pa.array(rules, pa.string()), pa.array(complete, pa.bool_())]
         yield pa.RecordBatch.from_arrays([*kept, *more], names=["page", "line", "y", "text", "has_desc", "has_nums", "row", "rule", "complete"])
 
 
