@@ -48,9 +48,10 @@ def computes(values: list[float], new: int = 0) -> bool:
         return False
     for i, q in enumerate(some):
         for p in some[i:]:  # products are the same both ways
-            product = _cents(q * p)
+            product = q * p
+            far = 0.1 + product * 1e-9  # more than rounding to cents can change
             for t in some if q in late or p in late else late:
-                if abs(_cents(t - product)) <= max(0.05, t * 0.02):
+                if -far <= t * 1.02 - product and t * 0.98 - product <= far and abs(_cents(t - _cents(product))) <= max(0.05, t * 0.02):
                     return True
     return False
 
