@@ -61,50 +61,85 @@ def _is(v: Column, pattern: str) -> Column:
     return F.coalesce(F.schema_of_variant(v).rlike(pattern), F.lit(False))
 
 
+def _fields_of(v: Column) -> Column:
+    """An object's fields by name, taken out of it in one pass; null for all else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _list_of(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
 def text_of(v: Column) -> Column:
     """Texts as they are, numbers and truth values as JSON writes them; null for all else."""
-    return F.when(~_is(v, "^(OBJECT|ARRAY|VOID)"), F.try_variant_get(v, "$", "string"))
+    return _bind(v, lambda x: F.when(~_is(x, "^(OBJECT|ARRAY|VOID)"), F.try_variant_get(x, "$", "string")))
 
 
 def number_of(v: Column) -> Column:
     """Numbers, and texts that are numbers; null for all else."""
-    return F.when(_is(v, _NUMBER), F.try_variant_get(v, "$", "double")).when(_is(v, _TEXT), F.trim(F.try_variant_get(v, "$", "string")).try_cast("double"))
+    return _bind(v, lambda x: F.when(_is(x, _NUMBER), F.try_variant_get(x, "$", "double")).when(_is(x, _TEXT), F.trim(F.try_variant_get(x, "$", "string")).try_cast("double")))
 
 
 def object_of(v: Column) -> Column:
-    return F.when(_is(v, "^OBJECT"), F.to_json(v))
+    return _bind(v, lambda x: F.when(_is(x, "^OBJECT"), F.to_json(x)))
 
 
 _READ = {"string": (text_of, _TEXT), "number": (number_of, _NUMBER), "object": (object_of, "^OBJECT")}
 
 
-def _row(v: Column, wanted: dict, path: Column, needed: tuple[str, ...] = ()) -> tuple[Column, Column]:
-    """The struct of an object's fields, and what is wrong with it, in the order of the fields."""
-    values, errors = [], []
+def _field(got: Column, kind: str, needed: bool) -> Column:
+    """value, wrong: what a field holds as its kind, and whether it is missing or mistyped (null for neither)."""
+    read, pattern = _READ[kind]
+
+    def told(both: Column) -> Column:
+        x, shape = both["x"], both["shape"]
+        fits = shape.rlike(pattern)
+        is_sound = fits if needed else fits | (shape == "VOID")
+        return F.struct(
+            # a number in a number's place, the most frequent case, needs no second look at its type
+            F.when(fits, F.try_variant_get(x, "$", "double" if kind == "number" else "string")).otherwise(read(x)).alias("value")
+            if kind != "object"
+            else F.when(fits, F.to_json(x)).alias("value"),
+            F.when(x.isNull(), "missing").when(~is_sound, "mistyped").alias("wrong"),
+        )
+
+    return _bind(_bind(got, lambda x: F.struct(x.alias("x"), F.schema_of_variant(x).alias("shape"))), told)
+
+
+def _row(fields_of: Column, wanted: dict, path: Column, needed: tuple[str, ...] = ()) -> Column:
+    """value, errors: the struct of an object's fields, and what is wrong with it, in the order of the fields. Each field is read once."""
+    step = {}
     for name, kind in wanted.items():
-        got = _part(v, name)
-        told = lambda what, n=name: F.concat(path, F.lit(f"{n}: {what}"))
-        empty = F.schema_of_variant(got) == "VOID"
-        if isinstance(kind, list):
-            parts = F.when(_is(got, "^ARRAY"), F.try_variant_get(got, "$", "array<variant>"))
-            both = F.coalesce(_items(parts, kind[0], F.concat(path, F.lit(name))), F.array().cast(_item_type(kind[0])))
-            values.append(F.transform(both, lambda b: b["value"]).alias(name))
-            errors.append(F.when(got.isNull(), F.array(told("missing"))).when(~_is(got, "^ARRAY"), F.array(told("mistyped"))).otherwise(F.flatten(F.transform(both, lambda b: b["errors"]))))
-        else:
-            read, pattern = _READ[kind]
-            values.append(read(got).alias(name))
-            wrong = ~_is(got, pattern) & (F.lit(name in needed) | ~empty)
-            errors.append(F.when(got.isNull(), F.array(told("missing"))).when(wrong, F.array(told("mistyped"))).otherwise(F.array().cast("array<string>")))
-    more = F.array_sort(F.array_except(F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>")), F.array(*map(F.lit, wanted))))
-    errors.append(F.transform(more, lambda m: F.concat(path, m, F.lit(": unexpected"))))
-    return F.struct(*values), F.concat(*errors)
+        got = F.try_element_at(fields_of, F.lit(name))
+        step[name] = _list(got, kind[0], F.concat(path, F.lit(name))) if isinstance(kind, list) else _field(got, kind, name in needed)
+
+    def put(read: Column) -> Column:
+        errors = []
+        for name, kind in wanted.items():
+            wrong = read[name]["wrong"]
+            own = F.when(wrong.isNotNull(), F.array(F.concat(path, F.lit(f"{name}: "), wrong)))
+            errors.append(own.otherwise(F.flatten(F.transform(read[name]["items"], lambda b: b["errors"])) if isinstance(kind, list) else F.array().cast("array<string>")))
+        more = F.array_sort(F.array_except(F.map_keys(fields_of), F.array(*map(F.lit, wanted))))
+        errors.append(F.transform(more, lambda m: F.concat(path, m, F.lit(": unexpected"))))
+        value = lambda name, kind: F.transform(read[name]["items"], lambda b: b["value"]) if isinstance(kind, list) else read[name]["value"]
+        return F.struct(F.struct(*(value(name, kind).alias(name) for name, kind in wanted.items())).alias("value"), F.concat(*errors).alias("errors"))
+
+    return _bind(F.struct(*(c.alias(name) for name, c in step.items())), put)
+
+
+def _list(got: Column, wanted: dict, path: Column) -> Column:
+    """items, wrong: the rows of a list, and whether it is missing or no list."""
+
+    def told(both: Column) -> Column:
+        items = F.coalesce(_items(both["parts"], wanted, path), F.array().cast(_item_type(wanted)))
+        return F.struct(items.alias("items"), F.when(both["x"].isNull(), "missing").when(both["parts"].isNull(), "mistyped").alias("wrong"))
+
+    return _bind(_bind(got, lambda x: F.struct(x.alias("x"), _list_of(x).alias("parts"))), told)
 
 
 def _item(v: Column, wanted: dict, path: Column) -> Column:
-    value, errors = _row(v, wanted, F.concat(path, F.lit(".")))
-    return F.struct(
-        F.when(_is(v, "^OBJECT"), value).alias("value"), F.when(_is(v, "^OBJECT"), errors).otherwise(F.array(F.concat(path, F.lit(": mistyped")))).alias("errors")
-    )
+    mistyped = F.struct(F.lit(None).alias("value"), F.array(F.concat(path, F.lit(": mistyped"))).alias("errors"))
+    return _bind(_fields_of(v), lambda own: F.when(own.isNotNull(), _row(own, wanted, F.concat(path, F.lit(".")))).otherwise(mistyped))
 
 
 def _items(parts: Column, wanted: dict, path: Column) -> Column:
@@ -125,10 +160,10 @@ def typed(rows: DataFrame, text: str, kind: str, to: str = "document", errors: s
     not know are told as unexpected. Unknown types have the fields of a recipe. One projection, repeated rows stay, and an
     empty table gives an empty one.
     """
-    step = rows.select(F.struct("*").alias("_row"), F.try_parse_json(F.col(text)).alias("_v"))
-    sound = _is(F.col("_v"), "^OBJECT")
-    value, wrong = _row(F.col("_v"), fields(kind), F.lit(""), ("document_type",))
-    return step.select("_row.*", F.when(sound, value).otherwise(F.lit(None)).alias(to), F.when(sound, wrong).otherwise(F.array(F.lit("corrupt"))).alias(errors))
+    step = rows.select(F.struct("*").alias("_row"), _fields_of(F.try_parse_json(F.col(text))).alias("_v"))
+    sound = F.col("_v").isNotNull()
+    read = step.withColumn("_read", F.when(sound, _row(F.col("_v"), fields(kind), F.lit(""), ("document_type",))))
+    return read.select("_row.*", F.col("_read.value").alias(to), F.when(sound, F.col("_read.errors")).otherwise(F.array(F.lit("corrupt"))).alias(errors))
 
 
 def _truth(v: Column) -> Column:

@@ -109,3 +109,14 @@ def test_intake_replayed_and_repeated(spark, tmp_path):
     intake.take_in(folder, memory)(files.filter(F.col("path").rlike("(d|again).txt$")), 1)
     assert documents() == expected and rows(spark.read.parquet(f"{folder}/rows")) == read
     assert rows(intake.envelopes(files, memory(spark))[1]) == read
+
+
+def test_texts_of_one_row_group_are_dealt(spark, monkeypatch):
+    """A file's row group is read by one task; what is made of its rows is not."""
+    from docledger.operators import candidates, typed as queries
+
+    monkeypatch.setattr(queries, "TASK_TEXTS", 400)
+    monkeypatch.setattr(candidates, "TASK_TEXTS", 50)
+    sf_dir = "/root/testdata/sf0.001"
+    assert queries.typed_documents(spark, sf_dir).rdd.getNumPartitions() == 3 * 4
+    assert candidates.described(spark.read.parquet(f"{sf_dir}/part.parquet")).rdd.getNumPartitions() == 4
