@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docledger.functions import candidates, keys, names
 from docledger.functions.candidates import MERGED, NUMERIC
 from docledger.plans.catalog import register
-from docledger.plans.tables import stored, table
+from docledger.plans.tables import spread, stored, table
 
 # Products of which two in one text make it one of several; words that make no ingredient by themselves.
 PRODUCTS = ("crabstick", "crabsticks", "nori", "chicken", "bacon", "mushroom", "tomato", "tomatoes", "dates", "tofu", "salmon", "rice")
@@ -20,6 +20,8 @@ AMBIGUOUS, WEAK = "merged-product or OCR ambiguity", "weak candidate name"
 #: Confidence of a capped candidate at most, of a sure match at least, of a proposal without doubts at least, in hundredths.
 CAP, SURE, DOUBTLESS = 60, 90, 70
 
+#: Descriptions that one task analyses, about.
+TASK_TEXTS = 5_000
 #: Descriptions; {n} is a part's name, {N} the same in capitals, {t} its type, {s} its size, {b} its brand.
 TEXTS = (
     "NOR008 {n} - fresh {t} {s}kg", "{t} - {n}, {b}", "{n} {s} x 250 ml ({s}'s) tin", "WHO - {n} punnet {s}g", "can {n} whole x kg", "BAG",
@@ -119,7 +121,8 @@ def matched(rows: DataFrame, memory: DataFrame, id: str) -> DataFrame:
         F.col(id).alias("_id"), a["key"].alias("key"), a["confidence"].alias("confidence"), a["conflicts"].alias("told"), c["conflicts"].alias("warned"),
         c["code"].alias("code"), c["source"].alias("source"), F.trim(c["name"]).alias("name"),
     )
-    slim = stored(slim, "candidates")
+    # a memory is made from many rows; a filter on its keys must not be worked out for each of these, nor the memory made again
+    slim, memory = stored(slim, "candidates"), stored(memory, "memory")
     named, records = slim.filter("key is not null"), _handles(memory)
     pair = lambda kind, value, rank: F.struct(F.lit(kind).alias("kind"), F.col(value).alias("value"), F.lit(rank).alias("rank"))
     wants = F.array(pair("key", "key", 0), pair("alias", "key", 1), pair("code", "code", 1), pair("description", "source", 1), pair("name", "name", 1))
@@ -165,7 +168,8 @@ def described(part: DataFrame) -> DataFrame:
     text = F.get(F.array(*map(F.lit, TEXTS)), (F.col("p_partkey") % len(TEXTS)).cast("int"))
     for mark, value in (("{n}", F.col("p_name")), ("{N}", F.upper("p_name")), ("{t}", F.lower("p_type")), ("{s}", F.col("p_size").cast("string")), ("{b}", F.col("p_brand"))):
         text = F.replace(text, F.lit(mark), value)
-    return part.select("p_partkey", text.alias("text"))
+    dealt = spread(part.select("p_partkey", "p_name", "p_type", "p_size", "p_brand"), "p_partkey", TASK_TEXTS)
+    return dealt.select("p_partkey", text.alias("text"))
 
 
 def _case(pairs) -> str:
