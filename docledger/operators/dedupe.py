@@ -26,8 +26,9 @@ LEAST, SHARE = 2, 75
 
 
 def name_tokens(raw: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(raw, F.lit(""))), "[^a-z0-9]+", " ")), " ")
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= SHORTEST) & ~w.isin(*IGNORED))))
+    words = F.regexp_replace(F.lower(F.coalesce(raw, F.lit(""))), "[^a-z0-9]+", " ")
+    telling = F.regexp_replace(words, rf"\b(?:[a-z0-9]{{1,{SHORTEST - 1}}}|{'|'.join(IGNORED)})\b", "")
+    return F.sort_array(F.array_distinct(F.array_remove(F.split(telling, " "), "")))
 
 
 def needed(size: Column) -> Column:
@@ -72,44 +73,47 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Folds each component: slots of the rows that stand, found by their words. Emits slot, position and rows taken in."""
-    now, slots = None, []
-    by_word: dict[str, set[int]] = {}
-
-    def closed() -> list[tuple]:
-        return [(now[0], s["slot"], s["pos"], s["rows"]) for s in slots]
+    """Folds each component: slots of the rows that stand, found by their words. Emits slot, position and rows taken in.
 
+    Words that a row shares with each slot are counted as its own are looked up; words are distinct and stand in one text.
+    """
+    now, doc, slots = None, None, []
+    by_word: dict[str, set[int]] = {}
     for batch in batches:
         out: list[tuple] = []
-        names = ("key", "component", "pos", "raw", "vat", "tokens")
-        for key, component, pos, raw, vat, tokens in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+        names = ("key", "component", "doc", "pos", "length", "vat", "words")
+        for key, component, own_doc, pos, length, vat, words in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             if now != (key, component):
-                out += closed() if now else []
-                now, slots, by_word = (key, component), [], {}
-            own, hit = set(tokens), None
-            for i in sorted({i for t in own for i in by_word.get(t, ())}):
-                there = slots[i]["tokens"]
-                if len(own & there) >= max(LEAST, min(len(own), len(there)) * SHARE // 100):
+                out += [(doc, *s[:3]) for s in slots]
+                now, doc, slots, by_word = (key, component), own_doc, [], {}
+            own, shared = words.split(" "), {}
+            for t in own:
+                for i in by_word.get(t, ()):
+                    shared[i] = shared.get(i, 0) + 1
+            size, hit = len(own), len(slots)
+            for i, n in shared.items():
+                if i < hit and n >= LEAST and n >= min(size, len(slots[i][5])) * SHARE // 100:
                     hit = i
-                    break
-            if hit is None:
-                hit = len(slots)
-                slots.append({"slot": pos, "rows": 0, "tokens": set()})
-            s = slots[hit]
-            s["rows"] += 1
-            if s["rows"] == 1 or (vat and not s["vat"]) or len(raw) > s["length"]:
-                for t in s["tokens"]:
+            if hit == len(slots):
+                slots.append([pos, pos, 1, vat, length, own])
+            else:
+                s = slots[hit]
+                s[2] += 1
+                if not (vat and not s[3]) and length <= s[4]:
+                    continue
+                for t in s[5]:
                     by_word[t].discard(hit)
-                s.update(pos=pos, vat=vat, length=len(raw), tokens=own)
-                for t in own:
-                    by_word.setdefault(t, set()).add(hit)
-        yield _table(out)
-    yield _table(closed() if now else [])
+                s[1], s[3], s[4], s[5] = pos, vat, length, own
+            for t in own:
+                by_word.setdefault(t, set()).add(hit)
+        yield _table(out, batch.schema.field("doc").type)
+    if slots:
+        yield _table([(doc, *s[:3]) for s in slots], batch.schema.field("doc").type)
 
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
+def _table(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string())] + [pa.array(c, pa.int64()) for c in columns[1:]], names=["key", "slot", "pos", "rows"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], kind)] + [pa.array(c, pa.int64()) for c in columns[1:]], names=["doc", "slot", "pos", "rows"])
 
 
 def deduped(rows: DataFrame) -> DataFrame:
@@ -126,18 +130,20 @@ def deduped(rows: DataFrame) -> DataFrame:
     keyed = stored(rows.select("doc", "pos", text.alias("raw"), vat.alias("vat"), key.alias("key"), name_tokens(F.col("raw")).alias("tokens")), "name-rows")
     few = keyed.filter(F.size("tokens") < LEAST).groupBy("key", F.lower("raw")).agg(F.min("pos").alias("slot"), F.count("*").alias("rows"), F.min("doc").alias("doc"))
     told = keyed.filter(F.size("tokens") >= LEAST).withColumn("_id", F.xxhash64("key", "tokens"))
-    large = stored(told.groupBy("key").count().filter(F.col("count") > SMALL_KEY).select("key"), "name-keys")
+    # counted under hashes: keys that share one are taken for large, and both ways fold alike
+    large = stored(told.groupBy(F.xxhash64("key").alias("_k")).count().filter(F.col("count") > SMALL_KEY).select("_k"), "name-keys")
     placed = told.withColumn("component", F.lit(0).cast("long"))
     if not large.isEmpty():
-        hot = told.join(large, "key", "left_semi")
+        told, placed = told.withColumn("_k", F.xxhash64("key")), placed.withColumn("_k", F.xxhash64("key"))
+        hot = told.join(large, "_k", "left_semi")
         sets = stored(hot.select(F.col("_id").alias("id"), "key", "tokens").distinct(), "name-sets")
         found = components(overlapping(sets, "key")).withColumnRenamed("id", "_id")
         apart = hot.join(found, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
-        placed = placed.join(large, "key", "left_anti").unionByName(apart)
+        placed = placed.join(large, "_k", "left_anti").unionByName(apart)
     dealt = placed.repartition("key", "component").sortWithinPartitions("key", "component", "pos")
-    stand = dealt.select("key", "component", "pos", "raw", "vat", "tokens").mapInArrow(_standing, "key string, slot long, pos long, rows long")
-    docs = keyed.select("key", "doc").distinct()
-    return stand.join(docs, "key").select("doc", "slot", "pos", "rows").unionByName(few.select("doc", "slot", F.col("slot").alias("pos"), "rows"))
+    told = dealt.select("key", "component", "doc", "pos", F.length("raw").alias("length"), "vat", F.array_join("tokens", " ").alias("words"))
+    stand = told.mapInArrow(_standing, f"doc {dict(keyed.dtypes)['doc']}, slot long, pos long, rows long")
+    return stand.unionByName(few.select("doc", "slot", F.col("slot").alias("pos"), "rows"))
 
 
 _NAME = "array_to_string(list_slice(string_split(p_name || ' ' || lower(p_type) || ' ' || p_brand || ' fresh pack number' || (l_linenumber % 4)::VARCHAR || ' and ' || l_returnflag || 'grade', ' '), 1, 1 + l_orderkey % 8), ' ')"
@@ -165,6 +171,6 @@ def fuzzy_dedupe(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(part, "l_partkey")
     pos = F.expr("cast(l_orderkey * 1000000000L + l_partkey * 1000L + l_linenumber * 100L + l_quantity as long)")
     words = F.concat_ws(" ", "p_name", F.lower("p_type"), "p_brand", F.lit("fresh pack"), F.concat(F.lit("number"), F.col("l_linenumber") % 4), F.lit("and"), F.concat("l_returnflag", F.lit("grade")))
-    name = F.array_join(F.slice(F.split(words, " "), F.lit(1), (1 + F.col("l_orderkey") % 8).cast("int")), " ")
+    name = F.call_function("substring_index", words, F.lit(" "), (1 + F.col("l_orderkey") % 8).cast("int"))
     rows = lines.groupBy(F.col("l_suppkey").alias("doc"), pos.alias("pos"), F.col("l_quantity").alias("qty")).agg(F.max(name).alias("raw"), F.max((F.col("l_tax") > 0.03).cast("int")).alias("vat"))
     return deduped(rows.withColumns({"unit_price": F.lit(1.0), "line_total": F.col("qty")}))

@@ -242,3 +242,19 @@ def test_rows_compute_with_new_values_only():
         for at in range(len(values)):
             before = [v for v in values[:at] if v is not None and v > 0]
             assert (slow(before) or computes(values, at)) == slow(plain)
+
+
+def test_fuzzy_dedupe_joins_nothing_to_small_keys(spark):
+    given = [(1, i, f"rice basmati {i % 2}", 1.0, None, 1.0, None) for i in range(6)]
+    table = spark.createDataFrame(given, "doc long, pos long, raw string, qty double, unit_price double, line_total double, vat double")
+    found = dedupe.deduped(table)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, 0, 0, 6)]
+
+
+def test_dedupe_words_are_those_that_tell(spark):
+    from pyspark.sql import functions as F
+
+    texts = {"The Rice, and-rice a1b it 10kg Withe PLAIN": ["10kg", "a1b", "rice", "withe"], "": [], "and the it": [], None: [], "Café fresh": ["caf"]}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["w"] for r in df.select("t", dedupe.name_tokens(F.col("t")).alias("w")).collect()} == texts
