@@ -61,13 +61,16 @@ def recipe_unit(name: Column, bulk: Column) -> Column:
 
 
 def strips(grid: DataFrame) -> DataFrame:
-    """page, col, row, c (five cells): what stands in the columns of a page's blocks, row by row."""
-    rows = grid.select("page", "row", F.transform("cells", cell).alias("cells"))
-    width = rows.groupBy("page").agg(F.min_by(F.size("cells"), "row").alias("width"))
-    marks = rows.filter(F.array_contains("cells", BLOCK)).select("page", F.posexplode("cells").alias("col", "v")).filter(F.col("v") == BLOCK)
+    """page, col, row, c (five cells): what stands in the columns of a page's blocks, row by row, where the first cell is not empty.
+
+    Only cells of a strip are cleaned, and those of rows that hold a mark's first word.
+    """
+    width = grid.groupBy("page").agg(F.min_by(F.size("cells"), "row").alias("width"))
+    may_mark = F.array_join("cells", "\n").contains(BLOCK.split(" ")[0])
+    marks = grid.filter(may_mark).select("page", F.posexplode(F.transform("cells", cell)).alias("col", "v")).filter(F.col("v") == BLOCK)
     starts = marks.select("page", "col").distinct().join(width, "page").filter(F.col("col") + WIDTH <= F.col("width")).select("page", "col")
-    at = lambda i: F.coalesce(F.get("cells", F.col("col") + i), F.lit("")).alias(f"c{i}")
-    return rows.join(starts, "page").select("page", "col", "row", *(at(i) for i in range(WIDTH)))
+    at = lambda i: cell(F.get("cells", F.col("col") + i)).alias(f"c{i}")
+    return grid.join(starts, "page").select("page", "col", "row", *(at(i) for i in range(WIDTH))).filter("c0 <> ''")
 
 
 def blocks(strip: DataFrame) -> DataFrame:
@@ -79,7 +82,7 @@ def blocks(strip: DataFrame) -> DataFrame:
     span = 16
     marks = strip.filter(F.col("c0") == BLOCK).select("page", "col", F.col("row").alias("mark"))
     reach = F.sequence(F.floor((F.col("mark") - CATEGORY_ROWS) / span), F.floor((F.col("mark") + START_ROWS) / span))
-    near = marks.withColumn("_s", F.explode(reach)).join(strip.filter("c0 <> ''").withColumn("_s", F.floor(F.col("row") / span)).drop("c1", "c2", "c3", "c4"), ["page", "col", "_s"])
+    near = marks.withColumn("_s", F.explode(reach)).join(strip.withColumn("_s", F.floor(F.col("row") / span)).drop("c1", "c2", "c3", "c4"), ["page", "col", "_s"])
     off, v = F.col("row") - F.col("mark"), F.col("c0")
     titled = off.between(1, TITLE_ROWS) & ~v.isin(BLOCK, INGREDIENTS)
     above = off.between(-CATEGORY_ROWS, -1) & category_candidate(v)
@@ -109,10 +112,10 @@ def costing_sheets(grid: DataFrame) -> DataFrame:
     cut = blocks(strip)
     once = Window.partitionBy("page", F.upper("title")).orderBy("col", "mark")
     cut = stored(cut.withColumn("_n", F.row_number().over(once)).withColumn("first", F.col("_n") == 1).drop("_n"), "sheet-blocks")
-    # each row belongs to the last block of its strip that begins at it or above, unless that has ended
+    # each row belongs to the last block of its strip that begins at it or above, unless that has ended; a beginning stands before its row
     begins = cut.select("page", "col", F.col("start").alias("row"), F.struct("mark", "end", "title", "category", "first").alias("b"))
-    body = strip.filter("c0 <> ''").join(begins, ["page", "col", "row"], "full")
-    order = Window.partitionBy("page", "col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    body = strip.unionByName(begins, allowMissingColumns=True)
+    order = Window.partitionBy("page", "col").orderBy("row", F.col("c0").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     inside = body.withColumn("b", F.last("b", ignorenulls=True).over(order)).filter("c0 is not null and b.first and (b.end is null or row < b.end)")
     name, quantity = F.col("c0"), plain_number(F.col("c1"))
     menu = F.when(name == PRICE, F.struct("row", F.coalesce(F.nullif(plain_number(F.col("c3")), F.lit(0.0)), plain_number(F.col("c4")), F.lit(0.0)).alias("p")))

@@ -93,3 +93,10 @@ def test_numbers_and_triples_in_compiled_code(spark):
     assert [r["r"] for r in found] == [r["slow"] for r in found]
     told = validate.with_triples(cells, [F.col(x) for x in "abc"], "r", True, 1).select("r").collect()
     assert [r["r"] and (r["r"]["q"], r["r"]["p"], r["r"]["t"], round(r["r"]["score"], 2)) for r in told][-3:] == [None, (1, 2, 3, 0.2), (1, 2, 3, 1001.0)]
+
+
+def test_strips_hold_filled_rows_and_are_joined_to_beginnings_by_no_row(spark):
+    grid = [(1, 0, ["\n costing", "", "x", "", "", ""]), (1, 1, [" COSTING\nSHEET ", "a", "", "", "", ""]), (1, 2, ["", "b", "", "", "", ""]), (1, 3, None), (1, 4, ["Rice ", "2"])]
+    df = spark.createDataFrame(grid, "page long, row long, cells array<string>")
+    assert sorted(tuple(r) for r in sheets.strips(df).collect()) == [(1, 0, 0, "costing", "", "x", "", ""), (1, 0, 1, "COSTING SHEET", "a", "", "", ""), (1, 0, 4, "Rice", "2", "", "", "")]
+    assert "FullOuter" not in sheets.costing_sheets(df)._jdf.queryExecution().optimizedPlan().toString()
