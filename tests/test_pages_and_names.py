@@ -258,3 +258,12 @@ def test_dedupe_words_are_those_that_tell(spark):
     texts = {"The Rice, and-rice a1b it 10kg Withe PLAIN": ["10kg", "a1b", "rice", "withe"], "": [], "and the it": [], None: [], "Café fresh": ["caf"]}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r["t"]: r["w"] for r in df.select("t", dedupe.name_tokens(F.col("t")).alias("w")).collect()} == texts
+
+
+def test_rows_near_an_item_are_not_searched_from_the_first(monkeypatch):
+    """A tall table: each item is compared with the rows near it alone, and each gap's median is taken once."""
+    items = [x for k in range(600) for x in ((20.0, 30.0 * k, 40.0, 16.0, "rice"), (200.0, 30.0 * k, 40.0, 16.0, "2"), (400.0, 30.0 * k, 40.0, 16.0, "5"), (600.0, 30.0 * k, 40.0, 16.0, "10"))]
+    taken = []
+    monkeypatch.setattr(regions, "median", lambda v, plain=regions.median: taken.append(1) or plain(v))
+    found = regions.diagnose(items, 1e9, [], [])
+    assert (found["products"], found["spacing"], found["lanes"]) == (600, 1.0, 0.75) and len(taken) < 10
