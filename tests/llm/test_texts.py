@@ -166,6 +166,34 @@ def test_bit_probabilities_sum_to_one():
     assert (10.0**total).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_first_bytes_of_words_depend_on_what_stands_before():
+    texts = ["a bc def", "", None, "\u00fcber x\x00 y", "  z  "]
+    got = contextmix.seam_keys(*word_codes(pa.array(texts)))
+    streams = [b"".join(w + b" " for w in (t or "").encode().split(b" ") if w) for t in texts]
+    words, ends = [], []
+    for s in streams:
+        at = 0
+        for t in [w + b" " for w in s.split(b" ")[:-1]] + [b"\n"]:
+            before = s[max(0, at - 4) : max(0, at - 1)].rjust(3, b"\0")
+            (ends if t == b"\n" else words).append((before + t[:3]).ljust(6, b"\0"))
+            at += len(t)
+    assert [int(k).to_bytes(6, "big") for k in got] == words + ends
+    rng = np.random.default_rng(1)
+    model = contextmix.Model(contextmix.encode_counts(rng.integers(0, 50, 2 * contextmix.SLOTS)).view(np.uint32))
+    after = lambda tail: model.score_seams(np.array([int.from_bytes(tail + bytes([c, 32, 0]), "big") for c in range(33, 256)]))
+    assert abs(after(b"and") - after(b"the")).max() > 0.01
+    key, word = int.from_bytes(b"theflo", "big"), [b"flowers "]
+    whole = model.bits_score(contextmix.Bits(word, before=np.array([int.from_bytes(b"the ", "big")], dtype=np.uint64)), contextmix.deep_counts(word, np.ones(1))[0], 1)
+    assert model.score_seams(np.array([key])) + model.score(word, np.ones(1), since=contextmix.HEAD) == pytest.approx(whole, abs=1e-4)
+
+
+def test_scores_know_the_order_of_words(spark):
+    rows = [(i, f"red {w} big {w}" if i % 3 else f"tall {w}s old {w}s") for i, w in enumerate(["ox", "fly", "cow", "ewe"] * 30)]
+    rows += [(1000, "red ox big fly"), (1001, "fly big ox red")]
+    got = {r["doc_id"]: r["score"] for r in contextmix.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000] > got[1001] + 0.5
+
+
 def test_counts_keep_small_values_and_64_bits():
     n = np.array([0, 1, 2, 3, 50, 699, 1 << 16, 1 << 33, (1 << 62) + 5], dtype=np.int64)
     got = contextmix._DECODED[contextmix.encode_counts(n)]
