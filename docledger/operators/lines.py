@@ -25,6 +25,8 @@ STOP_WORDS = (
     r"subtotal|sub\s*total|total\s+(?:nett|net|incl|excl|due)|amount\s+excl|vat\s*$|tax\s*$|discount|rounding|banking details|terms|conditions|signature|signed|"
     r"received in good order|cash collected|created:|currency|page\s+\d+\s+of\s+\d+|number of items|extra charges|please note"
 )
+#: Points of a number but its last one.
+MORE_POINTS = r"\.(?=[^\n]*\.)"
 LINE_NUMBER = r"(?i)(?:R|ZAR)?\s*-?\d+(?:[ ,.]\d{3})*(?:[.,]\d+)?"
 
 
@@ -82,11 +84,24 @@ def stock_lines(lines: DataFrame, text: str = "text") -> DataFrame:
 
 def line_numbers(text: Column) -> Column:
     """Values of the numbers of a cleaned line, as parse_money reads each; all are read in one text, a line for each."""
-    found = F.regexp_replace(F.array_join(F.regexp_extract_all(text, F.lit(LINE_NUMBER), F.lit(0)), "\n"), r"[^0-9.,\n-]+", "")
-    digits = F.regexp_replace(F.translate(found, ",", "."), r"\.(?=[^\n]*\.)", "")
+    digits = F.regexp_replace(_numbers_listed(text), MORE_POINTS, "")
     return F.when(digits == "", F.array().cast("array<double>")).otherwise(F.split(digits, "\n").cast("array<double>"))
 
 
+def _numbers_listed(text: Column) -> Column:
+    found = F.array_join(F.regexp_extract_all(text, F.lit(LINE_NUMBER), F.lit(0)), "\n")
+    return F.translate(F.regexp_replace(found, r"[^0-9.,\n-]+", ""), ",", ".")
+
+
+def with_numbers(rows: DataFrame, wanted: Column, text: str = "text", to: str = "values") -> DataFrame:
+    """``rows`` with line_numbers of a text, each step computed once a row; null where they are not ``wanted``."""
+    step = once(rows, _found=F.when(wanted, _numbers_listed(F.col(text))))
+    # most numbers have one point at most
+    step = once(step, _digits=F.when(F.col("_found").rlike(r"\.[^\n]*\."), F.regexp_replace("_found", MORE_POINTS, "")).otherwise(F.col("_found")))
+    values = F.when(F.col("_digits") == "", F.array().cast("array<double>")).otherwise(F.split("_digits", "\n").cast("array<double>"))
+    return once(step, **{to: values}).drop("_found", "_digits")
+
+
 def best_roles(values: Column) -> Column:
     """q, p and t: places of the numbers whose product computes best; null where none does, within 0.05 or 2 %.
 
@@ -125,24 +140,25 @@ def plain_rows(lines: DataFrame) -> DataFrame:
     seen = told.join(opens, "page", "left").join(closes, "page", "left").filter("close is null or idx <= close")
     before = F.col("open").isNull() | (F.col("idx") < F.col("open"))
     read = seen.filter(~(F.col("role") == "header") | ~(F.col("idx") == F.coalesce("open", F.lit(-1))))
-    read = once(read, values=F.when((F.col("role") == "line_item") & ~F.col("stop"), line_numbers(F.col("text"))))
+    read = with_numbers(read, (F.col("role") == "line_item") & ~F.col("stop"))
     # three numbers, as most lines have, in compiled code
     three = with_triples(read, [F.when(F.size("values") == 3, F.get("values", F.lit(i))) for i in range(3)], "_three")
     best = F.when(F.size("values") == 3, F.col("_three")).otherwise(best_roles(F.col("values")))
-    rows = stored(three.withColumn("r", best).drop("_three"), "line-numbers")
-    description = F.regexp_replace(F.regexp_extract("text", r"(?i)^(.*?)(?:R|ZAR)?\s*-?\d", 1), "^[ ,-]+|[ ,-]+$", "")
+    rows = once(three, r=best)
+    told_of = F.regexp_replace(F.regexp_extract("text", r"(?i)^(.*?)(?:R|ZAR)?\s*-?\d", 1), "^[ ,-]+|[ ,-]+$", "")
+    rows = once(rows, description=F.when(F.col("r").isNotNull(), told_of))
     status = (
         F.when(F.col("text") == "", "empty")
         .when(before & (F.col("role") == "noise"), "before_table")
         .when(F.col("stop"), "footer")
         .when(F.col("role") != "line_item", F.col("role"))
-        .when(F.col("r").isNotNull() & (description != ""), "parsed")
+        .when(F.col("r").isNotNull() & (F.col("description") != ""), "parsed")
         .otherwise("not_enough_line_values")
     )
-    out = rows.withColumn("status", status)
+    out = once(rows, status=status)
     value = lambda role: F.when(F.col("status") == "parsed", F.get("values", F.col(f"r.{role}")))
     return out.select(
-        "page", "idx", "status", F.when(F.col("status") == "parsed", description).alias("description"), value("q").alias("quantity"), value("p").alias("unit_price"), value("t").alias("total")
+        "page", "idx", "status", F.when(F.col("status") == "parsed", F.col("description")).alias("description"), value("q").alias("quantity"), value("p").alias("unit_price"), value("t").alias("total")
     )
 
 
@@ -163,17 +179,19 @@ _ORDERED_SQL = f"""ordered AS (SELECT l_orderkey, l_partkey, l_discount, l_tax,
 
 
 def order_pages(lines: DataFrame) -> DataFrame:
-    """page, idx, line: each order's lines as they are printed, with what stands around them."""
+    """page, idx, line: each order's lines as they are printed, with what stands around them; its first line brings that along."""
     short, good = F.col("l_tax") > 0.06, F.concat_ws(" ", "p_name", "q", F.concat(F.lit("R"), "p"), F.concat(F.lit("R"), "t"))
-    body = lines.select(F.col("l_orderkey").alias("page"), (F.col("k") * 10).alias("idx"), F.when(short, F.concat_ws(" ", "p_name", "q", F.concat(F.lit("R"), "p"))).otherwise(good).alias("line"))
-    last = lines.groupBy(F.col("l_orderkey").alias("page")).agg(F.max("k").alias("k"))
+    line = F.when(short, F.concat_ws(" ", "p_name", "q", F.concat(F.lit("R"), "p"))).otherwise(good)
+    last = F.max("k").over(Window.partitionBy("l_orderkey"))
+    lines = lines.select(F.col("l_orderkey").alias("page"), "k", line.alias("line"), last.alias("last"))
     at = lambda idx, text: F.struct(idx.cast("long").alias("idx"), text.alias("line"))
     header = F.when(F.col("page") % 2 == 0, "Description, Qty, Unit Price, Total").otherwise("")
+    own = at(F.col("k") * 10, F.col("line"))
     around = F.array(
-        at(F.lit(0), F.lit("Invoice from the market")), at(F.lit(1), F.lit(" ")), at(F.lit(2), header), at(F.col("k") * 10 + 10, F.lit("Sub Total 100")), at(F.col("k") * 10 + 11, F.lit("Left over 5"))
+        own, at(F.lit(0), F.lit("Invoice from the market")), at(F.lit(1), F.lit(" ")), at(F.lit(2), header), at(F.col("last") * 10 + 10, F.lit("Sub Total 100")), at(F.col("last") * 10 + 11, F.lit("Left over 5"))
     )
-    rest = last.select("page", F.explode(around).alias("l")).select("page", "l.idx", "l.line").filter("idx <> 2 or line <> ''")
-    return body.unionByName(rest)
+    printed = lines.select("page", F.inline(F.when(F.col("k") == 1, around).otherwise(F.array(own))))
+    return printed.filter("idx <> 2 or line <> ''")
 
 
 @register(

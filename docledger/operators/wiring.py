@@ -27,7 +27,10 @@ def wired(lines: DataFrame, memory: DataFrame) -> DataFrame:
     names = told.select("description", c["name"].alias("ingredient"), c["code"].alias("code"), a["key"].alias("key"), a["confidence"].alias("confidence"))
     resolved = names.join(found, "description", "left").withColumn("state", F.coalesce("state", F.lit("analysed")))
     valid = F.when(F.col("status") == "parsed", validation_status(F.col("quantity"), F.col("unit_price"), F.col("total"))).alias("validation")
-    return rows.select("*", valid).join(resolved, "description", "left").select(
+    rows = rows.select("*", valid)
+    # the others have no description: they would all meet in one task of the join
+    parsed = rows.filter("status = 'parsed'").join(resolved, "description", "left")
+    return parsed.unionByName(rows.filter("status <> 'parsed'"), allowMissingColumns=True).select(
         "page", "idx", "status", "description", "quantity", "unit_price", "total", "validation", "ingredient", "code", "key", "confidence", "state", "record", "type", "target"
     )
 

@@ -100,3 +100,31 @@ def test_strips_hold_filled_rows_and_are_joined_to_beginnings_by_no_row(spark):
     df = spark.createDataFrame(grid, "page long, row long, cells array<string>")
     assert sorted(tuple(r) for r in sheets.strips(df).collect()) == [(1, 0, 0, "costing", "", "x", "", ""), (1, 0, 1, "COSTING SHEET", "a", "", "", ""), (1, 0, 4, "Rice", "2", "", "", "")]
     assert "FullOuter" not in sheets.costing_sheets(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_header_cells_are_named_in_compiled_code(spark):
+    from docledger.functions.text import header_key, row_role, with_role
+
+    cells = ["Description", "Item", "Product Details", "qty", "Ship Quantity", "unit", "price of unit", "net unit-price", "Amount (excl)", "Line Total!", "net price", "vat amt", "Tax", "sku",
+             "item code", "code of a very long name", "CODE0123456789AB", "quantity code", "amount", "", "word"]
+    rows = [" , ".join((cells[i], cells[(i * 5 + k) % len(cells)], cells[(i + 7 * k) % len(cells)])) for i in range(len(cells)) for k in range(1, 9)]
+    rows += [r.replace(",", "|") + "| x 1" for r in rows]
+    fields = {r["c"]: r["k"] for r in spark.createDataFrame([(c,) for c in cells], "c string").select("c", header_key(F.col("c")).alias("k")).collect()}
+    told = with_role(spark.createDataFrame([(r,) for r in rows], "line string"), F.col("line")).withColumn("slow", row_role(F.col("line")))
+    named = lambda line: {fields.get(c.strip()) for c in line.replace("|", ",").split(",")} - {None}
+    got = told.collect()
+    assert all((r["role"] == "header") == (len(named(r["line"])) >= 3) and r["role"] == r["slow"] for r in got)
+    assert {r["role"] == "header" for r in got} == {True, False}
+    assert "lambda" not in told.drop("slow")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_wired_rows_meet_names_only_where_parsed(spark):
+    from docledger.operators import wiring
+
+    plan = wiring.row_wiring(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "(status#" in plan.split("Union")[1] and " = parsed" in plan and "NOT (status" in plan
+
+
+def test_printed_pages_number_their_lines_once(spark):
+    pages = lines.order_pages(lines._ordered_lines(spark, "/root/testdata/sf0.001"))
+    assert pages._jdf.queryExecution().optimizedPlan().toString().count("row_number()") == 1
