@@ -267,3 +267,27 @@ def test_rows_near_an_item_are_not_searched_from_the_first(monkeypatch):
     monkeypatch.setattr(regions, "median", lambda v, plain=regions.median: taken.append(1) or plain(v))
     found = regions.diagnose(items, 1e9, [], [])
     assert (found["products"], found["spacing"], found["lanes"]) == (600, 1.0, 0.75) and len(taken) < 10
+
+
+def exchanges(df):
+    """What the rows of a query are shuffled by."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {line.split("Exchange hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line}
+
+
+@pytest.mark.parametrize("name", ["table_regions"])
+def test_printed_items_are_dealt_by_page_once_and_not_stored(spark, monkeypatch, name):
+    """Before their parts are joined at most by part, then by page: no step after that moves or stores items."""
+    written = []
+    monkeypatch.setattr(regions, "stored", lambda df, label: written.append(label) or df, raising=False)
+    found = getattr(regions, name)(spark, "/root/testdata/sf0.001")
+    assert exchanges(found) <= {"l_partkey", "l_orderkey"} and not written
+
+
+def test_a_table_that_holds_no_item_keeps_its_page(spark):
+    """Widths below zero put the table's end before its items; its page stays, without headers."""
+    items = [(1, 1, 10.0, 5.0, -50.0, 1.0, "Description"), (1, 2, 20.0, 6.0, -50.0, 1.0, "Total due"), (1, 3, 30.0, 7.0, -60.0, 1.0, "page 1 of 2"), (None, 4, 1.0, 1.0, 1.0, 1.0, "x")]
+    (r,) = regions.located(spark.createDataFrame(items, ITEMS)).collect()
+    assert (r["page"], r["start_x"], r["end_x"], r["items"], r["headers"], r["footers"], r["footer_confidence"]) == (1, 10.0, -20.0, 3, 0, 2, pytest.approx(0.675))
+    (d,) = regions.diagnostics(spark.createDataFrame(items, ITEMS)).collect()
+    assert (d["page"], d["inside"]) == (1, 0)
