@@ -275,7 +275,7 @@ def exchanges(df):
     return {line.split("Exchange hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line}
 
 
-@pytest.mark.parametrize("name", ["table_regions"])
+@pytest.mark.parametrize("name", ["table_regions", "table_diagnostics"])
 def test_printed_items_are_dealt_by_page_once_and_not_stored(spark, monkeypatch, name):
     """Before their parts are joined at most by part, then by page: no step after that moves or stores items."""
     written = []
