@@ -4,13 +4,18 @@ Whether a line continues the row above it depends on what that row holds so far,
 open a row whatever stands above: the first of a page, one far below the line before, one with numbers right after a line
 that has text and numbers itself. Lines are dealt out by ranges of page and place, such lines cut each range into segments,
 and segments, not pages, are the groups that tasks read: a page of any length is shared by many tasks.
+
+That takes several shuffles of all lines, which most pages are not worth. Pages of up to LONG_PAGE lines are dealt by page once
+and read where they lie: their lines in order, then their rows in order. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -24,6 +29,8 @@ from docledger.plans.tables import stored, table
 HEIGHT, LEAST_REACH, REACH, TIGHT = 16.0, 45.0, 1.1, 0.75
 #: Distance at which text and numbers of two rows are fragments of one; rows of a page that a task looks at together.
 FRAGMENT, BLOCK = 20.0, 4096
+#: Lines of a page that one task reads whole.
+LONG_PAGE = 200_000
 # Texts that no fragment is merged with.
 CLOSING = (
     r"subtotal|sub\s*total|total\s+(nett|net|incl|excl|due)|amount\s+excl|vat\s*$|tax\s*$|discount|rounding|banking details|terms|conditions|"
@@ -114,6 +121,12 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*kept, *more], names=["page", "line", "y", "text", "has_desc", "has_nums", "row", "rule", "complete"])
 
 
+def _measured(lines: DataFrame) -> DataFrame:
+    height = F.when(F.col("height") > 0, F.col("height")).otherwise(HEIGHT)
+    measured = lines.withColumns({"reach": F.greatest(F.lit(LEAST_REACH), height * REACH), "tight": height * TIGHT}).drop("height")
+    return measured.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("has_desc", "has_nums", "described")})
+
+
 def rebuilt_lines(lines: DataFrame) -> DataFrame:
     """Each line with the line that opens its row, the rule by which it joined, and whether the row computes so far.
 
@@ -122,10 +135,7 @@ def rebuilt_lines(lines: DataFrame) -> DataFrame:
     (array of numbers). A line joins the row above it, if within reach of the line before, when that row has no text yet,
     when it brings the numbers that the row lacks, when it has none itself, or when it is tight and the row does not compute.
     """
-    height = F.when(F.col("height") > 0, F.col("height")).otherwise(HEIGHT)
-    measured = lines.withColumns({"reach": F.greatest(F.lit(LEAST_REACH), height * REACH), "tight": height * TIGHT}).drop("height")
-    flags = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("has_desc", "has_nums", "described")}
-    dealt = segments(measured.withColumns(flags)).repartition("segment").sortWithinPartitions("segment", *_LINE)
+    dealt = segments(_measured(lines)).repartition("segment").sortWithinPartitions("segment", *_LINE)
     kind = dict(lines.dtypes)["page"]
     schema = f"page {kind}, line long, y double, text string, has_desc boolean, has_nums boolean, row long, rule string, complete boolean"
     return dealt.mapInArrow(_rebuild, schema)
@@ -143,6 +153,59 @@ def logical_rows(lines: DataFrame) -> DataFrame:
     return rows.select("page", "row", "lines", "y", text.alias("text"), "has_desc", "has_nums", "complete", rules.alias("rules"))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Logical rows of lines that come in order: a row's lines follow one another, and the last is its lowest."""
+    names = ("page", "row", "lines", "y", "text", "has_desc", "has_nums", "complete", "rules")
+    types, row = None, None
+    for batch in chain(_rebuild(batches), [None]):
+        done = []
+        if batch is not None:
+            kind = batch.schema.field("page").type
+            types = (kind, pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string())
+            columns = (batch.column(c).to_pylist() for c in ("page", "row", "rule", "y", "text", "has_desc", "has_nums", "complete"))
+            for page, first, rule, y, text, desc, nums, complete in zip(*columns, strict=True):
+                if rule == "opens":
+                    if row:
+                        done.append(row)
+                    row = [page, first, 1, y, [text] if text else [], desc, nums, complete, []]
+                    continue
+                row[2] += 1
+                row[3] = y
+                if text:
+                    row[4].append(text)
+                row[5:8] = row[5] or desc, row[6] or nums, row[7] or complete
+                row[8].append(rule)
+        elif row:
+            done.append(row)
+        if done:
+            columns = list(zip(*((*r[:4], " ".join(r[4]), *r[5:8], " ".join(r[8])) for r in done), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+
+def page_rows(lines: DataFrame) -> DataFrame:
+    """``logical_rows`` of ``rebuilt_lines``, where no page is long: pages are dealt once, and each is read in order where it lies.
+
+    Its rows come out where its lines lay.
+    """
+    order = Window.partitionBy("page").orderBy("y", "line")  # asks for pages in one place and puts their lines in order
+    placed = _measured(lines).withColumn("segment", F.first("line").over(order))
+    kind = dict(lines.dtypes)["page"]
+    schema = f"page {kind}, row long, lines long, y double, text string, has_desc boolean, has_nums boolean, complete boolean, rules string"
+    return placed.mapInArrow(_joined, schema)
+
+
+def shared(lines: DataFrame, sizes: DataFrame, whole: Callable[[DataFrame], DataFrame], ranged: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``whole`` of the lines of pages of at most LONG_PAGE lines, and ``ranged`` of those of longer ones.
+
+    sizes: page and n, as many lines as the page has or more.
+    """
+    long = stored(sizes.filter(F.col("n") > LONG_PAGE).select(F.col("page").alias("_page")), "long-pages")
+    if long.isEmpty():
+        return whole(lines)
+    is_long = F.col("page").eqNullSafe(F.col("_page"))
+    return whole(lines.join(long, is_long, "left_anti")).unionByName(ranged(lines.join(long, is_long, "left_semi")))
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """``rows`` with their number in the page, from 0: counted in ranges, whose offsets are summed by page."""
     ranged = stored(rows.repartitionByRange("page", "row").withColumn("_part", F.spark_partition_id()), "page-rows")
@@ -168,7 +231,11 @@ def recovered(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("page", "_block").orderBy("no")
     seen = F.struct("row", "no", "y", "text", "has_desc", "has_nums")
     near = F.array(F.lead(seen, 1).over(order), F.lag(seen, 1).over(order), F.lead(seen, 2).over(order), F.lag(seen, 2).over(order))
-    met = spread.withColumn("_near", F.array_compact(near)).filter("_home = _block")
+    return _merged(spread.withColumn("_near", F.array_compact(near)).filter("_home = _block"))
+
+
+def _merged(met: DataFrame) -> DataFrame:
+    """Rows after recovery, from rows with a number that tells their order and their neighbours: below, above, two below, two above."""
 
     def closing(n: Column) -> Column:
         return F.lower(F.concat_ws(" ", "text", n["text"])).rlike(CLOSING)
@@ -210,6 +277,39 @@ def recovered(rows: DataFrame) -> DataFrame:
     )
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that come in order with the neighbours in their page: below, above, two below, two above; two rows are held back."""
+    seen = ("row", "no", "y", "text", "has_desc", "has_nums")
+    held, at = None, 0  # rows since the last two that went out; the first that has not
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held = batch if held is None else pa.concat_batches([held, batch])
+        if held is None:
+            return
+        n = held.num_rows
+        end = n if batch is None else max(at, n - 2)
+        if end > at:
+            page = held.column("page").dictionary_encode(null_encoding="encode").indices.to_numpy()
+            i = np.arange(at, end)
+            j = i[:, None] + np.array([1, -1, 2, -2])
+            found = (j >= 0) & (j < n)
+            found &= page[np.where(found, j, 0)] == page[i][:, None]
+            met = held.select(seen).take(pa.array(j[found])).to_struct_array()
+            near = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(found.sum(1))), pa.int32()), met)
+            out = held.slice(at, end - at)
+            yield pa.RecordBatch.from_arrays([*out.columns, near], names=[*out.schema.names, "_near"])
+        keep = max(0, end - 2)
+        held, at = held.slice(keep), end - keep
+
+
+def recovered_pages(rows: DataFrame) -> DataFrame:
+    """``recovered`` for rows of which each page lies in one part, as those of ``page_rows`` do: they are put in order there, not dealt again."""
+    placed = rows.select("page", "row", F.col("row").alias("no"), "y", "text", "has_desc", "has_nums").sortWithinPartitions("page", "row")
+    fields = "row long, no long, y double, text string, has_desc boolean, has_nums boolean"
+    kind = dict(rows.dtypes)["page"]
+    return _merged(placed.mapInArrow(_neighbours, f"page {kind}, {fields}, _near array<struct<{fields}>>"))
+
+
 def split_row(has_desc: Column, has_nums: Column) -> Column:
     """A row with text and no numbers is split, or its description wraps."""
     return has_desc & ~has_nums
@@ -221,17 +321,21 @@ def printed_lines(spark, sf_dir) -> DataFrame:
     Names come from the parts; parts of size 7 are charges whose name holds a closing word, and items of size 11 and 12 have
     no name.
     """
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
+    name = F.when(F.col("p_size") == 7, "bank charge").when(F.col("p_size").isin(11, 12), "").otherwise(F.col("p_name"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), name.alias("name"))
     q, t = F.col("l_quantity"), F.col("l_extendedprice")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    items = table(spark, sf_dir, "lineitem").join(part, "l_partkey").select(
+    by = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    order = Window.partitionBy(by[0]).orderBy(*by[1:])
+    lines = table(spark, sf_dir, "lineitem").select(*by, F.coalesce(F.col("l_discount") > 0.08, F.lit(False)).alias("twice"))
+    numbered = lines.join(part, "l_partkey").withColumn("nth", F.row_number().over(order))  # what is computed from a line is so after it was dealt
+    items = numbered.select(
         "l_orderkey",
-        (F.row_number().over(order) * 10).cast("long").alias("k"),
+        (F.col("nth") * 10).cast("long").alias("k"),
         (F.col("l_partkey") % 6).alias("shape"),
-        F.when(F.col("p_size") == 7, "bank charge").when(F.col("p_size").isin(11, 12), "").otherwise(F.col("p_name")).alias("name"),
+        "name",
         q.alias("q"),
         (F.floor(t / q * 100 + 0.5) / 100).alias("p"),
-        F.when(F.col("l_discount") > 0.08, t * 2).otherwise(t).alias("t"),
+        F.when(F.col("twice"), t * 2).otherwise(t).alias("t"),
     )
 
     def line(at: int, down: float, text: Column, values: list[Column]) -> Column:
@@ -262,6 +366,11 @@ def printed_lines(spark, sf_dir) -> DataFrame:
     )
 
 
+def printed_sizes(spark, sf_dir) -> DataFrame:
+    """page and n: twice an order's items, as each is printed on two lines at most."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg((F.count("*") * 2).alias("n"))
+
+
 _SHAPE = "CASE l_partkey % 6 WHEN 0 THEN [{a}] WHEN 1 THEN [{b}, {c}] WHEN 2 THEN [{d}, {e}] WHEN 3 THEN [{a}, {f}] WHEN 4 THEN [{g}, {h}] ELSE [{a}, {i}] END"
 
 
@@ -298,7 +407,7 @@ REBUILT_SQL = f"""items AS (SELECT l_orderkey, l_partkey, row_number() OVER (PAR
 @register("row_reconstruction", "G15 G27", f"WITH RECURSIVE {REBUILT_SQL} SELECT *, has_desc AND NOT has_nums AS split FROM logical")
 def row_reconstruction(spark, sf_dir):
     """Logical rows of printed orders, with the rules by which their lines joined, and whether a row is split or wraps."""
-    rows = logical_rows(rebuilt_lines(printed_lines(spark, sf_dir)))
+    rows = shared(printed_lines(spark, sf_dir), printed_sizes(spark, sf_dir), page_rows, lambda lines: logical_rows(rebuilt_lines(lines)))
     return rows.withColumn("split", split_row(F.col("has_desc"), F.col("has_nums")))
 
 
@@ -324,4 +433,5 @@ _NEAR = "[lead(o, 1) OVER w, lag(o, 1) OVER w, lead(o, 2) OVER w, lag(o, 2) OVER
 )
 def row_recovery(spark, sf_dir):
     """Rows of printed orders after recovery: what they took from a neighbour, or why they took nothing."""
-    return recovered(logical_rows(rebuilt_lines(printed_lines(spark, sf_dir))))
+    whole, ranged = lambda lines: recovered_pages(page_rows(lines)), lambda lines: recovered(logical_rows(rebuilt_lines(lines)))
+    return shared(printed_lines(spark, sf_dir), printed_sizes(spark, sf_dir), whole, ranged)

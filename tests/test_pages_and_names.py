@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from docledger.operators import dedupe, regions, rows
 
@@ -95,6 +96,41 @@ def test_recovery_by_hand(spark, monkeypatch):
         assert {(r["page"], r["row"]): (r["source"], r["confidence"], r["with"], r["text"], r["skipped"]) for r in got} == expected
 
 
+def tidy(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.fixture()
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pages_read_where_they_lie_give_the_same_rows(spark, monkeypatch, small_batches):
+    """Whole pages, ranges of pages, and both, for short and long pages; lines without a page are a page; numbers of lines do not follow their places."""
+    given = random_lines(11, [None, *range(25)], 40)
+    given = [(r[0], (r[1] * 7) % 41, *r[2:]) for r in given]
+    lines = spark.createDataFrame(given, LINES).repartition(5)
+    ranged = rows.logical_rows(rows.rebuilt_lines(lines))
+    assert tidy(rows.page_rows(lines)) == tidy(ranged)
+    expected = tidy(rows.recovered(ranged))
+    whole = lambda x: rows.recovered_pages(rows.page_rows(x))
+    assert tidy(whole(lines)) == expected and len(expected) > 100
+    taken = []
+    monkeypatch.setattr(rows, "LONG_PAGE", 20)
+    apart = rows.shared(lines, lines.groupBy("page").agg(F.count("*").alias("n")), whole, lambda x: taken.append(x.select("page").distinct().count()) or rows.recovered(rows.logical_rows(rows.rebuilt_lines(x))))
+    assert tidy(apart) == expected and 0 < taken[0] < 26
+    assert whole(lines.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["row_recovery", "row_reconstruction"])
+def test_printed_lines_are_dealt_by_page_once_and_not_stored(spark, monkeypatch, name):
+    written, stored = [], rows.stored
+    monkeypatch.setattr(rows, "stored", lambda df, label: written.append(label) or stored(df, label))
+    assert exchanges(getattr(rows, name)(spark, "/root/testdata/sf0.001")) <= {"l_partkey", "l_orderkey"} and written == ["long-pages"]
+
+
 def plain_merge(found, slack):
     out = []
     for r in sorted(found, key=lambda r: (r["start_y"], r["end_y"], r["start_x"], r["confidence"], r["items"])):
