@@ -2,6 +2,8 @@
 
 A block begins where a cell says COSTING SHEET: its column gives the strip of five columns that belongs to it, the next such
 cell below ends it. Blocks are cut out by column and row first; only then is each read.
+
+Rows are dealt by page once. All steps after that group, order and unite by page, so no row is shuffled or stored again.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docledger.plans.catalog import register
-from docledger.plans.tables import stored, table
+from docledger.plans.tables import table
 
 # Marks of a block, of its ingredients and of its price; beginnings of rows that are no ingredients.
 BLOCK, INGREDIENTS, PRICE, OTHER_ROWS = "COSTING SHEET", "Ingredients", "MENU PRICE", ("WASTAGE", "TOTAL COST", "VAT", "TOTAL INCLUDING")
@@ -65,32 +67,32 @@ def strips(grid: DataFrame) -> DataFrame:
 
     Only cells of a strip are cleaned, and those of rows that hold a mark's first word.
     """
-    width = grid.groupBy("page").agg(F.min_by(F.size("cells"), "row").alias("width"))
+    page = Window.partitionBy("page")
     may_mark = F.array_join("cells", "\n").contains(BLOCK.split(" ")[0])
-    marks = grid.filter(may_mark).select("page", F.posexplode(F.transform("cells", cell)).alias("col", "v")).filter(F.col("v") == BLOCK)
-    starts = marks.select("page", "col").distinct().join(width, "page").filter(F.col("col") + WIDTH <= F.col("width")).select("page", "col")
+    marks = F.when(may_mark, F.array_compact(F.transform("cells", lambda x, i: F.when(cell(x) == BLOCK, i))))
+    dealt = grid.filter("page is not null").repartition("page").withColumn("_marks", marks)
+    told = dealt.withColumns({"_width": F.min_by(F.size("cells"), "row").over(page), "_cols": F.array_distinct(F.flatten(F.collect_set("_marks").over(page)))})
+    starts = told.select("page", "row", "cells", "_width", F.explode("_cols").alias("col")).filter(F.col("col") + WIDTH <= F.col("_width"))
     at = lambda i: cell(F.get("cells", F.col("col") + i)).alias(f"c{i}")
-    return grid.join(starts, "page").select("page", "col", "row", *(at(i) for i in range(WIDTH))).filter("c0 <> ''")
+    return starts.select("page", "col", "row", *(at(i) for i in range(WIDTH))).filter("c0 <> ''")
 
 
 def blocks(strip: DataFrame) -> DataFrame:
     """page, col, row, start (its ingredients' first row), end (the row of the mark that ends it; null for none), title, category.
 
-    What stands near a mark is joined by stretches of rows, not searched for from mark to mark. A mark without a title or
-    ingredients is no block, but ends the block above it; a mark inside the head of a block is passed by.
+    What stands near a mark is looked at in ranges of rows around it, not searched for from mark to mark. A mark without a
+    title or ingredients is no block, but ends the block above it; a mark inside the head of a block is passed by.
     """
-    span = 16
-    marks = strip.filter(F.col("c0") == BLOCK).select("page", "col", F.col("row").alias("mark"))
-    reach = F.sequence(F.floor((F.col("mark") - CATEGORY_ROWS) / span), F.floor((F.col("mark") + START_ROWS) / span))
-    near = marks.withColumn("_s", F.explode(reach)).join(strip.withColumn("_s", F.floor(F.col("row") / span)).drop("c1", "c2", "c3", "c4"), ["page", "col", "_s"])
-    off, v = F.col("row") - F.col("mark"), F.col("c0")
-    titled = off.between(1, TITLE_ROWS) & ~v.isin(BLOCK, INGREDIENTS)
-    above = off.between(-CATEGORY_ROWS, -1) & category_candidate(v)
-    heads = near.groupBy("page", "col", "mark").agg(
-        F.min_by(F.when(titled, v), F.when(titled, off)).alias("title"),
-        F.max_by(F.when(above, v), F.when(above, off)).alias("above"),
-        F.min(F.when(off.between(1, START_ROWS) & (v == INGREDIENTS), F.col("row") + 1)).alias("start"),
-    )
+    v, down = F.col("c0"), Window.partitionBy("page", "col").orderBy("row")
+    titled = F.when(~v.isin(BLOCK, INGREDIENTS), v)
+    begun = F.when(v == INGREDIENTS, F.col("row") + 1)
+    seen = strip.select(
+        "page", "col", F.col("row").alias("mark"), "c0",
+        F.first(titled, ignorenulls=True).over(down.rangeBetween(1, TITLE_ROWS)).alias("title"),
+        F.last(F.when(category_candidate(v), v), ignorenulls=True).over(down.rangeBetween(-CATEGORY_ROWS, -1)).alias("above"),
+        F.first(begun, ignorenulls=True).over(down.rangeBetween(1, START_ROWS)).alias("start"),
+    )
+    heads = seen.filter(v == BLOCK).drop("c0")
     order = Window.partitionBy("page", "col").orderBy("mark")
     later = F.array_compact(F.array(*(F.lead("mark", i).over(order) for i in range(1, START_ROWS + 2))))
     ended = heads.withColumn("end", F.array_min(F.filter(later, lambda m: m >= F.col("start"))))
@@ -108,10 +110,10 @@ def costing_sheets(grid: DataFrame) -> DataFrame:
     first by column and row counts. An ingredient is a row with a name and a quantity; the last menu price is the selling
     price, 0 without one. Blocks without ingredients, and pages without blocks, give no row.
     """
-    strip = stored(strips(grid), "sheet-strips")
+    strip = strips(grid)
     cut = blocks(strip)
     once = Window.partitionBy("page", F.upper("title")).orderBy("col", "mark")
-    cut = stored(cut.withColumn("_n", F.row_number().over(once)).withColumn("first", F.col("_n") == 1).drop("_n"), "sheet-blocks")
+    cut = cut.withColumn("first", F.row_number().over(once) == 1)
     # each row belongs to the last block of its strip that begins at it or above, unless that has ended; a beginning stands before its row
     begins = cut.select("page", "col", F.col("start").alias("row"), F.struct("mark", "end", "title", "category", "first").alias("b"))
     body = strip.unionByName(begins, allowMissingColumns=True)
@@ -133,24 +135,27 @@ _SHEETS, _STEP, _HEIGHT = 6, 6, 80
 
 def printed_sheets(spark, sf_dir) -> DataFrame:
     """Orders as recipes on sheets of three columns of blocks by two rows of blocks; a seventh of them do not mark their ingredients."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    lines = stored(table(spark, sf_dir, "lineitem").join(part, "l_partkey").withColumn("k", F.row_number().over(order).cast("long")), "sheet-lines")
-    ends = lines.groupBy("l_orderkey").agg(F.max("k").alias("k"))
-    o = F.col("l_orderkey")
+    name = F.when(F.col("p_size") == 5, "soy sauce").otherwise(F.col("p_name"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), name.alias("name"), "p_size")
+    by = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    page = F.floor(F.col("l_orderkey") / _SHEETS)
+    lines = table(spark, sf_dir, "lineitem").select(*by).join(part, "l_partkey").repartition(page).withColumn("page", page)
+    order = Window.partitionBy("page", by[0]).orderBy(*by[1:])
+    lines = lines.withColumns({"k": F.row_number().over(order).cast("long"), "last": F.lead(F.lit(True), 1, False).over(order) == F.lit(False)})
+    o, k = F.col("l_orderkey"), F.col("k")
 
     def row(at: Column, *cells: Column) -> Column:
         return F.struct(at.cast("long").alias("at"), F.array(*cells, *[F.lit("")] * (WIDTH - len(cells))).alias("c"))
 
     title = F.concat(F.get(F.array(F.lit("Salmon bowl "), F.lit("Garden of Eden "), F.lit("veg roll ")), (o % 3).cast("int")), (o % 5).cast("string"))
     above = F.get(F.array(F.lit("Hot dishes"), F.lit("R 12"), F.lit("garden")), (F.floor(o / 3) % 3).cast("int"))
-    head = ends.select(o, F.explode(F.array(row(F.lit(0), above), row(F.lit(1), F.lit(BLOCK)), row(F.lit(2), title), row(F.lit(4), F.when(o % 7 == 0, "").otherwise(INGREDIENTS)))).alias("r"))
-    name = F.when(F.col("p_size") == 5, "soy sauce").otherwise(F.col("p_name"))
+    head = F.array(row(F.lit(0), above), row(F.lit(1), F.lit(BLOCK)), row(F.lit(2), title), row(F.lit(4), F.when(o % 7 == 0, "").otherwise(INGREDIENTS)))
     amount = F.when(F.col("p_size") == 9, "some").otherwise(F.col("l_quantity").cast("long").cast("string"))
-    body = lines.select(o, row(F.col("k") + 4, name, amount, F.col("p_size").cast("string"), F.lit("R 10")).alias("r"))
-    foot = ends.select(o, F.explode(F.array(row(F.col("k") + 6, F.lit("WASTAGE 5%"), F.lit("1")), row(F.col("k") + 7, F.lit(PRICE), F.lit(""), F.lit(""), F.when(o % 2 == 0, "R 1,250.50").otherwise("0"), F.lit("99")))).alias("r"))
-    placed = head.unionByName(body).unionByName(foot).select(
-        F.floor(o / _SHEETS).alias("page"), (o % 3 * _STEP).cast("int").alias("col"), (F.floor(o % _SHEETS / 3) * _HEIGHT + F.col("r.at")).alias("row"), "r.c"
+    body = F.array(row(k + 4, F.col("name"), amount, F.col("p_size").cast("string"), F.lit("R 10")))
+    foot = F.array(row(k + 6, F.lit("WASTAGE 5%"), F.lit("1")), row(k + 7, F.lit(PRICE), F.lit(""), F.lit(""), F.when(o % 2 == 0, "R 1,250.50").otherwise("0"), F.lit("99")))
+    whole = F.concat(body, F.when(k == 1, head).otherwise(F.array()), F.when(F.col("last"), foot).otherwise(F.array()))
+    placed = lines.select("page", "l_orderkey", F.explode(whole).alias("r")).select(
+        "page", (o % 3 * _STEP).cast("int").alias("col"), (F.floor(o % _SHEETS / 3) * _HEIGHT + F.col("r.at")).alias("row"), "r.c"
     )
     strip = lambda i: F.coalesce(F.max(F.when(F.col("col") == i * _STEP, F.col("c"))), F.array(*[F.lit("")] * WIDTH))
     return placed.groupBy("page", "row").agg(F.concat(strip(0), F.array(F.lit("")), strip(1), F.array(F.lit("")), strip(2)).alias("cells"))
@@ -168,4 +173,4 @@ def printed_sheets(spark, sf_dir) -> DataFrame:
 )
 def costing_sheet_recipes(spark, sf_dir):
     """Recipes cut out of sheets with six blocks each; the SQL holds what the sheets were printed from."""
-    return costing_sheets(stored(printed_sheets(spark, sf_dir), "sheets"))
+    return costing_sheets(printed_sheets(spark, sf_dir))

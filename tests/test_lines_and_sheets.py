@@ -128,3 +128,40 @@ def test_wired_rows_meet_names_only_where_parsed(spark):
 def test_printed_pages_number_their_lines_once(spark):
     pages = lines.order_pages(lines._ordered_lines(spark, "/root/testdata/sf0.001"))
     assert pages._jdf.queryExecution().optimizedPlan().toString().count("row_number()") == 1
+
+
+def plain_blocks(rows):
+    """Blocks of one strip, row by row: rows is {row: first cell}."""
+    marks = sorted(r for r, v in rows.items() if v == sheets.BLOCK)
+    out, start = [], None
+    for m in marks:
+        title = next((rows[r] for r in range(m + 1, m + sheets.TITLE_ROWS + 1) if rows.get(r, sheets.BLOCK) not in (sheets.BLOCK, sheets.INGREDIENTS)), None)
+        own = next((r + 1 for r in range(m + 1, m + sheets.START_ROWS + 1) if rows.get(r) == sheets.INGREDIENTS), None)
+        if title is None or own is None or (start is not None and m < start):
+            continue
+        above = next((rows[r] for r in range(m - 1, m - sheets.CATEGORY_ROWS - 1, -1) if rows.get(r) in ("SUNSET", "hot")), None)
+        out.append((m, own, next((x for x in marks if x >= own), None), title, (above or title).upper()))
+        start = own
+    return out
+
+
+def test_blocks_against_a_loop(spark):
+    import random
+
+    rng = random.Random(6)
+    words = [sheets.BLOCK, sheets.BLOCK, sheets.INGREDIENTS, "SUNSET", "hot", "7 up", "7 up"]
+    given = {(p, c): {r: rng.choice(words) for r in range(120) if rng.random() < 0.4 + 0.3 * (p % 2)} for p in range(12) for c in (0, 6)}
+    strip = spark.createDataFrame([(p, c, r, v, "", "", "", "") for (p, c), rows in given.items() for r, v in rows.items()], "page long, col int, row long, c0 string, c1 string, c2 string, c3 string, c4 string")
+    got = {}
+    for r in sheets.blocks(strip.repartition(3)).collect():
+        got.setdefault((r["page"], r["col"]), []).append((r["mark"], r["start"], r["end"], r["title"], r["category"]))
+    expected = {k: [(*b[:4], "7" if b[4] == "7 UP" else b[4]) for b in plain_blocks(rows)] for k, rows in given.items()}
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in expected.items() if v} and sum(map(len, got.values())) > 50
+
+
+def test_printed_sheets_are_dealt_by_page_once_and_not_stored(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(sheets, "stored", lambda df, label: written.append(label) or df, raising=False)
+    plan = sheets.costing_sheet_recipes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    keys = {line.split("Exchange hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line}
+    assert keys <= {"l_partkey", "FLOOR((cast(l_orderkey"} and keys and not written
