@@ -29,8 +29,8 @@ from docledger.plans.tables import stored, table
 HEIGHT, LEAST_REACH, REACH, TIGHT = 16.0, 45.0, 1.1, 0.75
 #: Distance at which text and numbers of two rows are fragments of one; rows of a page that a task looks at together.
 FRAGMENT, BLOCK = 20.0, 4096
-#: Lines of a page that one task reads whole.
-LONG_PAGE = 200_000
+#: Lines of a page that one task reads whole; buckets of pages in which lines are counted first.
+LONG_PAGE, BUCKETS = 200_000, 2**16
 # Texts that no fragment is merged with.
 CLOSING = (
     r"subtotal|sub\s*total|total\s+(nett|net|incl|excl|due)|amount\s+excl|vat\s*$|tax\s*$|discount|rounding|banking details|terms|conditions|"
@@ -194,12 +194,25 @@ def page_rows(lines: DataFrame) -> DataFrame:
     return placed.mapInArrow(_joined, schema)
 
 
-def shared(lines: DataFrame, sizes: DataFrame, whole: Callable[[DataFrame], DataFrame], ranged: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def long_pages(pages: DataFrame, each: int) -> DataFrame:
+    """The pages of more than LONG_PAGE rows, each of which stands for ``each`` lines.
+
+    Rows are counted by BUCKETS of pages first, and by page only in buckets that hold as many: elsewhere no page is long.
+    """
+    bucket = F.pmod(F.xxhash64("page"), F.lit(BUCKETS))
+    full = pages.groupBy(bucket.alias("_bucket")).agg((F.count("*") * each).alias("_n")).filter(F.col("_n") > LONG_PAGE)
+    held = pages.join(F.broadcast(full), bucket == F.col("_bucket"), "left_semi")  # BUCKETS rows at most
+    return held.groupBy("page").agg((F.count("*") * each).alias("n")).filter(F.col("n") > LONG_PAGE).select("page")
+
+
+def shared(
+    lines: DataFrame, pages: DataFrame, whole: Callable[[DataFrame], DataFrame], ranged: Callable[[DataFrame], DataFrame], each: int = 1
+) -> DataFrame:
     """``whole`` of the lines of pages of at most LONG_PAGE lines, and ``ranged`` of those of longer ones.
 
-    sizes: page and n, as many lines as the page has or more.
+    pages: page, a row for ``each`` lines that it has at most.
     """
-    long = stored(sizes.filter(F.col("n") > LONG_PAGE).select(F.col("page").alias("_page")), "long-pages")
+    long = stored(long_pages(pages, each).withColumnRenamed("page", "_page"), "long-pages")
     if long.isEmpty():
         return whole(lines)
     is_long = F.col("page").eqNullSafe(F.col("_page"))
@@ -366,9 +379,9 @@ def printed_lines(spark, sf_dir) -> DataFrame:
     )
 
 
-def printed_sizes(spark, sf_dir) -> DataFrame:
-    """page and n: twice an order's items, as each is printed on two lines at most."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg((F.count("*") * 2).alias("n"))
+def printed_pages(spark, sf_dir) -> DataFrame:
+    """The page of each item, which is printed on two lines at most."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"))
 
 
 _SHAPE = "CASE l_partkey % 6 WHEN 0 THEN [{a}] WHEN 1 THEN [{b}, {c}] WHEN 2 THEN [{d}, {e}] WHEN 3 THEN [{a}, {f}] WHEN 4 THEN [{g}, {h}] ELSE [{a}, {i}] END"
@@ -407,7 +420,7 @@ REBUILT_SQL = f"""items AS (SELECT l_orderkey, l_partkey, row_number() OVER (PAR
 @register("row_reconstruction", "G15 G27", f"WITH RECURSIVE {REBUILT_SQL} SELECT *, has_desc AND NOT has_nums AS split FROM logical")
 def row_reconstruction(spark, sf_dir):
     """Logical rows of printed orders, with the rules by which their lines joined, and whether a row is split or wraps."""
-    rows = shared(printed_lines(spark, sf_dir), printed_sizes(spark, sf_dir), page_rows, lambda lines: logical_rows(rebuilt_lines(lines)))
+    rows = shared(printed_lines(spark, sf_dir), printed_pages(spark, sf_dir), page_rows, lambda lines: logical_rows(rebuilt_lines(lines)), each=2)
     return rows.withColumn("split", split_row(F.col("has_desc"), F.col("has_nums")))
 
 
@@ -434,4 +447,4 @@ _NEAR = "[lead(o, 1) OVER w, lag(o, 1) OVER w, lead(o, 2) OVER w, lag(o, 2) OVER
 def row_recovery(spark, sf_dir):
     """Rows of printed orders after recovery: what they took from a neighbour, or why they took nothing."""
     whole, ranged = lambda lines: recovered_pages(page_rows(lines)), lambda lines: recovered(logical_rows(rebuilt_lines(lines)))
-    return shared(printed_lines(spark, sf_dir), printed_sizes(spark, sf_dir), whole, ranged)
+    return shared(printed_lines(spark, sf_dir), printed_pages(spark, sf_dir), whole, ranged, each=2)

@@ -4,7 +4,6 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from docledger.operators import dedupe, regions, rows
 
@@ -119,7 +118,11 @@ def test_pages_read_where_they_lie_give_the_same_rows(spark, monkeypatch, small_
     assert tidy(whole(lines)) == expected and len(expected) > 100
     taken = []
     monkeypatch.setattr(rows, "LONG_PAGE", 20)
-    apart = rows.shared(lines, lines.groupBy("page").agg(F.count("*").alias("n")), whole, lambda x: taken.append(x.select("page").distinct().count()) or rows.recovered(rows.logical_rows(rows.rebuilt_lines(x))))
+    sizes = Counter(r[0] for r in given)
+    for buckets in (1, 7, 2**16):
+        monkeypatch.setattr(rows, "BUCKETS", buckets)
+        assert {r["page"] for r in rows.long_pages(lines.select("page"), 1).collect()} == {p for p, n in sizes.items() if n > 20}
+    apart = rows.shared(lines, lines.select("page"), whole, lambda x: taken.append(x.select("page").distinct().count()) or rows.recovered(rows.logical_rows(rows.rebuilt_lines(x))))
     assert tidy(apart) == expected and 0 < taken[0] < 26
     assert whole(lines.limit(0)).collect() == []
 
@@ -128,7 +131,11 @@ def test_pages_read_where_they_lie_give_the_same_rows(spark, monkeypatch, small_
 def test_printed_lines_are_dealt_by_page_once_and_not_stored(spark, monkeypatch, name):
     written, stored = [], rows.stored
     monkeypatch.setattr(rows, "stored", lambda df, label: written.append(label) or stored(df, label))
-    assert exchanges(getattr(rows, name)(spark, "/root/testdata/sf0.001")) <= {"l_partkey", "l_orderkey"} and written == ["long-pages"]
+    found = getattr(rows, name)(spark, "/root/testdata/sf0.001")
+    assert exchanges(found) <= {"l_partkey", "l_orderkey"} and written == ["long-pages"]
+    monkeypatch.setattr(rows, "LONG_PAGE", 10)
+    apart = getattr(rows, name)(spark, "/root/testdata/sf0.001")
+    assert len(written) > 2 and tidy(apart) == tidy(found)
 
 
 def plain_merge(found, slack):
