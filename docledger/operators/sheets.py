@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docledger.plans.catalog import register
-from docledger.plans.tables import table
+from docledger.plans.tables import once, table
 
 # Marks of a block, of its ingredients and of its price; beginnings of rows that are no ingredients.
 BLOCK, INGREDIENTS, PRICE, OTHER_ROWS = "COSTING SHEET", "Ingredients", "MENU PRICE", ("WASTAGE", "TOTAL COST", "VAT", "TOTAL INCLUDING")
@@ -112,20 +112,23 @@ def costing_sheets(grid: DataFrame) -> DataFrame:
     """
     strip = strips(grid)
     cut = blocks(strip)
-    once = Window.partitionBy("page", F.upper("title")).orderBy("col", "mark")
-    cut = cut.withColumn("first", F.row_number().over(once) == 1)
+    titles = Window.partitionBy("page", F.upper("title")).orderBy("col", "mark")
+    cut = cut.withColumn("first", F.row_number().over(titles) == 1)
+    name = F.col("c0")
+    price = F.when(name == PRICE, F.coalesce(F.nullif(plain_number(F.col("c3")), F.lit(0.0)), plain_number(F.col("c4")), F.lit(0.0)))
+    told = once(strip, qty=plain_number(F.col("c1")), other=F.greatest(*(name.startswith(w) for w in OTHER_ROWS)))
+    # rows that are neither ingredients nor prices give nothing, so they are not put in order
+    rows = told.filter((~F.col("other") & F.col("qty").isNotNull()) | (name == PRICE)).select("page", "col", "row", "c0", "qty", "c2", "c3", price.alias("price"))
     # each row belongs to the last block of its strip that begins at it or above, unless that has ended; a beginning stands before its row
     begins = cut.select("page", "col", F.col("start").alias("row"), F.struct("mark", "end", "title", "category", "first").alias("b"))
-    body = strip.unionByName(begins, allowMissingColumns=True)
+    body = rows.unionByName(begins, allowMissingColumns=True)
     order = Window.partitionBy("page", "col").orderBy("row", F.col("c0").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     inside = body.withColumn("b", F.last("b", ignorenulls=True).over(order)).filter("c0 is not null and b.first and (b.end is null or row < b.end)")
-    name, quantity = F.col("c0"), plain_number(F.col("c1"))
-    menu = F.when(name == PRICE, F.struct("row", F.coalesce(F.nullif(plain_number(F.col("c3")), F.lit(0.0)), plain_number(F.col("c4")), F.lit(0.0)).alias("p")))
-    block = Window.partitionBy("page", "col", "b.mark")
-    priced = inside.withColumn("selling_price", F.coalesce(F.max(menu).over(block)["p"], F.lit(0.0)))
-    other = F.greatest(*(name.startswith(w) for w in OTHER_ROWS)) | (name == PRICE)
-    return priced.filter(~other & quantity.isNotNull()).select(
-        "page", F.col("b.title").alias("title"), F.col("b.category").alias("category"), "selling_price", "row", name.alias("ingredient"), quantity.alias("qty"),
+    told = inside.select("page", "col", "row", "c0", "qty", "c2", "c3", "price", "b.mark", "b.title", "b.category")
+    last = F.max(F.when(name == PRICE, F.struct("row", "price"))).over(Window.partitionBy("page", "col", "mark"))
+    priced = told.withColumn("selling_price", F.coalesce(last["price"], F.lit(0.0)))
+    return priced.filter("price is null").select(
+        "page", "title", "category", "selling_price", "row", name.alias("ingredient"), "qty",
         recipe_unit(name, plain_number(F.col("c2"))).alias("unit"), F.col("c2").alias("bulk_size"), F.col("c3").alias("unit_price"),
     )
 
